@@ -68,3 +68,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import default_tokenizer, round_trip
 
     return round_trip(documents(spark, sf_dir), default_tokenizer(spark))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents, train
+
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
