@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -76,3 +77,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    found = personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
