@@ -88,11 +88,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, U64)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, at least; kept for the next block unless it is very long."""
+    if n <= len(_POWERS.get(base, ())):
+        return _POWERS[base]
+    out = np.full(max(n, 1 << 16), base, U64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= 3 << 20:
+        _POWERS[base] = out
+    return out
 
 
 def inverse(base: int) -> int:

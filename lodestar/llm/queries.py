@@ -92,3 +92,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import drop_repeated_windows
+
+    return drop_repeated_windows(documents(spark, sf_dir), width=35, digest=True).withColumnRenamed("kept", "kept_sha256")
