@@ -99,3 +99,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .window_dedup import drop_repeated_windows
 
     return drop_repeated_windows(documents(spark, sf_dir), width=35, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeated_strings
+
+    return drop_repeated_strings(documents(spark, sf_dir), width=50, digest=True).withColumnRenamed("kept", "kept_sha256")
