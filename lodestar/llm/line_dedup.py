@@ -174,3 +174,25 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, digest: bool = False)
     maps = keep_bitmaps(docs, min_docs)
     joined = _keyed(docs).join(maps.hint("shuffle_hash"), ["d", "rk"], "left").select("doc_id", "raw", "keep")
     return joined.mapInArrow(_apply(digest), "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """docs, all columns, with the common lines taken out of `text`; n_chars, where there is one, follows. A null text
+    stays null; a text all of whose lines go becomes empty."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias("_raw"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID + 1)).alias("_d"), F.xxhash64(raw).alias("_rk"))
+    maps = keep_bitmaps(docs, min_docs).toDF("_md", "_mrk", "_keep")
+    joined = rows.join(maps.hint("shuffle_hash"), (F.col("_d") == F.col("_md")) & (F.col("_rk") == F.col("_mrk")), "left").drop("_d", "_rk", "_md", "_mrk")
+    at = docs.columns.index("text")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns
+            given = batch.column(at).is_valid().to_pylist()
+            texts = [b"\n".join(_kept_lines(raw, keep)[0]).decode() if ok else None for ok, raw, keep in zip(given, batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)]
+            columns = batch.columns[: n - 2]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: n - 2])
+
+    out = joined.mapInArrow(f, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

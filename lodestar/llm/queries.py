@@ -106,3 +106,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import drop_repeated_strings
 
     return drop_repeated_strings(documents(spark, sf_dir), width=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
