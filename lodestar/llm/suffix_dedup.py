@@ -115,12 +115,23 @@ def unpack_segments(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.frombuffer(plain[at[0] : at[1]], U64), np.frombuffer(plain[at[1] : at[2]], np.int64), np.frombuffer(plain[at[2] : at[3]], np.uint8).astype(np.int64), np.frombuffer(plain[at[3] :], np.uint8)
 
 
+def _stretch_hashes(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of consecutive stretches of body, some of them at a time."""
+    out = [np.empty(len(start), U64) for _ in (0, 1)]
+    for i, j in blocks(np.append(start, len(body)), BLOCK_BYTES) if len(start) else ():
+        a, b = int(start[i]), int(start[j - 1] + length[j - 1])
+        n = b - a + 1
+        for k in (0, 1):
+            prefix = prefix_sums(BYTE_VALUES[k][body[a:b]], powers(BASES[k], n))
+            out[k][i:j] = span_hash(prefix, powers(inverse(BASES[k]), n), start[i:j] - a, start[i:j] + length[i:j] - a) + length[i:j].astype(U64)
+    return out
+
+
 def least_documents(key: np.ndarray, doc: np.ndarray, count: np.ndarray, body: np.ndarray, width: int) -> np.ndarray:
     """For every window of every segment, the least doc of the segments that hold an equal window."""
     length = count - 1 + width
     start = np.cumsum(length) - length
-    n = len(body) + 1
-    h = [span_hash(prefix_sums(BYTE_VALUES[k][body], powers(BASES[k], n)), powers(inverse(BASES[k]), n), start, start + length) + count.astype(U64) for k in (0, 1)]
+    h = _stretch_hashes(body, start, length)
     order, group = _pair_ranks(key, *h)
     first = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
@@ -255,7 +266,7 @@ def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False
     one document as far as comparison goes; a null doc_id is smaller than all others. Chunks and shards are of bounded
     bytes, but for a single longer text. An empty table gives an empty result."""
     rows, n = chunked(docs, chunk_bytes)
-    steps = Steps(width, max(1, -(-n // 2)))
+    steps = Steps(width, n)
     first = merged(asked(rows, steps.sketch), estimated_repeated)
     second = merged(asked(rows, steps.segments, first), _shard(width))
     answers = first.unionByName(second)
