@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 Reranker = Callable[[str, list[str]], list[float]]
@@ -52,7 +52,7 @@ def first_line_summariser() -> Summariser:
 
 def embed(df: DataFrame, text: str, make: Callable[[], Embedder], out: str = "embedding") -> DataFrame:
     """df with an embedding column; batches of Arrow rows, one model per worker."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -66,7 +66,8 @@ def embed(df: DataFrame, text: str, make: Callable[[], Embedder], out: str = "em
 def summarise(df: DataFrame, text: str, make: Callable[[], Summariser]) -> DataFrame:
     """df with summary, success, error_message and tokens_used; a row whose batch fails is tried alone, and keeps its
     error if it fails again."""
-    schema = df.schema.add("summary", "string").add("success", "boolean").add("error_message", "string").add("tokens_used", "int")
+    added = [T.StructField("summary", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("error_message", T.StringType()), T.StructField("tokens_used", T.IntegerType())]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

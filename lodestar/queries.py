@@ -543,3 +543,40 @@ def first_complete_release(spark, d):
     events = read(spark, d, "events").withColumn("tag", F.concat(F.lit("v"), (F.col("user_id") % 9).cast("string")))
     both = events.groupBy("tag").agg(F.min("event_type").alias("asset"), F.min("user_id").alias("user_id"), F.min("event_id").alias("at"), F.max(F.col("event_type") == "click").alias("a"), F.max(F.col("event_type") == "view").alias("b"))
     return both.where("a and b").orderBy("at").limit(1).select("tag", "asset", "user_id")
+
+
+@register(None)
+def incremental_reindex(spark, d):
+    """Token counts by a file stream over documents, run until nothing is left, then read back from its table."""
+    import uuid
+
+    from .storage import scratch_root
+    from .streaming.incremental import process_new
+
+    root = f"{scratch_root(spark)}/lodestar-stream-{uuid.uuid4().hex}"
+    schema = read(spark, d, "documents").schema
+    counted = lambda df: df.select("doc_id", F.size(text.basic_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    process_new(spark, f"{d}/documents.parquet*", schema, counted, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("doc_id", "n_tokens")
+
+
+ORACLES["incremental_reindex"] = "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n_tokens FROM documents"
+
+
+@register(None)
+def rerank_standin(spark, d):
+    """The best documents for a query, rescored by a stand-in reranker."""
+    from . import models
+
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.substring("text", 1, 400).alias("passage"))
+    hits = _hits(spark, d, 20)[0].join(docs, "path")
+    return models.rerank(hits, " ".join(QUERY_TERMS), "passage", models.overlap_reranker).select("path", "score", "source")
+
+
+@register("SELECT event_type, time_bucket(INTERVAL 5 MINUTES, ts) AS start, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """EXTENSION: windowed counts; the same plan runs on a stream."""
+    from .streaming.incremental import event_counts
+
+    out = event_counts(read(spark, d, "events"))
+    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("value", 4).alias("value"))

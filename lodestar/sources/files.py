@@ -26,7 +26,8 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".plsql", max_file
     if limited. Bytes that are no UTF-8 are dropped. No file of the kind is an error."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
     base = raw.select(F.col("path").alias("file_path"), F.col("length"), F.col("content").alias("raw"))
-    text = F.replace(F.expr("decode(raw, 'UTF-8')") if _lenient(spark) else F.col("raw").cast("string"), F.lit("�"), F.lit(""))
+    plain = F.col("raw").cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.replace(F.make_valid_utf8(plain), F.lit("\ufffd"), F.lit("")))
     prefix = spark._jvm.org.apache.hadoop.fs.Path(root)
     home = prefix.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(prefix).toString().rstrip("/")
     out = base.select("file_path", F.substring("file_path", len(home) + 2, 2**31 - 1).alias("relative_path"), naming.file_name(F.col("file_path")).alias("file_name"), (F.col("length") / 1048576.0).alias("file_size_mb"), text.alias("content"))
@@ -37,11 +38,6 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".plsql", max_file
     return out
 
 
-@F.pandas_udf("string")
-def _decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def file_info(tree: DataFrame) -> DataFrame:
     """The analysis record of every file: names, calls, change notes, declared names; a projection of the scan."""
     c = F.col("content")
