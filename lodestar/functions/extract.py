@@ -129,3 +129,20 @@ def embedding_text(summary: Column, api_name: Column, file_name: Column, rank: C
         F.concat(F.lit("Dependencies: "), F.size(calls).cast("string"), F.lit(" API calls including "), top),
         F.concat(F.lit("Implementation: "), F.size(names).cast("string"), F.lit(" key procedures/functions")),
     )
+
+
+def summary_prompt(content: Column, file_name: Column, api_name: Column, rank: Column, calls: Column, notes: Column, names: Column) -> Column:
+    """What a summariser is asked about a file."""
+    section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n{title}:\n"), F.array_join(items, "\n")))
+    return F.concat_ws(
+        "\n",
+        F.lit("Summarise this source file for semantic search."),
+        F.concat(F.lit("File: "), file_name),
+        F.concat(F.lit("API: "), api_name),
+        F.concat(F.lit("Importance rank: "), rank.cast("string")),
+        F.concat(F.lit("External calls: "), F.size(calls).cast("string")),
+        section("Change notes", notes),
+        section("Declared procedures and functions", names),
+        F.concat(F.lit("\nSignals:\n"), content),
+        F.lit("\nState its business purpose, main operations, error cases, the data it manages and the files it works with."),
+    )

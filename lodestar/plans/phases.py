@@ -61,3 +61,23 @@ def readiness(versions: DataFrame, **artifacts: DataFrame) -> DataFrame:
     out = reduce(lambda df, x: df.join(x[1].select(key).distinct().withColumn(f"has_{x[0]}", F.lit(True)), key, "left"), artifacts.items(), versions)
     out = out.select(*versions.columns, *[F.coalesce(f"has_{a}", F.lit(False)).alias(f"has_{a}") for a in artifacts])
     return out.withColumn("is_ready", F.col("has_lexical") & F.col("has_pagerank"))
+
+
+def phase_totals(results: DataFrame) -> DataFrame:
+    """One row: rows, successes, summaries, embeddings, and the share of each in the step before it."""
+    n = results.agg(F.count("*").alias("total"), F.count_if("success").alias("successful"), F.count_if("has_ai_summary").alias("summarised"), F.count_if(F.col("embedding").isNotNull()).alias("embedded"))
+    share = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    return n.select("*", share("successful", "total").alias("success_rate"), share("summarised", "successful").alias("summary_rate"), share("embedded", "summarised").alias("embedding_rate"))
+
+
+def save_metadata(spark, values: dict[str, str], path: str) -> None:
+    """Run metadata as one row a key, stamped."""
+    spark.createDataFrame(list(values.items()), "key string, value string").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def archive(spark, path: str, stamp: str) -> str | None:
+    """Move a checkpoint folder to path-<stamp>, through Hadoop's file system, so that any store works."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = f"{path}-{stamp}"
+    return target if fs.exists(p(path)) and fs.rename(p(path), p(target)) else None

@@ -72,6 +72,10 @@ class HybridSearch:
         self.boosts = fusion.importance(ranks) if ranks is not None else None
         self.spark = docs.sparkSession
 
+    def stats(self) -> dict[str, int | bool]:
+        """What is loaded."""
+        return {"lexical_documents": self.index.docs.count(), "vectors": self.vectors.count() if self.vectors is not None else 0, "initialised": self.vectors is not None and self.embedder is not None and self.reranker is not None}
+
     def _described(self, hits: DataFrame, q: str, source: str, match: str) -> DataFrame:
         d = hits.join(self.docs, "path").withColumn("source", F.lit(source)).withColumn("match_type", F.lit(match))
         title = F.concat_ws(" - ", "api_name", "file_name")
