@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or (only where that is unset, as in tests) a local folder."""
@@ -18,8 +20,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again."""
+    """Write df as Parquet below the shared folder and read it again. The table stays until release() or whatever cleans
+    that folder, since frames that are read later may depend on it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has written, once no frame needs them any more; how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
