@@ -4,8 +4,8 @@ Words are what the tokenizer's own pattern cuts a text into; merges never cross
 once and putting the ids back by position equals encoding the text.
 
 1. All texts are split in Spark and the distinct words counted, with the map side combined.
-2. The `hot_words` most frequent words are encoded once, in a distributed job, and broadcast; the table's size is bounded
-   by that parameter, whatever the corpus.
+2. The most frequent words, as many whole frequency classes as hold no more than `hot_words` of them, are encoded once, in
+   a distributed job, and broadcast; the table's size is bounded by that parameter, whatever the corpus.
 3. Every text is split again and its words are replaced by their ids, position by position. Words outside the table (the
    long tail, most of which occur once) are encoded once per task in a table of the task's own: sending a rare word's
    position to a global table and its ids back costs more shuffle than the whole input.
@@ -162,8 +162,16 @@ def _prepared(docs: DataFrame, tokenizer_path: str, hot_words: int) -> tuple[Bro
     sc = docs.sparkSession.sparkContext
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = sc.broadcast(file.read())
-    top = word_counts(docs, spec).orderBy(F.desc("n"), "word").limit(hot_words).select("word")
-    hot = materialise(top.repartition(8).mapInArrow(_encode(spec), "word string, ids binary"), "words").toPandas()
+    # classes of frequency, 16 to a doubling: at most some hundreds of rows come to the driver
+    counts = materialise(word_counts(docs, spec).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    least, room = 0, hot_words
+    for r in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            least = r["class"] + 1
+            break
+    top = counts.where(F.col("class") >= least).select("word")
+    hot = top.mapInArrow(_encode(spec), "word string, ids binary").toPandas()
     return spec, sc.broadcast((hot["word"].tolist(), [bytes(x) for x in hot["ids"]]))
 
 

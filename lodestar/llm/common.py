@@ -7,8 +7,6 @@ each keep their own result row, and columns other than the ones an operator name
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,32 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise  # noqa: F401  used through this module
+
 #: Stands for a null doc_id inside packed arrays; sorts first.
 NULL_ID = -(2**63)
 U64 = np.uint64
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet below the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """(doc_id, raw): raw is the whole text in UTF-8, a null text the empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))

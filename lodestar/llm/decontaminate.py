@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, raw_parts, run_hashes, word_hashes, word_spans
+from .common import blocks, fresh, raw_parts, run_hashes, word_hashes, word_spans
 
 BLOCK_BYTES = 1 << 20
 K1, B = 1.5, 0.75
@@ -166,17 +166,19 @@ def _shards(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: int
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, shingle: int = 5, index_bytes: int = 16 << 20) -> DataFrame:
-    """docs with _items array<long> (ids of the items found in the row's text, ascending) and _overlaps array<double>.
+    """docs with two more columns, which come last: the ids of the items found in the row's text (array<long>, ascending)
+    and their overlaps (array<double>). They are called _items and _overlaps unless docs has such columns.
 
     benchmark: (item_id, text) and, optionally, answer. A null text counts as empty and holds nothing; items without
     words match nothing; a repeated item_id counts once. Any rows, ids and other columns of docs come through as they
     are; an empty table on either side gives no matches."""
     spark = docs.sparkSession
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_raw")
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw, F.array().cast("array<long>").alias("_items"), F.array().cast("array<double>").alias("_overlaps"))
+    own, items, overlaps = fresh(docs, "_raw", "_items", "_overlaps")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own)
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw, F.array().cast("array<long>").alias(items), F.array().cast("array<double>").alias(overlaps))
     for shard in _shards(benchmark, index_bytes, overlap, shingle):
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(shard)), out.schema)
-    return out.drop("_raw")
+    return out.drop(own)
 
 
 def _search(shared):
@@ -207,4 +209,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of docs in which no item is found, with their columns as they were."""
-    return with_matches(docs, benchmark, **kw).where(F.size("_items") == 0).drop("_items", "_overlaps")
+    found = with_matches(docs, benchmark, **kw)
+    items, overlaps = found.columns[-2:]
+    return found.where(F.size(items) == 0).drop(items, overlaps)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ids_of, materialise, narrow, shuffle_partitions
+from .common import NULL_ID, fresh, ids_of, materialise, narrow, shuffle_partitions
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, d long, rk long, pos int"
@@ -180,9 +180,10 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """docs, all columns, with the common lines taken out of `text`; n_chars, where there is one, follows. A null text
     stays null; a text all of whose lines go becomes empty."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias("_raw"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID + 1)).alias("_d"), F.xxhash64(raw).alias("_rk"))
-    maps = keep_bitmaps(docs, min_docs).toDF("_md", "_mrk", "_keep")
-    joined = rows.join(maps.hint("shuffle_hash"), (F.col("_d") == F.col("_md")) & (F.col("_rk") == F.col("_mrk")), "left").drop("_d", "_rk", "_md", "_mrk")
+    own, d, rk, md, mrk, keep = fresh(docs, "_raw", "_d", "_rk", "_md", "_mrk", "_keep")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias(own), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID + 1)).alias(d), F.xxhash64(raw).alias(rk))
+    maps = keep_bitmaps(docs, min_docs).toDF(md, mrk, keep)
+    joined = rows.join(maps.hint("shuffle_hash"), (F.col(d) == F.col(md)) & (F.col(rk) == F.col(mrk)), "left").drop(d, rk, md, mrk)
     at = docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

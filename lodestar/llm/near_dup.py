@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import signatures
-from .common import U64, blocks, materialise, raw_parts, run_hashes, word_hashes, word_spans
+from .common import U64, blocks, fresh, materialise, raw_parts, run_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -250,8 +250,9 @@ def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs, all their columns, that represent their class: one row each, that of the smallest doc_id."""
     rows = _classes(docs, **kw)
-    chosen = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.v").alias("_v")), "chosen")
+    d, v, nd, nv = fresh(docs, "_d", "_v", "_nd", "_nv")
+    chosen = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.v").alias(v)), "chosen")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.unhex(F.md5(raw)).alias("_nv"), F.col("doc_id").cast("long").alias("_nd"))
-    kept = marked.join(chosen.hint("shuffle_hash"), (F.col("_nv") == F.col("_v")) & F.col("_nd").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_nd", "_nv"]).drop("_nv", "_nd")
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.unhex(F.md5(raw)).alias(nv), F.col("doc_id").cast("long").alias(nd))
+    kept = marked.join(chosen.hint("shuffle_hash"), (F.col(nv) == F.col(v)) & F.col(nd).eqNullSafe(F.col(d)), "left_semi")
+    return kept.dropDuplicates([nd, nv]).drop(nv, nd)

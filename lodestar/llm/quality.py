@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, raw_parts, word_hashes, word_spans
+from .common import blocks, fresh, narrow, raw_parts, word_hashes, word_spans
 
 BLOCK_BYTES = 2 << 20
 #: Classes of bytes: 1 lower, 2 upper, 3 digit, 4 sentence marks, 5 other ASCII symbols, 6 white space, 7 beyond ASCII.
@@ -195,5 +195,5 @@ def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataF
             keep = np.concatenate(scores) >= threshold if scores else np.zeros(0, bool)
             yield batch.filter(pa.array(keep)).select(list(range(batch.num_columns - 1)))
 
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_raw")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(fresh(docs, "raw")[0])
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw).mapInArrow(f, docs.schema)

@@ -66,3 +66,18 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == COLUMNS
     assert docs.count() == 0
+
+
+def test_stages_leave_columns_with_clashing_names_alone(spark, tmp_path):
+    names = ["_raw", "_items", "_overlaps", "_d", "_rk", "_md", "_mrk", "_keep", "_v", "_nd", "_nv", "raw", "v", "d", "sig", "key", "band", "root", "h", "y"]
+    rows = [(i, f"some text number {i} with words enough to be kept", None, *[f"{n}{i}" for n in names]) for i in range(12)]
+    rows += [(None, None, None, *[None] * len(names)), rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "quite other words than those in the texts")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == ["doc_id", "text", "n_chars", *names]
+    out = docs.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [*[(False, i) for i in range(12)], (True, 0)]
+    assert all(r[n] == (f"{n}{r.doc_id}" if r.doc_id is not None else None) for r in out for n in names)
