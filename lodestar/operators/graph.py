@@ -60,8 +60,9 @@ def _step(nodes: DataFrame, weighted: DataFrame, scores: DataFrame, n: int, damp
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5, redistribute: bool = False) -> DataFrame:
     """(node, score). The mass of nodes that call nothing is dropped, or with redistribute spread evenly.
 
-    With a tolerance every step is written and the loop ends once the scores move by less than that in sum; without one
-    the steps are unrolled into one plan that is cut every few steps. Edges carry 1 / out-degree, so that a step is one
+    With a tolerance every step is evaluated (and cached) and the loop ends once the scores move by less than that in sum;
+    without one the steps are unrolled. Either way the plan is cut by a written table every few steps, so that a lost
+    executor costs a few steps at the most. Edges carry 1 / out-degree, so that a step is one
     join and one aggregation that is combined on the map side."""
     nodes = nodes.select("node").distinct()
     n = nodes.count()
@@ -78,12 +79,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         if sinks is not None:
             lost = scores.join(sinks, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
             new = new.crossJoin(lost).select("node", (F.col("score") + F.col("lost") * (damping / n)).alias("score"))
+        cut = (i + 1) % cut_every == 0 and i + 1 < iterations
         if tolerance is not None:
-            new = materialise(new, "rank")
+            new = materialise(new, "rank") if cut else new.persist()
             moved = new.join(scores.withColumnRenamed("score", "old"), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+            scores.unpersist()
             scores = new
             if moved < tolerance:
                 break
         else:
-            scores = materialise(new, "rank") if (i + 1) % cut_every == 0 and i + 1 < iterations else new
+            scores = materialise(new, "rank") if cut else new
     return scores
