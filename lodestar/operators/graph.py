@@ -64,6 +64,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     without one the steps are unrolled. Either way the plan is cut by a written table every few steps, so that a lost
     executor costs a few steps at the most. Edges carry 1 / out-degree, so that a step is one
     join and one aggregation that is combined on the map side."""
+    cut_every = 1 if redistribute else cut_every  # a step then reads the scores twice
     nodes = nodes.select("node").distinct()
     n = nodes.count()
     scores = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
