@@ -105,7 +105,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     order = _sorted_lms(s, smaller, lms)
     size = np.bincount(s)
     bounds = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32)
 
     def place(at: np.ndarray, fill: np.ndarray, sign: int) -> None:
         """Append positions to their buckets, in order; fill: the buckets' next free places."""
@@ -158,15 +158,15 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     Permuted: a suffix at i whose predecessor continues the one at i - 1 has that one's length less one; only the
     others (irreducible) are compared."""
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     # the cut-off makes "less one" wrong for values of `most`: compare further by the longest stretch that can follow
     reducible = np.zeros(n, bool)
     reducible[1:] = (phi[1:] > 0) & (phi[:-1] == phi[1:] - 1) & (s[:-1] == s[np.maximum(phi[1:] - 1, 0)])
     reducible &= at % most != 0
     need = np.flatnonzero(~reducible & (phi >= 0))
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     i, k, active = need, phi[need], need
     d = 0
     while len(active) and d < 2 * most:

@@ -242,13 +242,16 @@ class Steps:
         place = (np.repeat(g["at"][own], reps) + step)[hit]
         np.add.at(mark, place, 1)
         np.subtract.at(mark, place + self.width, 1)
-        gone = np.cumsum(mark[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
+        del mark
+        total = np.zeros(len(body) + 1, np.int32)
+        np.cumsum(gone, out=total[1:])
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         inner = offsets[:-1][offsets[:-1] < len(body)]
         edge[inner] = gone[inner]
-        spans = np.concatenate([[0], np.cumsum(edge)])
+        spans = np.zeros(len(body) + 1, np.int32)
+        np.cumsum(edge, out=spans[1:])
         kept = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             left = (body[a:b] if total[a] == total[b] else body[a:b][~gone[a:b]]).tobytes()
@@ -257,14 +260,16 @@ class Steps:
         return pa.table([table["doc_id"], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(kept, pa.binary() if text else pa.string())], names)
 
 
-def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False, chunk_bytes: int = 8 << 20) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left, binary; with digest their
     SHA-256 in hex), a row per row of docs.
 
     A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller doc_id. Strings
     stay within a document; all are judged on the input. A null text is empty. Rows with one doc_id (repeated rows) are
     one document as far as comparison goes; a null doc_id is smaller than all others. Chunks and shards are of bounded
-    bytes, but for a single longer text. An empty table gives an empty result."""
+    bytes, but for a single longer text; a task needs about 40 times chunk_bytes, so larger executors can take larger
+    chunks, and on hundreds of terabytes they should, to keep the messages between chunks and shards few. An empty table
+    gives an empty result."""
     rows, n = chunked(docs, chunk_bytes)
     steps = Steps(width, n)
     first = merged(asked(rows, steps.sketch), estimated_repeated)
