@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,8 +90,10 @@ def search_batch(index: LexicalIndex, queries: DataFrame, k: int, positive: bool
 def scan_search(docs: DataFrame, terms: list[str], k: int, tokens: str = "tokens") -> DataFrame:
     """The k best documents for one query without an index: (doc_id, score). Two passes over (doc_id, tokens), no
     explode: term counts are array sizes, document frequencies one row of sums."""
-    times = lambda q: F.size(F.filter(tokens, lambda t: t == q))
-    counted = docs.select("doc_id", F.size(tokens).alias("dl"), *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)])
+    hits = F.filter(F.col(tokens), lambda t: t.isin(*terms))  # few tokens are left to count
+    found = docs.select("doc_id", F.size(tokens).alias("dl"), F.array_join(hits, "\n").alias("hits"))
+    times = lambda q: F.size(F.split(F.concat(F.lit("\n"), F.col("hits"), F.lit("\n")).cast("string"), "\n" + re.escape(q) + "(?=\n)")) - 1
+    counted = found.select("doc_id", "dl", *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = sum((idf(F.col("n"), F.col(f"df{i}")) * saturated(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))), F.lit(0.0))
     return counted.join(F.broadcast(stats)).select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
