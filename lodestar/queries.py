@@ -577,11 +577,12 @@ ORACLES["incremental_reindex"] = "SELECT doc_id, len(regexp_extract_all(text, '[
 
 @register(None)
 def rerank_standin(spark, d):
-    """The best documents for a query, rescored by a stand-in reranker."""
+    """The best documents for a query, rescored by a stand-in reranker that reads their whole texts. The 20 hits are
+    broadcast and only they move to the reranker's task; the documents are scanned where they lie."""
     from . import models
 
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.substring("text", 1, 400).alias("passage"))
-    hits = _hits(spark, d, 20)[0].join(docs, "path")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("passage"))
+    hits = docs.join(F.broadcast(_hits(spark, d, 20)[0]), "path").repartition(1)
     return models.rerank(hits, " ".join(QUERY_TERMS), "passage", models.overlap_reranker).select("path", "score", "source")
 
 
