@@ -501,6 +501,18 @@ def phase_merge(spark, d):
     return phases.merge(first, second, third)
 
 
+@register(
+    """WITH b AS (SELECT user_id AS path, arg_max(event_type, event_id) AS summary FROM events GROUP BY 1)
+    SELECT path, n_chars AS size, summary, len(embedding) AS dim FROM (SELECT doc_id AS path, n_chars FROM documents) FULL JOIN b USING (path) LEFT JOIN (SELECT vec_id AS path, embedding FROM embeddings) USING (path)"""
+)
+def phase_merge_whole(spark, d):
+    """phase_merge over all rows; the gaps are those of the tables: not every document has events or an embedding."""
+    first = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("long").alias("seq"))
+    second = read(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("summary"), F.col("event_id").alias("seq"))
+    third = read(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.size("embedding").cast("long").alias("dim"), F.lit(0).cast("long").alias("seq"))
+    return phases.merge(first, second, third)
+
+
 @register("SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def resume_anti_join(spark, d):
     done = read(spark, d, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") == 1).alias("success"))

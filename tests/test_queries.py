@@ -18,3 +18,13 @@ def test_rerank_reads_whole_texts(spark, tmp_path):
     assert len(got) == 20 and {0, 1, 2, 3, 4} <= set(got)
     assert got == {i: len(set(QUERY_TERMS) & set(texts[i].split())) / 4 for i in got}
     assert got[4] == 1.0
+
+
+def test_phase_merge_covers_whole_tables(spark, tmp_path):
+    docs = [(i, "x", 10 + i) for i in range(12)]
+    events = [(j, j % 15, "click" if j % 2 else "view") for j in range(40)]
+    vectors = [(i, [1.0, 2.0]) for i in range(5, 20)]
+    d = write(spark, tmp_path, documents=(docs, "doc_id long, text string, n_chars long"), events=(events, "event_id long, user_id long, event_type string"), embeddings=(vectors, "vec_id long, embedding array<float>"))
+    last = {user: kind for _, user, kind in events}
+    want = sorted((k, 10 + k if k < 12 else None, last[k], 2 if k >= 5 else None) for k in range(15))
+    assert sorted(tuple(r) for r in QUERIES["phase_merge_whole"](spark, d).collect()) == want
