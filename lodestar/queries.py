@@ -403,14 +403,21 @@ def in_degree_rank(spark, d):
     return graph.ranked(graph.in_degrees(part_nodes(spark, d), call_edges(spark, d, True)), "reference_count")
 
 
+@register(f"WITH {_EDGES}, c AS (SELECT p_partkey AS node, count(src) AS reference_count FROM part LEFT JOIN e ON dst = p_partkey GROUP BY 1) SELECT node, reference_count, row_number() OVER (ORDER BY reference_count DESC, node)::INT AS rank FROM c")
+def in_degree_rank_whole(spark, d):
+    """in_degree_rank over all calls."""
+    return graph.ranked(graph.in_degrees(part_nodes(spark, d), call_edges(spark, d)), "reference_count")
+
+
 @register(f"WITH {_FORWARD} SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT dst FROM e)) AS no_incoming, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT src FROM e)) AS no_outgoing")
 def no_in_out_links(spark, d):
     return graph.unlinked(part_nodes(spark, d), call_edges(spark, d, True))
 
 
-_RANKS = f"WITH {_FORWARD}, n AS (SELECT count(*) AS n FROM part), o AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e), r0 AS (SELECT p_partkey AS node, 1.0::DOUBLE / n AS score FROM part, n)" + "".join(
+_STEPS = ", n AS (SELECT count(*) AS n FROM part), o AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e), r0 AS (SELECT p_partkey AS node, 1.0::DOUBLE / n AS score FROM part, n)" + "".join(
     f", r{i} AS (SELECT p_partkey AS node, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(score * share), 0) AS score FROM part CROSS JOIN n LEFT JOIN o ON dst = p_partkey LEFT JOIN r{i - 1} ON r{i - 1}.node = src GROUP BY p_partkey)" for i in range(1, 11)
 )
+_RANKS, _RANKS_WHOLE = f"WITH {_FORWARD}{_STEPS}", f"WITH {_EDGES}{_STEPS}"
 
 
 @register(_RANKS + " SELECT node, round(score, 9) AS score FROM r10")
@@ -419,6 +426,13 @@ def pagerank_10_iters(spark, d):
     return scores.select("node", F.round("score", 9).alias("score"))
 
 
+@register(_RANKS_WHOLE + " SELECT node, round(score, 9) AS score FROM r10")
+def pagerank_10_iters_whole(spark, d):
+    """pagerank_10_iters over all calls: cycles, and no mass lost."""
+    scores = graph.pagerank(part_nodes(spark, d), call_edges(spark, d), iterations=10, tolerance=None)
+    return scores.select("node", F.round("score", 9).alias("score"))
+
+
 @register(None)
 def pagerank_converged(spark, d):
     return graph.ranked(graph.pagerank(part_nodes(spark, d), call_edges(spark, d)), "score")
@@ -486,6 +500,14 @@ def pagerank_boost(spark, d):
     return fusion.boosted(_hits(spark, d)[0], fusion.importance(ranks)).select("path", F.round("score", 6).alias("score"))
 
 
+@register(_HITS + ", " + _RANKS_WHOLE.replace("WITH ", "", 1) + " SELECT path, round(lex.score * (1 + coalesce(least(1, greatest(0, r10.score * 100)), 0)), 6) AS score FROM lex LEFT JOIN r10 ON node = path")
+def pagerank_boost_whole(spark, d):
+    """pagerank_boost with the scores over all calls."""
+    scores = graph.pagerank(part_nodes(spark, d), call_edges(spark, d), iterations=10, tolerance=None)
+    ranks = scores.select(F.col("node").alias("relative_path"), F.col("node").alias("file_path"), (F.col("score") * 100).alias("pagerank_score"))
+    return fusion.boosted(_hits(spark, d)[0], fusion.importance(ranks)).select("path", F.round("score", 6).alias("score"))
+
+
 # --- processing logs and versions -----------------------------------------------------------------------------------------
 
 

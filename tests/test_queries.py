@@ -1,5 +1,7 @@
 """Registered queries on small tables of their own, against brute force."""
 
+import pytest
+
 from lodestar.queries import QUERIES, QUERY_TERMS
 
 
@@ -28,3 +30,19 @@ def test_phase_merge_covers_whole_tables(spark, tmp_path):
     last = {user: kind for _, user, kind in events}
     want = sorted((k, 10 + k if k < 12 else None, last[k], 2 if k >= 5 else None) for k in range(15))
     assert sorted(tuple(r) for r in QUERIES["phase_merge_whole"](spark, d).collect()) == want
+
+
+def test_calls_of_the_whole_graph(spark, tmp_path):
+    orders = [(1, 2, 3), (3, 1), (4, 2, 2, 1), (2, 4), (3, 2)]
+    items = [(o, k + 1, p) for o, parts in enumerate(orders) for k, p in enumerate(parts)]
+    edges = {(a, b) for parts in orders for a, b in zip(parts, parts[1:]) if a != b}
+    assert (3, 1) in edges and (1, 2) in edges and (2, 3) in edges  # a cycle
+    d = write(spark, tmp_path, lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long"), part=([(i,) for i in range(1, 5)], "p_partkey long"))
+    counts = {n: sum(b == n for _, b in edges) for n in range(1, 5)}
+    order = sorted(counts, key=lambda n: (-counts[n], n))
+    assert sorted(tuple(r) for r in QUERIES["in_degree_rank_whole"](spark, d).collect()) == sorted((n, counts[n], order.index(n) + 1) for n in counts)
+    scores = dict.fromkeys(counts, 0.25)
+    for _ in range(10):
+        scores = {n: 0.15 / 4 + 0.85 * sum(scores[a] / sum(x == a for x, _ in edges) for a, b in edges if b == n) for n in scores}
+    got = {r.node: r.score for r in QUERIES["pagerank_10_iters_whole"](spark, d).collect()}
+    assert got == pytest.approx(scores, abs=1e-8) and sum(got.values()) == pytest.approx(1, abs=1e-8)
