@@ -101,11 +101,12 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
-    """What the wide generators propose: (kind, start, end), overlaps and all."""
+    """What the wide generators propose: (kind, start, end), overlaps and all. A generator is left out only where it
+    can match nothing: without a digit, or without any of the marks that can stand for an '@'."""
     digits = bool(_DIGIT.search(text))
     out = []
     for kind, pattern in WIDE.items():
-        if digits if kind != "email" else _OBFUSCATED.search(text):
+        if digits if kind != "email" else "@" in text or _OBFUSCATED.search(text):
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
 

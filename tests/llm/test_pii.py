@@ -1,7 +1,7 @@
 import random
 import re
 
-from lodestar.llm.pii import KINDS, base_spans, find, personal_data, redact, trained
+from lodestar.llm.pii import KINDS, WIDE, base_spans, find, personal_data, proposals, redact, trained
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -71,3 +71,16 @@ def test_operator(spark):
 
 def test_redact_overlaps():
     assert redact("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[ip]f"
+
+
+def test_email_proposals_depend_on_their_surroundings_only():
+    for address in ("john @ example.com", "john@ example.com", "john @example.com", "john@example .com", "john@example. com"):
+        text = f"please mail {address}, thanks"
+        span = ("email", 12, 12 + len(address))
+        assert span in proposals(text) and span in proposals(text + " or meet (at) the dot com"), text
+        assert find(text, trained())[1] == find(text + " " * 40 + "we met (at) noon", trained())[1], text
+    r = random.Random(2)
+    bits = ["a", "bc", "@", " @ ", " at ", "(at)", "[at]", ".", " . ", " dot ", "[dot]", " ", "-", "x.y", "\n", "é"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert [p for p in proposals(text) if p[0] == "email"] == [("email", *m.span()) for m in WIDE["email"].finditer(text)], text
