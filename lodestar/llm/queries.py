@@ -49,7 +49,7 @@ FROM m GROUP BY doc_id
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantised, top_k
 
-    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 256)
+    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 256, every_row=True)
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 

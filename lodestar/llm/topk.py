@@ -72,22 +72,24 @@ def _block(k: int):
     return f
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
+def quantised(vectors: DataFrame, scale: int = 256, every_row: bool = False) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as long. Vectors that are null or hold null or non-finite
-    components, and rows without a vec_id, are left out; rows that share a vec_id count once, with the least vector."""
+    components, and rows without a vec_id, are left out; rows that share a vec_id count once, with the least vector,
+    or with every_row each."""
     x = F.col("embedding")
     fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     rows = vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows if every_row else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """The k highest inner products of each query over all other rows: query_id, rank, vec_id, score.
 
     rows, queries: (vec_id, v array<long>). Ties go to the smaller vec_id; a query is compared with vectors of its own
-    length only. An empty side gives an empty result. Nothing is broadcast; a task holds one block of either side."""
+    length only, and with no row of its own vec_id. Rows that share a vec_id are candidates each; queries that share one
+    are one query, whose k results are the best of all of theirs. An empty side gives an empty result. Nothing is broadcast; a task holds one block of either side."""
     n, m = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
-    spread = lambda df, mine, of, other, upto: df.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(mine)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(upto - 1))))
+    spread = lambda df, mine, of, other, upto: df.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(of)).cast("int").alias(mine)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(upto - 1))))
     left, right = spread(rows, "rb", n, "qb", m), spread(queries, "qb", m, "rb", n)
     keys = ["dims", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k), "query_id long, vec_id long, score long")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from lodestar.llm.queries import QUERIES
 from lodestar.llm.topk import quantised, search_block, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, v string, query_id int"
@@ -43,3 +44,15 @@ def test_fewer_rows_than_k_and_empty(spark):
 def test_large_components_stay_exact():
     v = np.array([[2**30, 1], [2**30, 2], [3, -(2**30)]])
     assert [(int(o), i.tolist(), [int(x) for x in s]) for o, i, s in search_block(v, np.array([1, 2, 3]), v[:1], np.array([1]), 2)] == [(1, [2, 3], [2**60 + 2, 3 * 2**30 - 2**30])]
+
+
+def test_registered_query_keeps_every_row(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i % 120, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(3, [9.0] * 8)] * 2 + [(0, [9.0] * 8), (50, None), (None, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    fit = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e is not None]
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for o, v in fit if o == q for i, w in fit if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert sorted(tuple(x) for x in QUERIES["op6_exact_topk"](spark, str(tmp_path)).collect()) == want
