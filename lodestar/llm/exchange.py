@@ -91,7 +91,8 @@ class Sketch:
 
 
 def pack_counted(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A partition's sketch in sparse form: per key the low 39 bits and whether the partition counts it twice or more."""
+    """A partition's distinct keys as a list, in place of a sketch: per key the low 39 bits and whether the partition
+    counts it twice or more."""
     v = ((keys & U64((1 << 39) - 1)) << U64(1)) | (counts > 1).astype(U64)
     return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -104,7 +105,8 @@ def unpack_counted(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimated_repeated(payloads: list[bytes]) -> list[np.ndarray]:
-    """Merge the partitions' sketches; which keys they estimate at two or more. Estimates are never too low."""
+    """Add the partitions' key lists up in one sketch; which keys it estimates at two or more. Estimates are never too
+    low."""
     sketch = Sketch(sum(map(len, payloads)) // 5)
     for p in payloads:
         sketch.add(*unpack_counted(p))

@@ -3,11 +3,12 @@
 A window (`width` words) is represented by the least hash among its 8-word grams; equal windows have equal
 representatives, and neighbours mostly share one, so a partition has about 2 representatives per `width - 7` words.
 
-Pass 1: every partition of documents (chunk) sends a sparse count-min sketch of its representatives to the shards; a shard
-adds up the sketches and answers which representatives are estimated to occur twice or more. Estimates are never too low,
+Pass 1: every partition of documents (chunk) sends the list of its distinct representatives to the shards (39 bits each and
+whether it counts them twice; no sketch of its own); a shard adds the lists up in one count-min sketch and answers which
+representatives are estimated to occur twice or more. Estimates are never too low,
 so no repeated window is lost. Pass 2: only windows whose representative is estimated repeated are grouped exactly, by a
-128-bit hash of their word sequence; a window that occurs once after all is left alone. Sketches are sharded rather than
-broadcast: their size grows with the input, a shard's does not.
+128-bit hash of their word sequence; a window that occurs once after all is left alone. The sketch is sharded rather than
+broadcast: its size grows with the input, a shard's does not.
 """
 
 from __future__ import annotations
