@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,18 +137,67 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Words up to this many bytes are hashed together, eight bytes a step; longer ones by XXH3, one by one.
+SHORT_WORD = 64
+
+
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    n = len(body) + 1
-    prefix = prefix_sums(BYTE_VALUES[lane][body], powers(BASES[lane], n))
-    return mix(span_hash(prefix, powers(inverse(BASES[lane]), n), starts, ends) + (ends - starts).astype(U64))
+    """A 64-bit hash of each span's bytes; lanes are independent. Every step mixes, so no two words can be built to
+    collide at all positions or lengths, as they can for sums of powers modulo 2 ** 64."""
+    length = (ends - starts).astype(np.int64)
+    h = mix(length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(BASES[lane]))
+    if not len(h):
+        return h
+    padded = np.zeros(len(body) + 8, np.uint8)
+    padded[: len(body)] = body
+    eight = np.ndarray(len(body) + 1, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
+    left = np.minimum(length, SHORT_WORD)
+    at, todo = starts, np.arange(len(h))
+    while len(todo):
+        part = eight[at]
+        short = np.flatnonzero(left < 8)
+        part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        h[todo] = mix(h[todo] ^ (part + U64(BASES[lane + 2])))
+        go = left > 8
+        todo, at, left = todo[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]].tobytes(), BASES[lane])
+    return h
+
+
+def run_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each `width` consecutive hashes (len(values) - width + 1 of them), by doubling: a run of 2k is
+    mixed from two runs of k, and the runs of width's binary digits are chained."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    run, size, at, out = values, 1, 0, None
+    while True:
+        if width & size:
+            out = run[at : at + n].copy() if out is None else joined(out, run[at : at + n], lane)
+            at += size
+        if size * 2 > width:
+            return mix(out + U64(BASES[lane + 2]))
+        run = joined(run[: len(run) - size], run[size:], lane)
+        size *= 2
+
+
+def joined(left: np.ndarray, right: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    x = (left ^ U64(BASES[lane])) * U64(0x9E3779B97F4A7C15)
+    x ^= x >> U64(29)
+    x += right
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    return x
 
 
-def run_hashes(values: np.ndarray, width: int, lane: int = 2) -> np.ndarray:
-    """A 64-bit hash of each `width` consecutive values (len(values) - width + 1 of them)."""
+def byte_runs(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each `width` consecutive values, by sums of powers; for runs that are short, such as 20 bytes,
+    and where a collision costs time only."""
     n = len(values)
     if n < width:
         return np.zeros(0, U64)
-    prefix = prefix_sums(values, powers(BASES[lane], n))
+    prefix = prefix_sums(values, powers(BASES[2], n))
     at = np.arange(n - width + 1)
-    return mix(span_hash(prefix, powers(inverse(BASES[lane]), n + 1), at, at + width))
+    return mix(span_hash(prefix, powers(inverse(BASES[2]), n + 1), at, at + width))

@@ -22,16 +22,19 @@ from .common import BASES, NULL_ID, U64, narrow, shuffle_partitions, total_bytes
 
 MESSAGE = "shard int, chunk int, step int, payload binary"
 NAMES = ["shard", "chunk", "step", "payload"]
+#: Step of a message that a chunk sends to itself: it passes through a shard as it is and saves the chunk a second run.
+OWN = 0
 BLOCK_BYTES = 1 << 20
 
 
 def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, d, raw, chunk) dealt by chunk, and how many chunks' worth of text there is."""
+    """(doc_id, d, raw, chunk) dealt by chunk, and how many chunks' worth of text there is. A partition for each chunk,
+    so that a task reads as much of a large input as of a small one."""
     total = total_bytes(docs)
     n = max(1, -(-total // chunk_bytes))
     rows = narrow(docs).select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID + 1)).alias("d"), "raw")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).cast("int"))
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk"), n
+    return rows.repartition(max(shuffle_partitions(docs.sparkSession), n), "chunk"), n
 
 
 def messages(chunk: int, step: int, shard: np.ndarray, shards: int, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
@@ -61,60 +64,129 @@ def asked(rows: DataFrame, step: Callable[[int, pa.Table, pa.Table | None], pa.T
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, t, a: step(key[0].as_py(), t, a), MESSAGE)
 
 
-def merged(questions: DataFrame, shard: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """Each shard's messages to shard(payloads), which returns a bit array per payload: the answers."""
+def merged(questions: DataFrame, shard: Callable[[list[bytes]], list[np.ndarray]], shards: int) -> DataFrame:
+    """Each shard's messages to shard(payloads), which returns a bit array per payload: the answers. A chunk's messages
+    to itself come through as they are."""
 
     def f(key: tuple, t: pa.Table) -> pa.Table:
+        own = pa.compute.equal(t["step"], OWN)
+        through, t = t.filter(own), t.filter(pa.compute.invert(own))
+        if not t.num_rows:
+            return through
         bits = [np.packbits(b).tobytes() for b in shard([x.as_py() for x in t["payload"]])]
-        return pa.table([t["shard"], t["chunk"], t["step"], pa.array(bits, pa.binary())], NAMES)
+        return pa.concat_tables([pa.table([t["shard"], t["chunk"], t["step"], pa.array(bits, pa.binary())], NAMES), through])
 
-    return questions.groupBy("shard").applyInArrow(f, MESSAGE)
+    dealt = questions.repartition(max(shuffle_partitions(questions.sparkSession), shards), "shard")
+    return dealt.groupBy("shard").applyInArrow(f, MESSAGE)
 
 
-class Sketch:
-    """A count-min sketch of `depth` rows, as large as its keys ask for."""
+def own_message(chunk: int, shards: int, payload: bytes) -> pa.Table:
+    return pa.table([pa.array([chunk % shards], pa.int32()), pa.array([chunk], pa.int32()), pa.array([OWN], pa.int32()), pa.array([payload], pa.binary())], NAMES)
 
-    def __init__(self, keys: int, depth: int = 3) -> None:
-        self.bits = max(10, int(np.ceil(np.log2(max(keys, 1) * 4))))
-        self.rows = np.zeros((depth, 1 << self.bits), np.uint32)
 
-    def cells(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        for r in range(len(self.rows)):
-            yield (keys * U64(BASES[r])) >> U64(64 - self.bits)
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, compressed, each in the narrowest type that holds it."""
+    out = [np.array([len(arrays)], np.int64).tobytes()]
+    for a in arrays:
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t is np.int64 or not len(a) or (a.min() >= 0 and a.max() <= np.iinfo(t).max))
+        out += [np.array([np.dtype(kind).itemsize, len(a)], np.int64).tobytes(), a.astype(kind).tobytes()]
+    plain = b"".join(out)
+    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        for row, cell in zip(self.rows, self.cells(keys), strict=True):
-            np.add.at(row, cell, counts)
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        return np.minimum.reduce([row[cell] for row, cell in zip(self.rows, self.cells(keys), strict=True)])
+def unpack_arrays(payload: bytes) -> list[np.ndarray]:
+    plain = pa.decompress(payload[8:], int(np.frombuffer(payload[:8], np.int64)[0]), codec="zstd", asbytes=True)
+    out, at = [], 8
+    for _ in range(int(np.frombuffer(plain[:8], np.int64)[0])):
+        width, n = np.frombuffer(plain[at : at + 16], np.int64).tolist()
+        out.append(np.frombuffer(plain[at + 16 : at + 16 + width * n], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64))
+        at += 16 + width * n
+    return out
 
 
-def pack_counted(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A partition's distinct keys as a list, in place of a sketch: per key the low 39 bits and whether the partition
-    counts it twice or more."""
+class CountMin:
+    """A count-min sketch cut into shards: a key's shard and its cell in each of the shard's rows. Partitions send their
+    rows in sparse form, the cells that they count something in, in ascending order; a shard adds the rows up. Counts
+    stop at 2, which is all that is asked."""
+
+    DEPTH = 2
+
+    def __init__(self, shards: int, cells: int) -> None:
+        self.shards = shards
+        self.bits = max(10, int(np.ceil(np.log2(max(cells, 2)))))
+
+    def places(self, keys: np.ndarray, row: int) -> np.ndarray:
+        """Shard and cell of each key in a row, as one number."""
+        shard = (keys >> U64(32)) % U64(self.shards)
+        return (shard << U64(self.bits)) | ((keys * U64(BASES[row])) >> U64(64 - self.bits))
+
+    def sparse_rows(self, keys: np.ndarray, inverse: bool = False) -> list[tuple]:
+        """Per row of this partition's own sketch: the cells counted, their counts, and with inverse each key's cell."""
+        return [np.unique(self.places(keys, r), return_counts=True, return_inverse=inverse) for r in range(self.DEPTH)]
+
+    def _cuts(self, cells: np.ndarray) -> np.ndarray:
+        return np.searchsorted(cells, np.arange(self.shards + 1).astype(U64) << U64(self.bits))
+
+    def messages(self, chunk: int, step: int, keys: np.ndarray) -> pa.Table:
+        rows = [(cells, counts, self._cuts(cells)) for cells, counts in self.sparse_rows(keys)]
+        low, out = U64((1 << self.bits) - 1), []
+        for s in range(self.shards):
+            if rows[0][2][s] < rows[0][2][s + 1]:
+                parts = []
+                for cells, counts, cut in rows:
+                    own = (cells[cut[s] : cut[s + 1]] & low).astype(np.int64)
+                    parts += [np.diff(own, prepend=0), np.packbits(counts[cut[s] : cut[s + 1]] > 1)]
+                out.append((s, pack_arrays(*parts)))
+        n = len(out)
+        return pa.table([pa.array([s for s, _ in out], pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([step] * n, pa.int32()), pa.array([p for _, p in out], pa.binary())], NAMES)
+
+    def add_up(self, payloads: list[bytes]) -> list[np.ndarray]:
+        """The sum of all partitions' rows; per payload and row, which of its cells hold two or more."""
+        total = np.zeros((self.DEPTH, 1 << self.bits), np.uint8)
+        every = []
+        for p in payloads:
+            parts = unpack_arrays(p)
+            cells = [np.cumsum(d) for d in parts[::2]]
+            for row, at, twice in zip(total, cells, parts[1::2], strict=True):
+                row[at] = np.minimum(row[at] + 1 + np.unpackbits(twice.astype(np.uint8))[: len(at)], 2)
+            every.append(cells)
+        return [np.concatenate([row[at] >= 2 for row, at in zip(total, cells, strict=True)]) for cells in every]
+
+    def estimated_repeated(self, table: pa.Table, step: int, keys: np.ndarray) -> np.ndarray:
+        """Which keys the merged sketch estimates at two or more: those whose cell does so in every row."""
+        rows = [(*x, self._cuts(x[0])) for x in self.sparse_rows(keys, inverse=True)]
+        hot = [np.zeros(len(x[0]), bool) for x in rows]
+        for s, k, bits in zip(table["shard"].to_pylist(), table["step"].to_pylist(), table["payload"].to_pylist(), strict=True):
+            if k == step:
+                flags, at = np.unpackbits(np.frombuffer(bits, np.uint8)), 0
+                for of, (*_, cut) in zip(hot, rows, strict=True):
+                    n = cut[s + 1] - cut[s]
+                    of[cut[s] : cut[s + 1]] = flags[at : at + n]
+                    at += n
+        return np.logical_and.reduce([of[inv] for of, (_, inv, _, _) in zip(hot, rows, strict=True)])
+
+
+def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A partition's distinct keys: per key the low 39 bits and whether the partition has it twice or more."""
     v = ((keys & U64((1 << 39) - 1)) << U64(1)) | (counts > 1).astype(U64)
     return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def unpack_counted(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = np.zeros((len(payload) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(payload, np.uint8).reshape(-1, 5)
-    v = wide.view(U64)[:, 0]
-    return v >> U64(1), 1 + (v & U64(1)).astype(np.uint32)
-
-
-def estimated_repeated(payloads: list[bytes]) -> list[np.ndarray]:
-    """Add the partitions' key lists up in one sketch; which keys it estimates at two or more. Estimates are never too
-    low."""
-    sketch = Sketch(sum(map(len, payloads)) // 5)
+def repeated_keys(payloads: list[bytes]) -> list[np.ndarray]:
+    """Which keys of each list two lists have, or one counts twice."""
+    parts = []
     for p in payloads:
-        sketch.add(*unpack_counted(p))
-    return [sketch.estimate(unpack_counted(p)[0]) >= 2 for p in payloads]
+        wide = np.zeros((len(p) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(p, np.uint8).reshape(-1, 5)
+        parts.append(wide.view(U64)[:, 0])
+    every = np.concatenate(parts)
+    _, inv = np.unique(every >> U64(1), return_inverse=True)
+    total = np.bincount(inv, 1 + (every & U64(1)).astype(np.int64))
+    return np.split(total[inv] >= 2, np.cumsum([len(p) for p in parts])[:-1])
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the bits that pack_counted leaves out, so that they add to the keys' 39."""
+    """By the bits that pack_keys leaves out, so that they add to the keys' 39."""
     return ((keys >> U64(39)) % U64(shards)).astype(np.int64)
 
 

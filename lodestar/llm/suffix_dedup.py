@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASES, BYTE_VALUES, U64, blocks, inverse, powers, prefix_sums, raw_parts, run_hashes, span_hash
-from .exchange import BLOCK_BYTES, answered, asked, chunked, estimated_repeated, leftmost_least, merged, messages, pack_counted, shard_of
+from .common import BASES, BYTE_VALUES, U64, blocks, byte_runs, inverse, powers, prefix_sums, raw_parts, span_hash
+from .exchange import BLOCK_BYTES, answered, asked, chunked, leftmost_least, merged, messages, pack_keys, repeated_keys, shard_of
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 20
@@ -45,7 +45,7 @@ class Block:
     def __init__(self, body: np.ndarray, offsets: np.ndarray, d: np.ndarray, width: int) -> None:
         self.body, self.offsets, self.d, self.width = body, offsets, d, width
         gram = min(GRAM, width)
-        grams = run_hashes(BYTE_VALUES[0][body], gram)
+        grams = byte_runs(BYTE_VALUES[0][body], gram)
         whole = np.zeros(max(0, len(body) - width + 1), bool)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             whole[a : max(a, b - width + 1)] = True
@@ -188,7 +188,7 @@ class Steps:
 
     def sketch(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
         keys, counts = _summed([b.counted() for b in _blocks(table, self.width)])
-        return messages(chunk, 1, shard_of(keys, self.shards), self.shards, lambda i: pack_counted(keys[i], counts[i]))
+        return messages(chunk, 1, shard_of(keys, self.shards), self.shards, lambda i: pack_keys(keys[i], counts[i]))
 
     def _segments(self, table: pa.Table, answers: pa.Table) -> dict:
         """The chunk's distinct suspected segments (key, least doc, count, bytes) and where each occurs."""
@@ -272,8 +272,8 @@ def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False
     gives an empty result."""
     rows, n = chunked(docs, chunk_bytes)
     steps = Steps(width, n)
-    first = merged(asked(rows, steps.sketch), estimated_repeated)
-    second = merged(asked(rows, steps.segments, first), _shard(width))
+    first = merged(asked(rows, steps.sketch), repeated_keys, n)
+    second = merged(asked(rows, steps.segments, first), _shard(width), n)
     answers = first.unionByName(second)
     kind = "string" if digest else "binary"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")

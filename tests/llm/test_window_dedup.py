@@ -50,6 +50,14 @@ def test_against_brute_force(spark, seed, width):
     assert got(spark, rows, width, chunk_bytes=4000) == brute(rows, width)
 
 
+def test_long_words_that_sums_of_powers_confuse(spark):
+    """Words of 1,024 bytes in the Thue-Morse order and their complements: equal under any sum of powers modulo 2 ** 64."""
+    a, b = ("".join(x[i.bit_count() % 2] for i in range(1024)) for x in ("ab", "ba"))
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join([*words, a, *words])), (2, " ".join([*words, b, *words]))]
+    assert got(spark, rows, 35) == brute(rows, 35) and brute(rows, 35)[0][2] == 0
+
+
 def test_digest_and_empty(spark):
     assert got(spark, [(1, "a  b")], 35, digest=True) == [(1, 2, 0, hashlib.sha256(b"a b").hexdigest())]
     assert got(spark, [], 35) == []
