@@ -141,7 +141,7 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 SHORT_WORD = 64
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0, short: int = SHORT_WORD) -> np.ndarray:
     """A 64-bit hash of each span's bytes; lanes are independent. Every step mixes, so no two words can be built to
     collide at all positions or lengths, as they can for sums of powers modulo 2 ** 64."""
     length = (ends - starts).astype(np.int64)
@@ -151,16 +151,16 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
     padded = np.zeros(len(body) + 8, np.uint8)
     padded[: len(body)] = body
     eight = np.ndarray(len(body) + 1, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
-    left = np.minimum(length, SHORT_WORD)
+    left = np.minimum(length, short)
     at, todo = starts, np.arange(len(h))
     while len(todo):
         part = eight[at]
-        short = np.flatnonzero(left < 8)
-        part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        last = np.flatnonzero(left < 8)
+        part[last] &= (U64(1) << (left[last] * 8).astype(U64)) - U64(1)
         h[todo] = mix(h[todo] ^ (part + U64(BASES[lane + 2])))
         go = left > 8
         todo, at, left = todo[go], at[go] + 8, left[go] - 8
-    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+    for i in np.flatnonzero(length > short).tolist():
         h[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]].tobytes(), BASES[lane])
     return h
 

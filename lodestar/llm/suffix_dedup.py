@@ -1,8 +1,8 @@
 """Exact removal of byte strings that also start in a document with a smaller id, with sharded suffix arrays.
 
 1. Every `width`-byte window is represented by the least hash among its 20-byte grams; equal windows have equal
-   representatives and neighbours mostly share one. Chunks of documents ask shards, by sparse count-min sketches, which
-   representatives are found in two documents or more. Estimates are never too low.
+   representatives and neighbours mostly share one. Chunks of documents ask shards, with lists of 39 bits a key, which
+   representatives are found in two documents or more; a false match costs time only.
 2. The windows of a document that share such a representative are one segment (at most 2 * width bytes). Each chunk
    sends its distinct segments, with the least doc_id of each, to the shard of their representative, so that all equal
    windows meet in one shard and a passage copied into a third of all documents is one entry per chunk.
@@ -17,14 +17,13 @@ Strings are compared as bytes by the suffix array; a 128-bit hash only merges se
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASES, BYTE_VALUES, U64, blocks, byte_runs, inverse, powers, prefix_sums, raw_parts, span_hash
-from .exchange import BLOCK_BYTES, answered, asked, chunked, leftmost_least, merged, messages, pack_keys, repeated_keys, shard_of
+from .common import BYTE_VALUES, U64, blocks, byte_runs, raw_parts, word_hashes
+from .exchange import BLOCK_BYTES, OWN, answered, asked, chunked, leftmost_least, merged, messages, own_message, pack_arrays, pack_keys, repeated_keys, shard_of, unpack_arrays
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 20
@@ -39,62 +38,37 @@ def _pair_ranks(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-class Block:
-    """The windows of some of a chunk's documents. Places are byte offsets in the block."""
-
-    def __init__(self, body: np.ndarray, offsets: np.ndarray, d: np.ndarray, width: int) -> None:
-        self.body, self.offsets, self.d, self.width = body, offsets, d, width
-        gram = min(GRAM, width)
-        grams = byte_runs(BYTE_VALUES[0][body], gram)
-        whole = np.zeros(max(0, len(body) - width + 1), bool)
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            whole[a : max(a, b - width + 1)] = True
-        self.windows = np.flatnonzero(whole)
-        self.chosen = leftmost_least(grams, width - gram + 1)[self.windows]
-        new = np.ones(len(self.windows), bool)
-        new[1:] = (self.chosen[1:] != self.chosen[:-1]) | (self.windows[1:] != self.windows[:-1] + 1)
-        first = np.flatnonzero(new)
-        #: Segments: first window, number of windows, representative, document.
-        self.start = self.windows[first]
-        self.count = np.diff(np.append(first, len(self.windows)))
-        self.key = grams[self.chosen[first]] if len(first) else np.zeros(0, U64)
-        self.doc = d[np.searchsorted(offsets, self.start, "right") - 1] if len(first) else np.zeros(0, np.int64)
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct representatives and in how many documents each is found."""
-        order, group = _pair_ranks(self.key, self.doc)
-        pick = order[np.flatnonzero(np.diff(group, prepend=-1))]
-        return np.unique(self.key[pick], return_counts=True)
-
-    def hashed(self, at: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit hashes of the bytes of segments."""
-        n = len(self.body) + 1
-        a, b = self.start[at], self.start[at] + self.count[at] - 1 + self.width
-        return [span_hash(prefix_sums(BYTE_VALUES[k][self.body], powers(BASES[k], n)), powers(inverse(BASES[k]), n), a, b) + self.count[at].astype(U64) for k in (0, 1)]
+def _representatives(body: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and representative of each segment of some documents."""
+    gram = min(GRAM, width)
+    grams = byte_runs(BYTE_VALUES[0][body], gram)
+    whole = np.zeros(max(0, len(body) - width + 1), bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        whole[a : max(a, b - width + 1)] = True
+    windows = np.flatnonzero(whole)
+    chosen = leftmost_least(grams, width - gram + 1)[windows]
+    new = np.ones(len(windows), bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
+    first = np.flatnonzero(new)
+    return windows[first], np.diff(np.append(first, len(windows))), grams[chosen[first]] if len(first) else np.zeros(0, U64)
 
 
 def _raw(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return raw_parts(table["raw"].combine_chunks() if table["raw"].num_chunks != 1 else table["raw"].chunk(0))
 
 
-def _blocks(table: pa.Table, width: int) -> Iterator[Block]:
-    if not table.num_rows:
-        return
-    body, offsets = _raw(table)
-    d = table["d"].to_numpy()
-    for i, j in blocks(offsets, BLOCK_BYTES):
-        yield Block(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], d[i:j], width)
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    keys, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inv, np.concatenate([c for _, c in parts]), len(keys))
-
+class Segments:
+    """All segments of a chunk: first byte (in the chunk's bytes), number of windows, representative, document. Made in
+    blocks, of which only this is kept."""
 
-def _member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys if len(of) else np.zeros(len(keys), bool)
+    def __init__(self, table: pa.Table, width: int) -> None:
+        self.body, offsets = _raw(table) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
+        for i, j in blocks(offsets, BLOCK_BYTES):
+            start, count, key = _representatives(self.body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+            parts.append((start + offsets[i], count, key))
+        self.start, self.count, self.key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc = table["d"].to_numpy()[np.searchsorted(offsets, self.start, "right") - 1] if len(self.start) else np.zeros(0, np.int64)
 
 
 def _gather(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -115,23 +89,16 @@ def unpack_segments(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.frombuffer(plain[at[0] : at[1]], U64), np.frombuffer(plain[at[1] : at[2]], np.int64), np.frombuffer(plain[at[2] : at[3]], np.uint8).astype(np.int64), np.frombuffer(plain[at[3] :], np.uint8)
 
 
-def _stretch_hashes(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of consecutive stretches of body, some of them at a time."""
-    out = [np.empty(len(start), U64) for _ in (0, 1)]
-    for i, j in blocks(np.append(start, len(body)), BLOCK_BYTES) if len(start) else ():
-        a, b = int(start[i]), int(start[j - 1] + length[j - 1])
-        n = b - a + 1
-        for k in (0, 1):
-            prefix = prefix_sums(BYTE_VALUES[k][body[a:b]], powers(BASES[k], n))
-            out[k][i:j] = span_hash(prefix, powers(inverse(BASES[k]), n), start[i:j] - a, start[i:j] + length[i:j] - a) + length[i:j].astype(U64)
-    return out
+def _hashes(body: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of each stretch of body."""
+    return [word_hashes(body, start, start + length, lane, 2 * width) for lane in (0, 1)]
 
 
 def least_documents(key: np.ndarray, doc: np.ndarray, count: np.ndarray, body: np.ndarray, width: int) -> np.ndarray:
     """For every window of every segment, the least doc of the segments that hold an equal window."""
     length = count - 1 + width
     start = np.cumsum(length) - length
-    h = _stretch_hashes(body, start, length)
+    h = _hashes(body, start, length, width)
     order, group = _pair_ranks(key, *h)
     first = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
@@ -186,60 +153,64 @@ class Steps:
     def __init__(self, width: int, shards: int) -> None:
         self.width, self.shards = width, shards
 
-    def sketch(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
-        keys, counts = _summed([b.counted() for b in _blocks(table, self.width)])
-        return messages(chunk, 1, shard_of(keys, self.shards), self.shards, lambda i: pack_keys(keys[i], counts[i]))
-
-    def _segments(self, table: pa.Table, answers: pa.Table) -> dict:
-        """The chunk's distinct suspected segments (key, least doc, count, bytes) and where each occurs."""
-        keys, _ = _summed([b.counted() for b in _blocks(table, self.width)])
-        suspects = keys[answered(answers, 1, shard_of(keys, self.shards), self.shards)]
-        names = ("key", "h0", "h1", "doc", "count", "at", "body")
-        found: dict[str, list] = {n: [] for n in names}
-        base = 0
-        for b in _blocks(table, self.width):
-            at = np.flatnonzero(_member(b.key, suspects))
-            h = b.hashed(at)
-            for n, x in zip(names, (b.key[at], *h, b.doc[at], b.count[at], b.start[at] + base, _gather(b.body, b.start[at], b.count[at] - 1 + self.width)), strict=True):
-                found[n].append(x)
-            base += len(b.body)
-        types = {"key": U64, "h0": U64, "h1": U64, "body": np.uint8}
-        f = {n: np.concatenate([np.zeros(0, types.get(n, np.int64)), *x]) for n, x in found.items()}
-        order, group = _pair_ranks(f["key"], f["h0"], f["h1"])
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        of = np.empty(len(order), np.int64)
-        of[order] = group
-        pick = order[first]
-        length = f["count"] - 1 + self.width
-        start = np.cumsum(length) - length
-        return {"at": f["at"], "doc": f["doc"], "of": of, "key": f["key"][pick], "least": np.minimum.reduceat(f["doc"][order], first) if len(first) else np.zeros(0, np.int64), "count": f["count"][pick], "body": f["body"], "start": start[pick]}
+    def keys(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
+        """The chunk's distinct representatives, and whether two of its documents have them."""
+        g = Segments(table, self.width)
+        order = np.argsort(g.key, kind="stable")
+        k, doc = g.key[order], g.doc[order]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+        return messages(chunk, 1, shard_of(k[first], self.shards), self.shards, lambda i: pack_keys(k[first[i]], 1 + several[i].astype(np.int64)))
 
     def segments(self, chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        g = self._segments(table, answers)
+        """The chunk's distinct suspected segments with the least document of each, numbered as they first occur; for
+        the chunk itself, where each occurs, so that it need not look for them again."""
+        g = Segments(table, self.width)
+        keys, inv = np.unique(g.key, return_inverse=True)
+        at = np.flatnonzero(answered(answers, 1, shard_of(keys, self.shards), self.shards)[inv])
+        start, count, key, doc = g.start[at], g.count[at], g.key[at], g.doc[at]
+        length = count - 1 + self.width
+        order, group = _pair_ranks(*_hashes(g.body, start, length, self.width))
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(order[first])] = np.arange(len(first))
+        of = np.empty(len(order), np.int64)
+        of[order] = number[group]
+        pick = np.sort(order[first])
+        least = np.empty(len(first), np.int64)
+        least[number] = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
+        shard = shard_of(key[pick], self.shards)
 
         def pack(i: np.ndarray) -> bytes:
-            return pack_segments(g["key"][i], g["least"][i], g["count"][i], _gather(g["body"], g["start"][i], g["count"][i] - 1 + self.width))
+            who = pick[i]
+            return pack_segments(key[who], least[i], count[who], _gather(g.body, start[who], length[who]))
 
-        return messages(chunk, 2, shard_of(g["key"], self.shards), self.shards, pack)
+        new = np.zeros(len(at), bool)
+        new[pick] = True
+        state = pack_arrays(np.diff(start, prepend=0), np.packbits(new), of[~new], np.packbits(doc > least[of]), count[pick], shard)
+        return pa.concat_tables([messages(chunk, 2, shard, self.shards, pack), own_message(chunk, self.shards, state)])
 
     def result(self, table: pa.Table, answers: pa.Table, text: bool) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary() if text else pa.string())], names)
-        g = self._segments(table, answers)
-        count = g["count"]
-        bits = answered(answers, 2, np.repeat(shard_of(g["key"], self.shards), count), self.shards)
+        state = [p for k, p in zip(answers["step"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == OWN]
+        steps, new, again, later, count, shard = unpack_arrays(state[0])
+        at = np.cumsum(steps)
+        new, later = (np.unpackbits(x.astype(np.uint8))[: len(at)].astype(bool) for x in (new, later))
+        of = np.cumsum(new) - 1
+        of[~new] = again
+        bits = answered(answers, 2, np.repeat(shard, count), self.shards)
         body, offsets = _raw(table)
         mark = np.zeros(len(body) + 1, np.int32)
-        later = g["doc"] > g["least"][g["of"]]
-        np.add.at(mark, g["at"][later], 1)
-        np.subtract.at(mark, g["at"][later] + count[g["of"][later]] - 1 + self.width, 1)
+        np.add.at(mark, at[later], 1)
+        np.subtract.at(mark, at[later] + count[of[later]] - 1 + self.width, 1)
         own = np.flatnonzero(~later)
-        reps = count[g["of"][own]]
+        reps = count[of[own]]
         step = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         base = np.cumsum(count) - count
-        hit = bits[np.repeat(base[g["of"][own]], reps) + step]
-        place = (np.repeat(g["at"][own], reps) + step)[hit]
+        hit = bits[np.repeat(base[of[own]], reps) + step]
+        place = (np.repeat(at[own], reps) + step)[hit]
         np.add.at(mark, place, 1)
         np.subtract.at(mark, place + self.width, 1)
         gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
@@ -272,8 +243,7 @@ def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False
     gives an empty result."""
     rows, n = chunked(docs, chunk_bytes)
     steps = Steps(width, n)
-    first = merged(asked(rows, steps.sketch), repeated_keys, n)
+    first = merged(asked(rows, steps.keys), repeated_keys, n)
     second = merged(asked(rows, steps.segments, first), _shard(width), n)
-    answers = first.unionByName(second)
     kind = "string" if digest else "binary"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    return rows.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
