@@ -6,9 +6,11 @@
    1.5e-5, one of 0.85 with 7e-8.
 3. Every node is verified against one neighbour: of its buckets' leaders the most central one (whose buckets are the
    fullest). Verified pairs are links, and linked nodes form classes, so a group of near copies costs one pair a member.
-4. Buckets that still hold nodes of different classes are searched in full, in blocks of bounded size: all pairs across
-   classes whose signatures agree on at least 0.7 (4 standard deviations under 0.8) are verified too, each in the first
-   band that the pair shares. The pairs stay inside the block's task.
+4. Buckets that still hold nodes of different classes are searched in full: the nodes outside a bucket's largest class
+   against all its nodes, in blocks of bounded rows and bytes. A block first names the nodes that have a partner (in
+   another class, with signatures that agree on at least 0.7, 4 standard deviations under 0.8, in no earlier band); then
+   it gets their bags, each once, verifies the pairs and gives the links that join two classes, fewer than its nodes. No
+   list of pairs leaves a task.
 5. Classes are the connected components of all links; the smallest doc_id of a class is its id.
 
 Verification counts the exact multiset overlap of the shingles (40-bit hashes; within a pair a false match has
@@ -21,15 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import signatures
 from .common import U64, blocks, fresh, materialise, raw_parts, run_hashes, word_hashes, word_spans
 from .components import components
+from .joins import spread_join
 
 SHINGLE = 5
 BLOCK_BYTES = 2 << 20
+#: What names a task of the full search: the bucket, a part of its nodes outside the largest class, a part of all.
+BLOCK = ["key", "bo", "bi"]
 
 
 def shingles(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +71,8 @@ def _sign(components_: int):
             for i, j in blocks(offsets, BLOCK_BYTES):
                 row, h, count = bags(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sig = (signatures(row, h, count, j - i, components_) >> U64(24)).astype(np.uint8)
-                has = np.bincount(row, minlength=j - i) > 0
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["v"].slice(i, j - i), pa.array([s.tobytes() if k else None for s, k in zip(sig, has, strict=True)], pa.binary())], ["doc_id", "v", "sig"])
+                items = np.bincount(row, count, j - i).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["v"].slice(i, j - i), pa.array([s.tobytes() if k else None for s, k in zip(sig, items, strict=True)], pa.binary()), pa.array(items)], ["doc_id", "v", "sig", "items"])
 
     return f
 
@@ -120,43 +125,45 @@ def _star(threshold: float):
     return f
 
 
-def _agreeing(rows: int, bands: int, least: float):
+def _partners(v: np.ndarray, comp: np.ndarray, other: np.ndarray, sig: np.ndarray, band: int, main: bytes, rows: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For the nodes of a block that lie outside the main class (other: True), the places of their partners."""
+    classes, inv = np.unique(np.append(comp, main), return_inverse=True)
+    inv, main_class = inv[:-1], inv[-1]
+    right = np.flatnonzero(~other)
+    for x in np.flatnonzero(other).tolist():
+        # a pair outside the main class is met from both of its ends: the lesser one counts
+        y = right[(inv[right] != inv[x]) & ((inv[right] == main_class) | (v[right] > v[x]))]
+        same = sig[y] == sig[x]
+        good = same.mean(1) >= least
+        if band and good.any():
+            good[good] = ~same[good][:, : band * rows].reshape(int(good.sum()), band, rows).all(2).any(1)
+        if good.any():
+            yield x, y[good]
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    v, comp = (np.array(t[c].to_pylist(), object) for c in ("v", "comp"))
+    return v, comp, t["other"].to_numpy(zero_copy_only=False), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(v), -1)
+
+
+def _wanted(rows: int, least: float):
+    names = [*BLOCK, "v", "other", "comp", "sig"]
+
     def f(key: tuple, t: pa.Table) -> pa.Table:
-        """A block pair of a bucket: the index pairs across classes that agree enough and share no earlier band."""
-        band, bi, bj = (k.as_py() for k in key[1:])
-        names = ["key", "band", "bi", "bj", "v", "partners"]
-        v, comp = t["v"].to_pylist(), np.unique(t["comp"].to_pylist(), return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(v), -1)
-        blk = t["blk"].to_numpy()
-        left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-        main = np.bincount(comp).argmax()
-        # every pair across classes has a side outside the largest class
-        todo = [(x, right) for x in left if comp[x] != main]
-        todo += [(x, left) for x in right if comp[x] != main] if bi != bj else []
-        ends: dict[int, list[bytes]] = {}
-        for x, others in todo:
-            others = others[comp[others] != comp[x]]
-            others = others[(comp[others] == main) | (others > x)] if bi == bj else others
-            if bi != bj and blk[x] == bj:
-                others = others[comp[others] == main]
-            if not len(others):
-                continue
-            same = sig[others] == sig[x]
-            good = others[same.mean(1) >= least]
-            if len(good) and band:
-                earlier = (sig[good] == sig[x])[:, : band * rows].reshape(len(good), band, rows).all(2).any(1)
-                good = good[~earlier]
-            if len(good):
-                ends[x] = [v[y] for y in good]
-        n = len(ends)
-        return pa.table([pa.array([key[0].as_py()] * n, pa.int64()), *[pa.array([k] * n, pa.int32()) for k in (band, bi, bj)], pa.array([v[x] for x in ends], pa.binary()), pa.array(list(ends.values()), pa.list_(pa.binary()))], names)
+        """The rows of a block that have a partner or are one."""
+        v, comp, other, sig = _columns(t)
+        need = np.zeros(len(v), bool)
+        for x, found in _partners(v, comp, other, sig, t["band"][0].as_py(), t["main"][0].as_py(), rows, least):
+            need[x] = True
+            need[found] = True
+        return t.filter(pa.array(need)).select([*names, "band", "main"])
 
     return f
 
 
-def _verify(threshold: float):
-    def f(pairs: pa.Table, bag: pa.Table) -> pa.Table:
-        items = {v: _items(b) for v, b in zip(bag["v"].to_pylist(), bag["bag"].to_pylist(), strict=True)}
+def _verify(rows: int, least: float, threshold: float):
+    def f(t: pa.Table, bag: pa.Table) -> pa.Table:
+        """The links of a block that join two classes, by the exact similarity of their bags."""
         out: tuple[list, list] = ([], [])
         joined: dict[bytes, bytes] = {}
 
@@ -166,12 +173,15 @@ def _verify(threshold: float):
                 x = y
             return x
 
-        for a, partners in zip(pairs["v"].to_pylist(), pairs["partners"].to_pylist(), strict=True):
-            for b in partners:
-                if (ra := root(a)) != (rb := root(b)) and a in items and b in items and similarity(items[a], items[b]) >= threshold:
-                    joined[ra] = rb
-                    out[0].append(a)
-                    out[1].append(b)
+        if t.num_rows and bag.num_rows:
+            items = {v: _items(b) for v, b in zip(bag["own_v"].to_pylist(), bag["bag"].to_pylist(), strict=True)}
+            v, comp, other, sig = _columns(t)
+            for x, found in _partners(v, comp, other, sig, t["band"][0].as_py(), t["main"][0].as_py(), rows, least):
+                for y in found.tolist():
+                    if (a := root(comp[x])) != (b := root(comp[y])) and similarity(items[v[x]], items[v[y]]) >= threshold:
+                        joined[a] = b
+                        out[0].append(v[x])
+                        out[1].append(v[y])
         return pa.table([pa.array(x, pa.binary()) for x in out], ["a", "b"])
 
     return f
@@ -184,75 +194,101 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(v, bag) of the given nodes (v, doc_id): each is read from its row with the least doc_id."""
-    n = nodes.select("v", "doc_id")
-    rows = _keyed(docs).select(F.col("doc_id").alias("d"), "v", "raw").alias("x")
-    found = rows.join(n.hint("shuffle_hash").withColumnRenamed("v", "nv"), (F.col("v") == F.col("nv")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    return found.select("v", "raw").mapInArrow(_bag_items, "v binary, bag binary")
+    n = nodes.select(F.col("v").alias("nv"), "doc_id")
+    rows = _keyed(docs).select(F.col("doc_id").alias("d"), "v", "raw")
+    found = rows.join(n, (F.col("v") == F.col("nv")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
+    # rows that repeat an id and a text are one node
+    return found.select("v", "raw").mapInArrow(_bag_items, "v binary, bag binary").dropDuplicates(["v"])
+
+
+def _share(rows: Column, size: Column, most_rows: int, most_bytes: int) -> Column:
+    """How many parts of bounded rows and bytes there must be."""
+    return (F.greatest(F.floor(rows / most_rows), F.floor(size / most_bytes)) + 1).cast("int")
 
 
-def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, components_: int = 256, members: int = 2048, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(signed, roots): the nodes of all rows (doc_id, v), and (node, root) of those nodes that are linked."""
+def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, components_: int = 256, members: int = 256, block: int = 2048, block_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, roots, links): the nodes of all rows (doc_id, v); (node, root) of those nodes that are linked; the
+    verified links (a, b). members, block and block_bytes bound a task's rows and bytes (a longer single text excepted);
+    they change no result."""
     margin = 4 * (threshold * (1 - threshold) / components_) ** 0.5
-    signed = materialise(_keyed(docs).mapInArrow(_sign(components_), "doc_id long, v binary, sig binary"), "signatures")
-    nodes = signed.where("sig is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    signed = materialise(_keyed(docs).mapInArrow(_sign(components_), "doc_id long, v binary, sig binary, items long"), "signatures")
+    nodes = signed.where("sig is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("items").alias("items"))
+    nodes = materialise(nodes, "nodes")
     band_keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * rows + 1, rows)) for i in range(bands)])
-    keyed = nodes.select("v", "doc_id", F.posexplode(band_keys).alias("band", "key")).repartition("key", "band")
-    counts = keyed.groupBy("key", "band").agg(F.count("*").alias("n")).where("n > 1")
-    bucketed = materialise(keyed.join(counts, ["key", "band"]), "buckets")
+    keyed = nodes.select("v", F.posexplode(band_keys).alias("band", "key"))
+    counts = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    bucketed = materialise(spread_join(keyed, counts, "key", ["v"], sizes=counts), "buckets")
     # the leader of a bucket: the node whose buckets hold the most
-    degree = bucketed.groupBy("v").agg(F.sum("n").alias("degree"), F.first("doc_id").alias("doc_id"))
-    central = materialise(degree, "degrees")
-    ranked = bucketed.select("v", "key", "band").join(central.select("v", "degree"), "v")
-    leaders = ranked.groupBy("key", "band").agg(F.max(F.struct("degree", "v")).alias("leader"))
-    first = ranked.join(leaders, ["key", "band"]).groupBy("v").agg(F.max("leader").alias("leader")).where("leader.v <> v").select("v", F.col("leader.v").alias("leader"))
-    stars = materialise(first, "stars")
+    central = materialise(bucketed.groupBy("v").agg(F.sum("n").alias("degree")).join(nodes.select("v", "doc_id", "items"), "v"), "degrees")
+    ranked = materialise(bucketed.select("v", "key").join(central.select("v", "degree"), "v"), "ranked")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "v")).alias("leader"))
+    first = spread_join(ranked, leaders, "key", ["v"], sizes=counts).groupBy("v").agg(F.max("leader").alias("leader")).where("leader.v <> v").select("v", F.col("leader.v").alias("leader"))
+    stars = materialise(first.join(central.select("v", "items"), "v"), "stars")
     bag = materialise(_bags(docs, central), "bags")
-    salts = stars.groupBy("leader").agg((F.floor(F.count("*") / members) + 1).cast("int").alias("salts"))
-    member_rows = stars.join(salts, "leader").select("v", "leader", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_leader"))
+    salts = materialise(stars.groupBy("leader").agg(_share(F.count("*"), F.sum("items") * 5, members, block_bytes).alias("salts")), "salts")
+    member_rows = spread_join(stars, salts, "leader", ["v"]).select("v", "leader", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_leader"))
     leader_rows = salts.select(F.col("leader").alias("v"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_leader"))
     groups = member_rows.unionByName(leader_rows).join(bag, "v")
     links = materialise(groups.groupBy("leader", "salt").applyInArrow(_star(threshold), "a binary, b binary"), "links")
     roots = components(links)
     # buckets that still hold several classes
-    at = bucketed.select("v", "key", "band", "n").join(roots.withColumnRenamed("node", "v"), "v", "left").select("v", "key", "band", "n", F.coalesce("root", "v").alias("comp"))
-    mixed = at.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "band")
-    split = F.ceil(F.col("n") / block).cast("int")
-    rest = at.join(mixed, ["key", "band"], "left_semi").withColumn("blk", F.pmod(F.xxhash64("v"), split).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), split - 1))).select("v", "key", "band", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    rest = rest.join(nodes.select("v", "sig"), "v")
-    group = ["key", "band", "bi", "bj"]
-    pairs = materialise(rest.groupBy(*group).applyInArrow(_agreeing(rows, bands, threshold - margin), "key long, band int, bi int, bj int, v binary, partners array<binary>"), "pairs")
-    own = [f"own_{c}" for c in group]
-    wanted = pairs.select(*[F.col(c).alias(o) for c, o in zip(group, own, strict=True)], F.explode(F.array_union(F.array("v"), F.col("partners"))).alias("v")).distinct()
-    more = pairs.groupBy(*group).cogroup(wanted.join(bag, "v").groupBy(*own)).applyInArrow(_verify(threshold), "a binary, b binary")
+    at = materialise(bucketed.select("v", "key", "band").join(roots.withColumnRenamed("node", "v"), "v", "left").join(central.select("v", "items"), "v").select("v", "key", "band", "items", F.coalesce("root", "v").alias("comp")), "classes")
+    per_class = at.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
+    mixed = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("items").alias("items"), F.max(F.struct("n", "comp", "items")).alias("largest")).where("classes > 1")
+    rest_n, rest_items = F.col("n") - F.col("largest.n"), F.col("items") - F.col("largest.items")
+    cuts = mixed.select("key", F.col("largest.comp").alias("main"), _share(rest_n, rest_items * 5, block, block_bytes).alias("outer"), _share(F.col("n"), F.col("items") * 5, block, block_bytes).alias("inner"))
+    rest = spread_join(at, materialise(cuts, "mixed"), "key", ["v"], sizes=counts).join(nodes.select("v", "sig"), "v")
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of_all = rest.select("key", every("outer").alias("bo"), part(1, "inner").alias("bi"), "v", F.lit(False).alias("other"), "comp", "sig", "band", "main")
+    outside = rest.where("comp <> main").select("key", part(2, "outer").alias("bo"), every("inner").alias("bi"), "v", F.lit(True).alias("other"), "comp", "sig", "band", "main")
+    schema = "key long, bo int, bi int, v binary, other boolean, comp binary, sig binary, band int, main binary"
+    wanted = materialise(of_all.unionByName(outside).groupBy(*BLOCK).applyInArrow(_wanted(rows, threshold - margin), schema), "wanted")
+    asked = [F.col(c).alias(f"own_{c}") for c in [*BLOCK, "v"]]
+    bags_of = wanted.select(*asked).distinct().join(bag.withColumnRenamed("v", "own_v"), "own_v").groupBy(*[f"own_{c}" for c in BLOCK])
+    more = wanted.groupBy(*BLOCK).cogroup(bags_of).applyInArrow(_verify(rows, threshold - margin, threshold), "a binary, b binary")
     more = materialise(more, "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    return signed.select("doc_id", "v"), roots
+        links = links.unionByName(more)
+        roots = components(links)
+    return signed.select("doc_id", "v"), roots, links
 
 
-def _classes(docs: DataFrame, **kw) -> DataFrame:
-    signed, roots = near_duplicate_links(docs, **kw)
-    return signed.join(roots.withColumnRenamed("node", "v"), "v", "left").select("doc_id", "v", F.coalesce("root", "v").alias("root"))
+def _classes(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes): (doc_id, v) of every row, and per node v its root, the rows and the links of its class, and
+    the class's first row: (none, doc_id, v), those without a doc_id last."""
+    signed, roots, links = near_duplicate_links(docs, **kw)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")
+    of_v = signed.groupBy("v").agg(F.count("*").alias("n"), F.min(least).alias("first"))
+    nodes = materialise(of_v.join(roots.withColumnRenamed("node", "v"), "v", "left").select("v", "n", "first", F.coalesce("root", "v").alias("root")), "class-nodes")
+    by_root = nodes.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
+    links = links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct()
+    linked = spread_join(links, roots, "node", ["b"]).groupBy("root").agg(F.count("*").alias("n_links"))
+    by_root = materialise(by_root.join(linked, "root", "left").select("root", "class_size", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
+    return signed, materialise(spread_join(nodes.select("v", "root"), by_root, "root", ["v"]), "classes-of-nodes")
 
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the row's class) and class_size (rows), a row per row of docs.
+    """doc_id, class_id (the smallest doc_id of the row's class), class_size (rows) and n_links (the class's verified
+    links between different texts, as many as it takes to connect them or more), a row per row of docs.
 
     A null text counts as empty; texts without words are in a class only with equal texts. Null doc_ids are never the
     smallest unless a class has no other (then class_id is null). Very long texts are compared whole. An empty table
     gives an empty result; columns other than doc_id and text are not looked at."""
-    rows = _classes(docs, **kw)
-    of = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(of, "root").select("doc_id", "class_id", "class_size")
+    signed, classes = _classes(docs, **kw)
+    return spread_join(signed, classes, "v", ["doc_id"]).select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs, all their columns, that represent their class: one row each, that of the smallest doc_id."""
-    rows = _classes(docs, **kw)
-    d, v, nd, nv = fresh(docs, "_d", "_v", "_nd", "_nv")
-    chosen = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.v").alias(v)), "chosen")
+    """The rows of docs, all their columns, that represent their class: one row each, that of the smallest doc_id (a
+    null one counts as the largest), of equal ones that of the least MD5 of its text, and of rows that repeat both the
+    one whose columns have the least hash. Null, empty and very long texts as in near_duplicates()."""
+    _, classes = _classes(docs, **kw)
+    d, v, nd, nv, row, own = fresh(docs, "_d", "_v", "_nd", "_nv", "_row", "_own")
+    chosen = materialise(classes.where("first.v = v").select(F.col("first.doc_id").alias(d), F.col("v").alias(v)), "chosen")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.unhex(F.md5(raw)).alias(nv), F.col("doc_id").cast("long").alias(nd))
-    kept = marked.join(chosen.hint("shuffle_hash"), (F.col(nv) == F.col(v)) & F.col(nd).eqNullSafe(F.col(d)), "left_semi")
-    return kept.dropDuplicates([nd, nv]).drop(nv, nd)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    marked = docs.select(F.struct(*columns).alias(row), order.alias(own), F.unhex(F.md5(raw)).alias(nv), F.col("doc_id").cast("long").alias(nd))
+    kept = marked.join(chosen, (F.col(nv) == F.col(v)) & F.col(nd).eqNullSafe(F.col(d)), "left_semi")
+    return kept.groupBy(nv, nd).agg(F.min_by(row, own).alias(row)).select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
