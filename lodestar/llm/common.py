@@ -102,11 +102,6 @@ def inverse(base: int) -> int:
     return pow(base, -1, 2**64)
 
 
-def span_hash(prefix: np.ndarray, inv: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of spans [start, end) from sums of value * base ** position; equal contents hash equal at any position."""
-    return (prefix[end] - prefix[start]) * inv[start]
-
-
 def prefix_sums(values: np.ndarray, power: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, U64)
     np.cumsum(values * power[: len(values)], out=out[1:])
@@ -199,5 +194,6 @@ def byte_runs(values: np.ndarray, width: int) -> np.ndarray:
     if n < width:
         return np.zeros(0, U64)
     prefix = prefix_sums(values, powers(BASES[2], n))
-    at = np.arange(n - width + 1)
-    return mix(span_hash(prefix, powers(inverse(BASES[2]), n + 1), at, at + width))
+    run = prefix[width:] - prefix[:-width]
+    run *= powers(inverse(BASES[2]), n + 1)[: len(run)]
+    return mix(run)

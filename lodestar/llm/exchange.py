@@ -6,7 +6,8 @@ a third of all rows is one entry per chunk, however hot it is); the shard merges
 a bitmap in the order of its keys. Nothing is collected or broadcast; chunks and shards stay as large as they are when
 the input grows, only their numbers grow. The chunk's documents are shuffled once: every step reads the same exchange.
 
-A step is a pure function of a chunk's rows, whatever their order, so a lost task can be run again.
+A step is a pure function of a chunk's rows, so a lost task can be run again. The same exchange gives a chunk's rows in
+another order each time; steps that tell each other places put them in order first.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     return rows.repartition(max(shuffle_partitions(docs.sparkSession), n), "chunk"), n
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A chunk's rows in an order that does not depend on their arrival."""
+    return table.take(pa.compute.sort_indices(table, sort_keys=[("d", "ascending"), ("raw", "ascending")]))
+
+
 def messages(chunk: int, step: int, shard: np.ndarray, shards: int, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
     """One message per shard; pack(i) packs the keys with index i. Keys keep their order within a shard."""
     order = np.argsort(shard, kind="stable")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import BYTE_VALUES, U64, blocks, byte_runs, raw_parts, word_hashes
-from .exchange import BLOCK_BYTES, OWN, answered, asked, chunked, leftmost_least, merged, messages, own_message, pack_arrays, pack_keys, repeated_keys, shard_of, unpack_arrays
+from .exchange import BLOCK_BYTES, OWN, answered, asked, chunked, leftmost_least, merged, messages, ordered, own_message, pack_arrays, pack_keys, repeated_keys, shard_of, unpack_arrays
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 20
@@ -165,7 +165,7 @@ class Steps:
     def segments(self, chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         """The chunk's distinct suspected segments with the least document of each, numbered as they first occur; for
         the chunk itself, where each occurs, so that it need not look for them again."""
-        g = Segments(table, self.width)
+        g = Segments(ordered(table), self.width)
         keys, inv = np.unique(g.key, return_inverse=True)
         at = np.flatnonzero(answered(answers, 1, shard_of(keys, self.shards), self.shards)[inv])
         start, count, key, doc = g.start[at], g.count[at], g.key[at], g.doc[at]
@@ -194,6 +194,7 @@ class Steps:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary() if text else pa.string())], names)
+        table = ordered(table)
         state = [p for k, p in zip(answers["step"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == OWN]
         steps, new, again, later, count, shard = unpack_arrays(state[0])
         at = np.cumsum(steps)

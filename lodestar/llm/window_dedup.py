@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, blocks, raw_parts, run_hashes, word_hashes, word_spans
-from .exchange import BLOCK_BYTES, OWN, CountMin, answered, asked, chunked, merged, messages, own_message, pack_arrays, unpack_arrays
+from .exchange import BLOCK_BYTES, OWN, CountMin, answered, asked, chunked, merged, messages, ordered, own_message, pack_arrays, unpack_arrays
 
 
 def _bodies(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -73,6 +73,7 @@ class Steps:
 
     def exact(self, chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         """The 128-bit hashes of the suspected windows; for the chunk itself, where each of them starts and which it is."""
+        table = ordered(table)
         keys, first, sizes, base = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [], 0
         for _, _, body, offsets in _bodies(table):
             starts, ends, row = word_spans(body, offsets)
@@ -103,6 +104,7 @@ class Steps:
         return pa.concat_tables([messages(chunk, 2, shard, self.shards, lambda i: marked[i].tobytes()), own_message(chunk, self.shards, state)])
 
     def result(self, table: pa.Table, answers: pa.Table, text: bool) -> pa.Table:
+        table = ordered(table)
         state = [p for k, p in zip(answers["step"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == OWN]
         steps, which, shard = unpack_arrays(state[0]) if state else [np.zeros(0, np.int64)] * 3
         gone = np.cumsum(steps)[answered(answers, 2, shard, self.shards)[which]]
