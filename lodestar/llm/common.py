@@ -37,8 +37,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Most bytes of an Arrow batch between the JVM and Python, unless the session asks for something else.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Spark's default of 64 MB a batch, copied on both sides by every task, to 8 MB; another setting is left alone."""
+    if spark.conf.get(BATCH, "67108864b") == "67108864b":
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """(doc_id, raw): raw is the whole text in UTF-8, a null text the empty one."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
 
 

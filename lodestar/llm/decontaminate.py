@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, raw_parts, run_hashes, word_hashes, word_spans
+from .common import blocks, bounded_batches, fresh, raw_parts, run_hashes, word_hashes, word_spans
 
 BLOCK_BYTES = 1 << 20
 K1, B = 1.5, 0.75
@@ -173,6 +173,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     words match nothing; a repeated item_id counts once. Any rows, ids and other columns of docs come through as they
     are; an empty table on either side gives no matches."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     own, items, overlaps = fresh(docs, "_raw", "_items", "_overlaps")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own)
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw, F.array().cast("array<long>").alias(items), F.array().cast("array<double>").alias(overlaps))

@@ -23,9 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh, ids_of, materialise, narrow, shuffle_partitions
+from .common import NULL_ID, blocks, bounded_batches, fresh, ids_of, materialise, narrow, raw_parts, shuffle_partitions
 
 STRIPPED = b" \t\n\x0b\x0c\r"
+BLOCK_BYTES = 1 << 20
 LINES = "h1 long, h2 long, d long, rk long, pos int"
 
 
@@ -36,8 +37,8 @@ def line_key(line: bytes) -> bytes:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at, end in blocks(raw_parts(batch["raw"])[1], BLOCK_BYTES):
+            part = batch.slice(at, end - at)
             digests, counts, pos = [], [], []
             for raw in part["raw"].to_pylist():
                 kept = [(i, k) for i, x in enumerate(raw.split(b"\n")) if (k := line_key(x))]
@@ -137,7 +138,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     common = streamed.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
     late = streamed.where("kind = 1").join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
     dropped = streamed.where("kind = 0").select("d", "rk", "pos").unionByName(late.select("d", "rk", "pos"))
-    return dropped.groupBy("d", "rk").agg(F.collect_set("pos").alias("positions")).mapInArrow(_bitmaps, "d long, rk long, keep binary")
+    maps = dropped.groupBy("d", "rk").agg(F.collect_set("pos").alias("positions")).mapInArrow(_bitmaps, "d long, rk long, keep binary")
+    return materialise(maps, "bitmaps")  # else the tasks that read texts would also make these
 
 
 def _kept_lines(raw: bytes, keep: bytes | None) -> tuple[list[bytes], int]:
@@ -152,8 +154,8 @@ def _kept_lines(raw: bytes, keep: bytes | None) -> tuple[list[bytes], int]:
 def _apply(digest: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at, end in blocks(raw_parts(batch["raw"])[1], BLOCK_BYTES):
+                part = batch.slice(at, end - at)
                 out, n_lines, n_dropped = [], [], []
                 for raw, keep in zip(part["raw"].to_pylist(), part["keep"].to_pylist(), strict=True):
                     kept, gone = _kept_lines(raw, keep)
@@ -172,28 +174,31 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, digest: bool = False)
     A null or empty text is one empty line; empty keys never go. Very long texts are handled whole, a row at a time.
     An empty table gives an empty result; other columns of docs, whatever their names, are not looked at."""
     maps = keep_bitmaps(docs, min_docs)
-    joined = _keyed(docs).join(maps.hint("shuffle_hash"), ["d", "rk"], "left").select("doc_id", "raw", "keep")
+    joined = _keyed(docs).join(maps, ["d", "rk"], "left").select("doc_id", "raw", "keep")
     return joined.mapInArrow(_apply(digest), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """docs, all columns, with the common lines taken out of `text`; n_chars, where there is one, follows. A null text
     stays null; a text all of whose lines go becomes empty."""
+    bounded_batches(docs.sparkSession)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own, d, rk, md, mrk, keep = fresh(docs, "_raw", "_d", "_rk", "_md", "_mrk", "_keep")
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias(own), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID + 1)).alias(d), F.xxhash64(raw).alias(rk))
     maps = keep_bitmaps(docs, min_docs).toDF(md, mrk, keep)
-    joined = rows.join(maps.hint("shuffle_hash"), (F.col(d) == F.col(md)) & (F.col(rk) == F.col(mrk)), "left").drop(d, rk, md, mrk)
+    joined = rows.join(maps, (F.col(d) == F.col(md)) & (F.col(rk) == F.col(mrk)), "left").drop(d, rk, md, mrk)
     at = docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns
-            given = batch.column(at).is_valid().to_pylist()
-            texts = [b"\n".join(_kept_lines(raw, keep)[0]).decode() if ok else None for ok, raw, keep in zip(given, batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)]
-            columns = batch.columns[: n - 2]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: n - 2])
+            for a, b in blocks(raw_parts(batch.column(n - 2))[1], BLOCK_BYTES):
+                part = batch.slice(a, b - a)
+                given = part.column(at).is_valid().to_pylist()
+                texts = [b"\n".join(_kept_lines(raw, keep)[0]).decode() if ok else None for ok, raw, keep in zip(given, part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)]
+                columns = part.columns[: n - 2]
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: n - 2])
 
     out = joined.mapInArrow(f, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

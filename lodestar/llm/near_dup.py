@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import signatures
-from .common import U64, blocks, fresh, materialise, raw_parts, run_hashes, word_hashes, word_spans
+from .common import U64, blocks, fresh, materialise, narrow, raw_parts, run_hashes, word_hashes, word_spans
 from .components import components
 from .joins import spread_join
 
@@ -188,8 +188,7 @@ def _verify(rows: int, least: float, threshold: float):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).withColumn("v", F.unhex(F.md5("raw")))
+    return narrow(docs).withColumn("v", F.unhex(F.md5("raw")))
 
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
