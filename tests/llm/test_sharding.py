@@ -42,3 +42,33 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = shard_documents(spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("hot", [0, 4000])
+def test_20_000_buckets_against_a_sort(spark, hot):
+    """Boundaries, sizes and slots of a fine cut against the rows sorted by key; some boundaries lie inside a group."""
+    from lodestar.llm import sharding
+
+    keys = spark.range(60_000).select((F.col("id") % 500).alias("size"), F.when(F.col("id") < hot, F.lit(77 << 40)).otherwise(F.shiftrightunsigned(F.xxhash64("id"), 2)).alias("h"), (F.col("id") * 7 - 9000).alias("d")).cache()
+    bounds, below = sharding.splitters(keys, 20_000, 1000, 0.0005, 32)
+    assert len(bounds) == len(below) == 19_999 and bounds == sorted(bounds)
+    ordered = sorted((r.h, r.d, r.size) for r in keys.collect())
+    sums = [0]
+    for *_, size in ordered:
+        sums.append(sums[-1] + size)
+    from bisect import bisect_left
+
+    places = [bisect_left(ordered, (h, d)) for h, d in bounds]
+    assert places == below
+    assert max(abs(sums[p] - sums[-1] * i // 20_000) for i, p in enumerate(places, 1)) <= 500
+    rows = sharding._with_bucket(keys, bounds).select("h", "d", "bucket")
+    from bisect import bisect_right
+
+    assert all(r.bucket == bisect_right(bounds, (r.h, r.d)) for r in rows.collect())
+    assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_ties_at_a_boundary(spark):
+    rows = [(i // 2, "same", "x") for i in range(60)] + [(None, "same", None)] * 3
+    out = shard_documents(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    check(rows, out, 4, 24)
