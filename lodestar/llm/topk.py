@@ -21,34 +21,38 @@ from pyspark.sql.window import Window
 STEP = 16
 
 
-def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of the candidates (ids ascending), without the query's own id."""
+def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """For each query its k best of the candidates (ids ascending), without rows of the query's own id. Bounds are in
+    doubles, widened by what rounding can add; scores are whole numbers, exact whatever their size, and those beyond the
+    range of a long count as its ends."""
     n, dims = vectors.shape
-    most = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(dims, 1)
-    if most >= 2**52:  # too large for exact doubles: plain integers, no bounds
-        for q, own in zip(queries.astype(object), query_ids, strict=True):
-            scores = vectors.astype(object) @ q if dims else np.zeros(n, object)
-            at = sorted(np.flatnonzero(ids != own), key=lambda i: (-scores[i], i))[:k]
-            yield own, ids[at], scores[at]
-        return
+    largest = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    most = largest(vectors) * largest(queries) * max(dims, 1)
+    margin = 0.0 if most < 2**52 else most * 2.0**-46  # sums below 2 ** 52 are exact in doubles
     tall = np.ascontiguousarray(vectors.T.astype(np.float64))
     cuts = [*range(0, dims, STEP), dims]
     rest = [np.sqrt((tall[c:] ** 2).sum(0)) for c in cuts]
-    for q, own in zip(queries.astype(np.float64), query_ids, strict=True):
+    for whole, own in zip(queries, query_ids, strict=True):
+        q = whole.astype(np.float64)
         alive = np.flatnonzero(ids != own)
         part = np.zeros(len(alive))
         for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             part = part + (q[lo:hi] @ tall[lo:hi] if len(alive) == n else q[lo:hi] @ tall[lo:hi, alive])
-            if hi == dims or len(alive) <= k:
+            if len(alive) <= k:
                 continue
-            slack = np.sqrt((q[hi:] ** 2).sum()) * rest[b + 1][alive] * (1 + 1e-9) + 1e-6
+            slack = np.sqrt((q[hi:] ** 2).sum()) * rest[b + 1][alive] * (1 + 1e-9) + 1e-6 + 2 * margin
             best = np.argpartition(-part, min(4 * k, len(alive) - 1))[: 4 * k]
             sure = part[best] + q[hi:] @ tall[hi:, alive[best]]
             floor = np.partition(sure, len(sure) - min(k, len(sure)))[len(sure) - min(k, len(sure))]
-            keep = part + slack >= floor
+            keep = part + slack >= min(floor, 2.0**63)  # scores beyond a long's range all tie
             alive, part = alive[keep], part[keep]
-        at = np.lexsort((alive, -part))[:k]
-        yield own, ids[alive[at]], part[at].astype(np.int64)
+        if margin:
+            exact = [min(max(sum(x * y for x, y in zip(vectors[i].tolist(), whole.tolist(), strict=True)), -(2**63)), 2**63 - 1) for i in alive]
+            at = sorted(range(len(alive)), key=lambda i: (-exact[i], alive[i]))[:k]
+            yield own, ids[alive[at]], [exact[i] for i in at]
+        else:
+            at = np.lexsort((alive, -part))[:k]
+            yield own, ids[alive[at]], part[at].astype(np.int64).tolist()
 
 
 def _block(k: int):
@@ -66,14 +70,15 @@ def _block(k: int):
             for o, best, scores in search_block(v, ids, q, own, k):
                 out[0] += [int(o)] * len(best)
                 out[1] += best.tolist()
-                out[2] += [int(s) for s in scores]
+                out[2] += scores
         return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
     return f
 
 
 def quantised(vectors: DataFrame, scale: int = 256, every_row: bool = False) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as long. Vectors that are null or hold null or non-finite
+    """(vec_id, v): floor(scale * x) of each component as long (beyond its range: its ends). Other columns are not looked
+    at; an empty vector is a vector. Vectors that are null or hold null or non-finite
     components, and rows without a vec_id, are left out; rows that share a vec_id count once, with the least vector,
     or with every_row each."""
     x = F.col("embedding")
@@ -87,7 +92,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_block: int = 16_3
 
     rows, queries: (vec_id, v array<long>). Ties go to the smaller vec_id; a query is compared with vectors of its own
     length only, and with no row of its own vec_id. Rows that share a vec_id are candidates each; queries that share one
-    are one query, whose k results are the best of all of theirs. An empty side gives an empty result. Nothing is broadcast; a task holds one block of either side."""
+    are one query, whose k results are the best of all of theirs. Scores beyond the range of a long count as its ends.
+    An empty side gives an empty result. Nothing is broadcast; a task holds one block of either side."""
     n, m = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
     spread = lambda df, mine, of, other, upto: df.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(of)).cast("int").alias(mine)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(upto - 1))))
     left, right = spread(rows, "rb", n, "qb", m), spread(queries, "qb", m, "rb", n)

@@ -56,3 +56,23 @@ def test_registered_query_keeps_every_row(spark, tmp_path):
         scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for o, v in fit if o == q for i, w in fit if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
     assert sorted(tuple(x) for x in QUERIES["op6_exact_topk"](spark, str(tmp_path)).collect()) == want
+
+
+def test_huge_components_against_whole_numbers(spark):
+    """Scores beyond 2 ** 53 and beyond the range of a long; the latter count as its ends."""
+    rng = np.random.default_rng(5)
+    for top in (2**20, 2**31, 2**62):
+        v = rng.integers(-top, top, (200, 40))
+        v[50:60] = v[0]
+        ids = np.arange(200)
+        clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+        for own, best, scores in search_block(v, ids, v[:20], ids[:20], 5):
+            every = sorted((-clip(sum(int(a) * int(b) for a, b in zip(v[own], w, strict=True))), i) for i, w in enumerate(v) if i != own)
+            assert list(zip([-s for s in scores], best.tolist(), strict=True)) == every[:5]
+    rows = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 1.0])]
+    assert [x[2:] for x in run(spark, rows)] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_repeated_rows_and_other_vectors_of_one_id(spark):
+    vectors = quantised(spark.createDataFrame([(0, [1.0, 0.0], "x", 1), (1, [0.5, 0.5], "x", 1), (1, [0.9, 0.1], "x", 1), (1, [0.9, 0.1], "x", 1)], SCHEMA), every_row=True)
+    assert [x.score for x in top_k(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()] == [58880, 58880, 32768]
