@@ -1,19 +1,23 @@
 """Benchmark decontamination: a BM25 index of the test items, searched by every training passage with block-max WAND.
 
-The index holds the items (not the corpus): per term a posting list in item order, cut into blocks of `block_items`
-items, with each block's largest term score. Documents are cut into passages of two item lengths that overlap by one, so
-that every stretch as long as an item lies whole in some passage. A passage is a query of its distinct terms.
+The index holds the items (not the corpus): per term a posting list in item order with the largest score of the list and
+of each block of items. Documents are cut into passages of two item lengths that overlap by one, so that every stretch as
+long as an item lies whole in some passage. A passage is a query of its distinct terms.
 
-Search proceeds as block-max WAND does, for many passages at once: the sum of the lists' block maxima bounds every item's
-score in a block; blocks whose bound stays under the least threshold in them are skipped, and only the rest are scored.
 An item's threshold is the least BM25 score that a passage holding `overlap` of the item's shingles can have (the item's
-score for itself, less its largest term scores for as many words as may be missing), so retrieval loses no match.
+score for itself, less its largest term scores for as many words as may be missing), so retrieval loses no match. Items
+are numbered by their threshold, so that what an item asks for is asked for by all after it. Search moves one cursor per
+term: with the cursors in item order, the pivot is the first item that the lists' largest scores up to it can bring to its
+threshold; no item before it can reach its own. If the block maxima at the pivot do not reach the threshold either, all
+cursors skip the block; if they do, the cursors before the pivot are moved up to it, and once they stand on it the item is
+scored in full. A few thousand passages take their steps together, as rows of a matrix of cursors.
 
 Every retrieved (passage, item) is verified: the distinct shingles (`shingle` words, lower-cased; all words of a shorter
 text) of the item's question and, if it has one, of its answer must each be found in the passage to the share `overlap`.
 
-The index of one shard of items is broadcast; shards are cut so that their texts stay under `index_bytes`, and more
-shards mean more passes over the documents. Document frequencies are those of the shard: they steer only the pruning.
+Items are dealt to shards of at most `index_bytes` of text. The driver builds and broadcasts one shard's index after the
+other; a task holds one at a time and passes each batch of documents by all of them. Document frequencies are those of the
+shard: they steer only the pruning.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,37 +58,42 @@ def _pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """One shard of the test items: postings, block maxima, thresholds and shingles."""
+    """One shard of the test items: postings, largest scores, thresholds and shingles."""
 
-    def __init__(self, items: list[tuple[int | None, str, str | None]], overlap: float = 0.8, shingle: int = 5, block_items: int = 16) -> None:
-        self.overlap = overlap
+    def __init__(self, items: list[tuple[int | None, str, str | None]], span: int | None = None, overlap: float = 0.8, shingle: int = 5, block_items: int = 8) -> None:
+        self.overlap, self.block_items = overlap, block_items
         parts = [[self._shingles(t, shingle) for t in (q, a) if t] for _, q, a in items]
         kept = [i for i, p in enumerate(parts) if any(len(s) for _, s in p)]
-        self.ids = [items[i][0] for i in kept]
-        self.parts = [[(w, s) for w, s in parts[i] if len(s)] for i in kept]
-        n = len(kept)
+        ids = [items[i][0] for i in kept]
+        parts = [[(w, s) for w, s in parts[i] if len(s)] for i in kept]
+        self.n = n = len(kept)
         h, row = terms(*_pack([f"{items[i][1] or ''}\n{items[i][2] or ''}".encode() for i in kept]))
         words = np.bincount(row, minlength=n)
-        self.span = int(max(words.max(initial=1), shingle))
+        self.span = span or int(max(words.max(initial=1), shingle))
         self.vocabulary, term = np.unique(h, return_inverse=True)
         pair, tf = np.unique(term * max(n, 1) + row, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
         df = np.bincount(term, minlength=len(self.vocabulary))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        # pairs are in (term, item) order: the posting lists, one after the other
-        self.post_item = item
-        self.post_score = idf[term] * tf / (tf + K1 * (1 - B + B * words[item] / words.mean())) if n else np.zeros(0)
-        self.n_blocks = max(1, -(-n // block_items))
-        cells, at = np.unique(term * self.n_blocks + item // block_items, return_index=True)
-        self.cell_block = cells % self.n_blocks
-        self.cell_max = np.maximum.reduceat(self.post_score, at) if n else np.zeros(0)
-        self.cell_post = np.append(at, len(pair))
-        self.term_cell = np.searchsorted(cells // self.n_blocks, np.arange(len(self.vocabulary) + 1))
-        self.least = np.zeros(n)
-        for i in range(n):
-            own = np.sort(self.post_score[item == i])[::-1]
-            self.least[i] = own[sum(int((1 - overlap) * len(s) + 1e-9) for _, s in self.parts[i]) :].sum()
-        self.block_least = np.array([self.least[b * block_items : (b + 1) * block_items].min(initial=np.inf) for b in range(self.n_blocks)])
+        score = idf[term] * tf / (tf + K1 * (1 - B + B * words[item] / words.mean())) if n else np.zeros(0)
+        # an item's scores from the largest on: what is left after as many terms as may be missing
+        order = np.lexsort((-score, item))
+        place = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+        missing = np.array([sum(int((1 - overlap) * len(s) + 1e-9) for _, s in p) for p in parts], np.int64)
+        least = np.bincount(item[order], score[order] * (place >= missing[item[order]]), n) if n else np.zeros(0)
+        by_least = np.argsort(least, kind="stable")
+        self.ids, self.parts = [ids[i] for i in by_least], [parts[i] for i in by_least]
+        self.least = np.append(least[by_least], np.inf)
+        number = np.empty(n, np.int64)
+        number[by_least] = np.arange(n)
+        order = np.lexsort((number[item], term))
+        term, self.item, self.score = term[order], number[item[order]], score[order]
+        self.place = term * (n + 1) + self.item  # ascending: where a list reaches an item
+        self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        self.list_max = np.maximum.reduceat(self.score, self.first[:-1]) if n else np.zeros(0)
+        self.blocks = n // block_items + 1
+        self.cell, at = np.unique(term * self.blocks + self.item // block_items, return_index=True)
+        self.cell_max = np.maximum.reduceat(self.score, at) if n else np.zeros(0)
 
     @staticmethod
     def _shingles(text: str, shingle: int) -> tuple[int, np.ndarray]:
@@ -91,36 +101,67 @@ class Index:
         width = min(shingle, len(h))
         return width, np.unique(run_hashes(h, width)) if width else np.zeros(0, np.uint64)
 
-    def search(self, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def search(self, h: np.ndarray, row: np.ndarray, together: int = 2048) -> Iterator[tuple[int, int, int]]:
         """(row, passage, item) of all items that reach their threshold. Passage p of a row: 2 spans from word p * span."""
-        if not len(h) or not self.ids:
+        if not len(h) or not self.n:
             return
+        serial = (np.arange(len(row)) - np.searchsorted(row, row)) // self.span
+        name = (row << 32) + serial  # ascending
+        p = np.cumsum(np.append(True, name[1:] != name[:-1])) - 1
+        names = name[np.append(True, name[1:] != name[:-1])]
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == h
-        serial = (np.arange(len(row)) - np.searchsorted(row, row)) // self.span
-        base = (row << 32) + serial
-        key = np.concatenate([base[known], (base - 1)[known & (serial > 0)]])
-        term = np.concatenate([at[known], at[known & (serial > 0)]])
-        if not len(key):
-            return
-        passages, p = np.unique(key, return_inverse=True)
-        distinct = np.unique(p * len(self.vocabulary) + term)
-        p, term = distinct // len(self.vocabulary), distinct % len(self.vocabulary)
-        step = max(1, (1 << 21) // self.n_blocks)
-        for lo in range(0, len(passages), step):
-            a, b = np.searchsorted(p, [lo, lo + step])
-            q, t = p[a:b] - lo, term[a:b]
-            n = min(step, len(passages) - lo)
-            which, cell = _expand(self.term_cell, t)
-            bound = np.bincount(q[which] * self.n_blocks + self.cell_block[cell], self.cell_max[cell], n * self.n_blocks)
-            alive = bound.reshape(n, -1) >= self.block_least - 1e-9
-            go = alive[q[which], self.cell_block[cell]]
-            which, cell = which[go], cell[go]
-            inner, post = _expand(self.cell_post, cell)
-            pairs, inv = np.unique(q[which[inner]] * len(self.ids) + self.post_item[post], return_inverse=True)
-            hit = pairs[np.bincount(inv, self.post_score[post], len(pairs)) >= self.least[pairs % len(self.ids)] - 1e-9]
-            for k, i in zip(passages[hit // len(self.ids) + lo].tolist(), (hit % len(self.ids)).tolist(), strict=True):
-                yield k >> 32, k & 0xFFFFFFFF, i
+        again = known & (serial > 0)  # a word is in the passage before, too
+        pairs = np.sort(np.concatenate([p[known], p[again] - 1]) * len(self.vocabulary) + np.concatenate([at[known], at[again]]))
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        p, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        bound = np.bincount(p, self.list_max[term], len(names))
+        count = np.bincount(p, minlength=len(names))
+        start = np.cumsum(count) - count
+        asked = np.flatnonzero(bound >= self.least[0] - 1e-9)
+        asked = asked[np.argsort(count[asked], kind="stable")]  # passages with as many terms share a matrix
+        for i in range(0, len(asked), together):
+            who = asked[i : i + together]
+            column = np.arange(count[who].max())
+            inside = column < count[who][:, None]
+            lists = term[np.minimum(start[who][:, None] + column, len(term) - 1)]
+            for k, item in self._wand(who, lists, inside):
+                yield int(names[k]) >> 32, int(names[k]) & 0xFFFFFFFF, item
+
+    def _wand(self, who: np.ndarray, lists: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(who, item) of the rows of a matrix of posting lists; inside tells lists from padding."""
+        cursor = np.where(inside, self.first[lists], 0)
+        item = np.where(inside, self.item[cursor], self.n)  # n: the list is at its end
+        most = np.where(inside, self.list_max[lists], 0.0)
+        while True:
+            order = np.argsort(item, axis=1)
+            ahead = np.take_along_axis(item, order, 1)
+            reach = np.cumsum(np.take_along_axis(most, order, 1), 1) >= self.least[ahead] - 1e-9
+            go = reach.any(1)
+            if not go.all():
+                who, lists, cursor, item, most, ahead, reach = (x[go] for x in (who, lists, cursor, item, most, ahead, reach))
+            if not len(who):
+                return
+            pivot = ahead[np.arange(len(who)), reach.argmax(1)]
+            upto = item <= pivot[:, None]
+            r, c = np.nonzero(upto)
+            cell = lists[r, c] * self.blocks + pivot[r] // self.block_items
+            k = np.minimum(np.searchsorted(self.cell, cell), len(self.cell) - 1)
+            in_block = np.bincount(r, np.where(self.cell[k] == cell, self.cell_max[k], 0.0), len(who))
+            worth = in_block >= self.least[pivot] - 1e-9
+            full = worth & (ahead[:, 0] == pivot)
+            if full.any():
+                r, c = np.nonzero((item == pivot[:, None]) & full[:, None])
+                total = np.bincount(r, self.score[cursor[r, c]], len(who))
+                hit = full & (total >= self.least[pivot] - 1e-9)
+                yield from zip(who[hit].tolist(), pivot[hit].tolist(), strict=True)
+            beyond = np.minimum((pivot // self.block_items + 1) * self.block_items, np.where(upto, self.n, item).min(1))
+            target = np.where(full, pivot + 1, np.where(worth, pivot, beyond))
+            r, c = np.nonzero(item < target[:, None])
+            to = np.searchsorted(self.place, lists[r, c] * (self.n + 1) + target[r])
+            end = to >= self.first[lists[r, c] + 1]
+            to = np.minimum(to, len(self.item) - 1)
+            cursor[r, c], item[r, c] = to, np.where(end, self.n, self.item[to])
 
     def matches(self, body: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, float]]:
         """Verified items of each row, with the least overlap of their parts."""
@@ -143,26 +184,23 @@ class Index:
         return out
 
 
-def _expand(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For lists first[k] .. first[k + 1]: the place in keys and the list entry, of all entries of all keys."""
-    reps = first[keys + 1] - first[keys]
-    which = np.repeat(np.arange(len(keys)), reps)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[keys], reps)
-
-
-def _shards(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: int) -> list[Index]:
+def _indexes(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: int) -> Iterator[Index]:
+    """The shards' indexes, one after the other; the driver holds one shard's items."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("q"), answer.alias("a")).where("q is not null or a is not null")
     size = items.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-size // index_bytes))
-    out = []
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row = terms(*raw_parts(batch["raw"]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.bincount(row).max(initial=0))], pa.int64())], ["n"])
+
+    both = items.select(F.concat_ws("\n", "q", "a").cast("binary").alias("raw"))
+    span = max(both.mapInArrow(count, "n long").agg(F.max("n")).first()[0] or 1, shingle)  # the same for all shards
     for s in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "q"), F.lit(n)) == s)
-        out.append(Index(sorted(((r["i"], r["q"] or "", r["a"]) for r in part.collect()), key=repr), overlap, shingle))
-    span = max(x.span for x in out)  # passages do not depend on the sharding
-    for x in out:
-        x.span = span
-    return out
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(n)) == s)
+        yield Index(sorted(((r["i"], r["q"] or "", r["a"]) for r in part.collect()), key=repr), span, overlap, shingle)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, shingle: int = 5, index_bytes: int = 16 << 20) -> DataFrame:
@@ -177,25 +215,25 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     own, items, overlaps = fresh(docs, "_raw", "_items", "_overlaps")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own)
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw, F.array().cast("array<long>").alias(items), F.array().cast("array<double>").alias(overlaps))
-    for shard in _shards(benchmark, index_bytes, overlap, shingle):
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(shard)), out.schema)
-    return out.drop(own)
+    shared = [spark.sparkContext.broadcast(x) for x in _indexes(benchmark, index_bytes, overlap, shingle)]
+    return out.mapInArrow(_search(shared), out.schema).drop(own)
 
 
-def _search(shared):
+def _search(shared: list[Broadcast]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
             n = batch.num_columns
             body, offsets = raw_parts(batch.column(n - 3))
             items, shares = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-            for i, j in blocks(offsets, BLOCK_BYTES):
-                for r, found in index.matches(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items():
-                    best = dict(zip(items[i + r], shares[i + r], strict=True))
-                    for k, s in found.items():
-                        best[index.ids[k]] = max(s, best.get(index.ids[k], 0.0))
-                    items[i + r] = sorted(best, key=lambda x: (x is None, x or 0))
-                    shares[i + r] = [best[x] for x in items[i + r]]
+            for one in shared:
+                index = one.value if len(shared) == 1 else one.load_from_path(one._path)  # value would stay in memory
+                for i, j in blocks(offsets, BLOCK_BYTES):
+                    for r, found in index.matches(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items():
+                        best = dict(zip(items[i + r], shares[i + r], strict=True))
+                        for k, s in found.items():
+                            best[index.ids[k]] = max(s, best.get(index.ids[k], 0.0))
+                        items[i + r] = sorted(best, key=lambda x: (x is None, x or 0))
+                        shares[i + r] = [best[x] for x in items[i + r]]
             columns = [*batch.columns[: n - 2], pa.array(items, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -203,13 +241,15 @@ def _search(shared):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """A row per row of docs: doc_id, contaminated, n_items, items (ids, ascending), overlap (the highest; 0 if none)."""
+    """A row per row of docs: doc_id, contaminated, n_items, items (ids, ascending), overlap (the highest; 0 if none).
+    Null, empty and very long texts, repeated rows and empty tables as in with_matches()."""
     found = with_matches(docs.select("doc_id", "text"), benchmark, **kw)
     return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.coalesce(F.array_max("_overlaps"), F.lit(0.0)).alias("overlap"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of docs in which no item is found, with their columns as they were."""
+    """The rows of docs in which no item is found, with their columns as they were; rows with a null or empty text stay,
+    repeated rows are judged each. Empty tables and clashing names as in with_matches()."""
     found = with_matches(docs, benchmark, **kw)
     items, overlaps = found.columns[-2:]
     return found.where(F.size(items) == 0).drop(items, overlaps)

@@ -88,3 +88,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in contamination(docs, none).collect()] == [False]
     assert contamination(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_search_gives_what_exhaustive_scoring_gives():
+    docs, items = corpus(11, 40)
+    index = Index([(i, q, a) for i, q, a in items], block_items=3)
+    texts = [t.encode() for _, t in docs]
+    h, row = terms(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    want = set()
+    for r in range(len(texts)):
+        own = h[row == r]
+        for p in range(-(-len(own) // index.span)):
+            asked = set(own[p * index.span : (p + 2) * index.span].tolist())
+            score = np.zeros(index.n)
+            for k, v in enumerate(index.vocabulary.tolist()):
+                if v in asked:
+                    score[index.item[index.first[k] : index.first[k + 1]]] += index.score[index.first[k] : index.first[k + 1]]
+            want |= {(r, p, i) for i in np.flatnonzero(score >= index.least[:-1] - 1e-9).tolist()}
+    assert set(index.search(h, row, together=50)) == want and len(want) > 10
