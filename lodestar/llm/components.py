@@ -15,7 +15,7 @@ def jump(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         moved = F.col("above").isNotNull() & (F.col("above") != F.col("parent"))
-        joined = materialise(spread_join(parents, up, "parent", ["node"], "left").select("node", F.coalesce("above", "parent").alias("parent"), moved.alias("moved")), "jump")
+        joined = materialise(spread_join(parents, up, "parent", "node", "left").select("node", F.coalesce("above", "parent").alias("parent"), moved.alias("moved")), "jump")
         parents = joined.select("node", "parent")
         if joined.where("moved").isEmpty():
             return parents
@@ -32,12 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         parents = jump(materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("parent")), "parents"))
         at_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
         at_b = parents.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
-        half = materialise(spread_join(edges, at_a, "a", ["b"]), "edges")
-        between = spread_join(half, at_b, "b", ["a"]).where("ra <> rb")
+        half = materialise(spread_join(edges, at_a, "a", "b"), "edges")
+        between = spread_join(half, at_b, "b", "a").where("ra <> rb")
         edges = materialise(between.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if roots is None:
             roots = parents.select("node", F.col("parent").alias("root"))
         else:
             up = parents.select(F.col("node").alias("root"), F.col("parent").alias("above"))
-            roots = materialise(spread_join(roots, up, "root", ["node"], "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            roots = materialise(spread_join(roots, up, "root", "node", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

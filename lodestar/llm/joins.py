@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys with more than this part of all rows are hot. There are fewer than PARTS of them, whatever the input.
 PARTS = 400
+#: Items that the sketch behind approx_top_k tracks; its error is about 3.5 / TRACKED of all rows, well below 1 / PARTS.
+TRACKED = 16_384
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
-    """big joined to small on `key`, which no two rows of small share. A hot key's rows are dealt by the columns `by` to
-    as many salts as its share asks for, and its row of small goes to each of them. The table of hot keys, which is
-    broadcast, has fewer than PARTS rows. sizes: (key, n) of big's keys, where that is known (keys of one row may lack);
-    without it big is read thrice and should be a written table."""
-    if sizes is None:
-        sizes = big.groupBy(key).agg(F.count("*").alias("n"))
-        total = big.count()
-    else:
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.select(key, F.col("n").alias("_n")).where(F.col("_n") * PARTS > F.greatest(F.lit(total), F.lit(PARTS * 100))).select(key, F.ceil(F.col("_n") * PARTS / F.lit(total)).cast("int").alias("_salts"))
-    salts = F.coalesce("_salts", F.lit(1))
-    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
-    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+def hot_keys(rows: DataFrame, key: Column, least: int = 100 * PARTS) -> DataFrame | None:
+    """(_hash, _salts): the hashes of the hot keys, fewer than PARTS rows, and in how many parts to deal each; None if
+    there is none, or fewer than `least` rows in all. One pass with a sketch of bounded size; nothing is shuffled."""
+    spark = rows.sparkSession
+    total, top = rows.select(F.xxhash64(key).alias("_hash")).agg(F.count("*"), F.expr(f"approx_top_k(_hash, {PARTS}, {TRACKED})")).first()
+    hot = [(r["item"], -(-r["count"] * PARTS // total)) for r in top or [] if r["count"] * PARTS > total >= least]
+    return spark.createDataFrame(hot, "_hash long, _salts int") if hot else None
+
+
+def salted(rows: DataFrame, key: Column, by: Column, hot: DataFrame | None, salt: str = "_salt") -> DataFrame:
+    """rows with a salt: 0, or for hot keys one of as many as they have, by the hash of `by`."""
+    if hot is None:
+        return rows.withColumn(salt, F.lit(0))
+    out = rows.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(hot), "_hash", "left")
+    return out.withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hash", "_salts")
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """big joined to small on `key`, which no two rows of small share. A hot key's rows are dealt by the column `by`, and
+    its row of small goes to each of its salts. The table of hot keys, which is broadcast, has fewer than PARTS rows. big
+    should be a written table: it is read twice."""
+    hot = hot_keys(big, F.col(key))
+    if hot is None:
+        return big.join(small, key, how)
+    right = small.withColumn("_hash", F.xxhash64(F.col(key))).join(F.broadcast(hot), "_hash", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hash", "_salts")
+    return salted(big, F.col(key), F.col(by), hot).join(right, [key, "_salt"], how).drop("_salt")

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import signatures
-from .common import U64, blocks, fresh, materialise, narrow, raw_parts, run_hashes, word_hashes, word_spans
+from .common import NULL_ID, U64, blocks, fresh, materialise, narrow, raw_parts, run_hashes, word_hashes, word_spans
 from .components import components
-from .joins import spread_join
+from .joins import hot_keys, salted, spread_join
 
 SHINGLE = 5
 BLOCK_BYTES = 2 << 20
@@ -193,11 +193,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(v, bag) of the given nodes (v, doc_id): each is read from its row with the least doc_id."""
-    n = nodes.select(F.col("v").alias("nv"), "doc_id")
-    rows = _keyed(docs).select(F.col("doc_id").alias("d"), "v", "raw")
-    found = rows.join(n, (F.col("v") == F.col("nv")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    # rows that repeat an id and a text are one node
-    return found.select("v", "raw").mapInArrow(_bag_items, "v binary, bag binary").dropDuplicates(["v"])
+    d = F.coalesce("doc_id", F.lit(NULL_ID + 1)).alias("d")
+    # by merging at every size; rows that repeat an id and a text lie side by side then, and one of them stays
+    found = _keyed(docs).select(d, "v", "raw").join(nodes.select(d, "v").hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d", "v"])
+    return found.select("v", "raw").mapInArrow(_bag_items, "v binary, bag binary")
 
 
 def _share(rows: Column, size: Column, most_rows: int, most_bytes: int) -> Column:
@@ -215,17 +214,19 @@ def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 2
     nodes = materialise(nodes, "nodes")
     band_keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * rows + 1, rows)) for i in range(bands)])
     keyed = nodes.select("v", F.posexplode(band_keys).alias("band", "key"))
-    counts = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    bucketed = materialise(spread_join(keyed, counts, "key", ["v"], sizes=counts), "buckets")
+    hot = hot_keys(keyed, F.col("key"))
+    dealt = salted(keyed, F.col("key"), F.col("v"), hot).repartition("key", "_salt")
+    counts = dealt.groupBy("key", "_salt").agg(F.count("*").alias("n")).where("n > 1")
+    bucketed = materialise(dealt.join(counts, ["key", "_salt"]).drop("_salt"), "buckets")  # n of a hot bucket: of its part
     # the leader of a bucket: the node whose buckets hold the most
     central = materialise(bucketed.groupBy("v").agg(F.sum("n").alias("degree")).join(nodes.select("v", "doc_id", "items"), "v"), "degrees")
     ranked = materialise(bucketed.select("v", "key").join(central.select("v", "degree"), "v"), "ranked")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "v")).alias("leader"))
-    first = spread_join(ranked, leaders, "key", ["v"], sizes=counts).groupBy("v").agg(F.max("leader").alias("leader")).where("leader.v <> v").select("v", F.col("leader.v").alias("leader"))
+    first = spread_join(ranked, leaders, "key", "v").groupBy("v").agg(F.max("leader").alias("leader")).where("leader.v <> v").select("v", F.col("leader.v").alias("leader"))
     stars = materialise(first.join(central.select("v", "items"), "v"), "stars")
     bag = materialise(_bags(docs, central), "bags")
     salts = materialise(stars.groupBy("leader").agg(_share(F.count("*"), F.sum("items") * 5, members, block_bytes).alias("salts")), "salts")
-    member_rows = spread_join(stars, salts, "leader", ["v"]).select("v", "leader", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_leader"))
+    member_rows = spread_join(stars, salts, "leader", "v").select("v", "leader", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_leader"))
     leader_rows = salts.select(F.col("leader").alias("v"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_leader"))
     groups = member_rows.unionByName(leader_rows).join(bag, "v")
     links = materialise(groups.groupBy("leader", "salt").applyInArrow(_star(threshold), "a binary, b binary"), "links")
@@ -236,7 +237,7 @@ def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 2
     mixed = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("items").alias("items"), F.max(F.struct("n", "comp", "items")).alias("largest")).where("classes > 1")
     rest_n, rest_items = F.col("n") - F.col("largest.n"), F.col("items") - F.col("largest.items")
     cuts = mixed.select("key", F.col("largest.comp").alias("main"), _share(rest_n, rest_items * 5, block, block_bytes).alias("outer"), _share(F.col("n"), F.col("items") * 5, block, block_bytes).alias("inner"))
-    rest = spread_join(at, materialise(cuts, "mixed"), "key", ["v"], sizes=counts).join(nodes.select("v", "sig"), "v")
+    rest = spread_join(at, materialise(cuts, "mixed"), "key", "v").join(nodes.select("v", "sig"), "v")
     part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of_all = rest.select("key", every("outer").alias("bo"), part(1, "inner").alias("bi"), "v", F.lit(False).alias("other"), "comp", "sig", "band", "main")
@@ -262,9 +263,9 @@ def _classes(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     nodes = materialise(of_v.join(roots.withColumnRenamed("node", "v"), "v", "left").select("v", "n", "first", F.coalesce("root", "v").alias("root")), "class-nodes")
     by_root = nodes.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
     links = links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct()
-    linked = spread_join(links, roots, "node", ["b"]).groupBy("root").agg(F.count("*").alias("n_links"))
+    linked = spread_join(links, roots, "node", "b").groupBy("root").agg(F.count("*").alias("n_links"))
     by_root = materialise(by_root.join(linked, "root", "left").select("root", "class_size", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
-    return signed, materialise(spread_join(nodes.select("v", "root"), by_root, "root", ["v"]), "classes-of-nodes")
+    return signed, materialise(spread_join(nodes.select("v", "root"), by_root, "root", "v"), "classes-of-nodes")
 
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     smallest unless a class has no other (then class_id is null). Very long texts are compared whole. An empty table
     gives an empty result; columns other than doc_id and text are not looked at."""
     signed, classes = _classes(docs, **kw)
-    return spread_join(signed, classes, "v", ["doc_id"]).select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links")
+    return spread_join(signed, classes, "v", "doc_id").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
