@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
 
 def ordered(table: pa.Table) -> pa.Table:
     """A chunk's rows in an order that does not depend on their arrival."""
-    return table.take(pa.compute.sort_indices(table, sort_keys=[("d", "ascending"), ("raw", "ascending")]))
+    return table.take(pc.sort_indices(table, sort_keys=[("d", "ascending"), ("raw", "ascending")]))
 
 
 def messages(chunk: int, step: int, shard: np.ndarray, shards: int, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
@@ -75,8 +76,8 @@ def merged(questions: DataFrame, shard: Callable[[list[bytes]], list[np.ndarray]
     to itself come through as they are."""
 
     def f(key: tuple, t: pa.Table) -> pa.Table:
-        own = pa.compute.equal(t["step"], OWN)
-        through, t = t.filter(own), t.filter(pa.compute.invert(own))
+        own = pc.equal(t["step"], OWN)
+        through, t = t.filter(own), t.filter(pc.invert(own))
         if not t.num_rows:
             return through
         bits = [np.packbits(b).tobytes() for b in shard([x.as_py() for x in t["payload"]])]

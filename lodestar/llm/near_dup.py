@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def _star(threshold: float):
         out = []
         if lead.num_rows:
             leader, own = lead["v"][0].as_py(), _items(lead["bag"][0].as_py())
-            members = t.filter(pa.compute.invert(t["is_leader"]))
+            members = t.filter(pc.invert(t["is_leader"]))
             for v, bag in zip(members["v"], members["bag"], strict=True):
                 n = len(bag.as_py()) // 5
                 if min(n, len(own)) >= threshold * max(n, len(own)) and similarity(_items(bag.as_py()), own) >= threshold:
