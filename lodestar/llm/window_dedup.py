@@ -136,7 +136,7 @@ class Steps:
         return pa.table([table["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def drop_repeated_windows(docs: DataFrame, width: int = 35, digest: bool = False, chunk_bytes: int = 8 << 20) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, width: int = 35, digest: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space; with digest its SHA-256 in hex).
 
     Words are runs of bytes other than space and 0x09-0x0D. A word goes if a window of `width` consecutive words that
