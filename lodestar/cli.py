@@ -1,4 +1,4 @@
-"""Command line: import, list, delete, analyze, calculate-pagerank, embed, reindex, search, serve.
+"""Command line: import, list, delete, download, package, analyze, calculate-pagerank, embed, reindex, search, serve.
 
 python -m lodestar.cli --data DIR COMMAND ...; exit code 0 on success, 1 on failure. Models are stand-ins unless a module
 with make_embedder, make_reranker and make_summariser is given with --models."""
@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import models, tools
+from .operators import graph
 from .operators.lexical import LexicalIndex
 from .plans import corpus
 from .plans.search import HybridSearch
@@ -41,6 +42,11 @@ def parser() -> argparse.ArgumentParser:
     x = sub.add_parser("delete", help="remove a version")
     x.add_argument("version")
     x.add_argument("--force", action="store_true")
+    x = sub.add_parser("download", help="fetch a version's indexes; --releases is a JSON list of releases with assets")
+    x.add_argument("version")
+    x.add_argument("--releases", required=True)
+    x = sub.add_parser("package", help="pack what may be published of a version")
+    x.add_argument("version")
     for name, text in (("analyze", "extract file records and calls"), ("calculate-pagerank", "rank the files"), ("embed", "build all indexes"), ("reindex", "rebuild the lexical index"), ("search", "answer a query"), ("serve", "answer queries from standard input")):
         x = sub.add_parser(name, help=text)
         x.add_argument("--version", required=True)
@@ -68,8 +74,7 @@ def engine(spark: SparkSession, paths: catalog.Paths, names: str | None) -> Hybr
     if index is None:
         raise ValueError("no lexical index; run embed or reindex first")
     ranks = files.read_ranked(spark, paths.ranked)
-    tree = files.source_tree(spark, paths.source).select(F.col("relative_path").alias("path"), "content")
-    docs = tree.join(ranks.select(F.col("relative_path").alias("path"), "file_name", "api_name", F.col("pagerank_rank").alias("rank")), "path")
+    docs = spark.read.parquet(paths.contents).join(ranks.select(F.col("relative_path").alias("path"), "file_name", "api_name", F.col("pagerank_rank").alias("rank")), "path")
     embedder, reranker, _ = _models(names)
     status = next(s for s in catalog.versions(paths.base.split("/versions/")[0]) if s.extract_path == paths.base)
     vectors = spark.read.parquet(paths.vectors) if status.has_vectors else None
@@ -84,11 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "import":
             version = args.version or files.archive_version(args.archive)
             paths = catalog.Paths.of(args.data, version)
-            n = 0
-            for r in files.archive_entries(session(), args.archive).toLocalIterator():
-                target = f"{paths.source}/{r['relative_path']}"
-                _write(target, r["content"])
-                n += 1
+            n = files.extract_archive(session(), args.archive, paths.source)
             print(f"{version}: {n} files")
         elif args.command == "list":
             found = catalog.versions(args.data)
@@ -96,38 +97,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.command == "delete":
             sure = args.force or input(f"delete {args.version}? [y/N] ").lower() == "y"
             return 0 if catalog.delete_version(args.data, args.version, sure) else 1
+        elif args.command == "download":
+            with open(args.releases, encoding="utf-8") as f:
+                found = catalog.download(json.load(f), args.version, args.data)
+            print(f"{found.version}: {'ready' if found.is_ready else 'not ready'}")
+        elif args.command == "package":
+            print(json.dumps(catalog.package(args.data, args.version)))
         else:
             s, paths = session(), catalog.Paths.of(args.data, args.version)
             embedder, _, summariser = _models(args.models)
             if args.command == "analyze":
                 info, _ = corpus.analyse(s, paths.source, paths, args.max_files)
                 print(f"{info.count()} files")
+                for r in graph.top_by_calls(info).collect():
+                    print(f"{r['file_name']}\t{r['calls']} calls")
             elif args.command == "calculate-pagerank":
                 ranked = _ranked(s, paths, damping=args.damping_factor, iterations=args.max_iterations, tolerance=args.convergence_threshold)
                 files.write_ranked(ranked.drop("content_hash"), paths.ranked)
                 for r in ranked.orderBy("pagerank_rank").limit(10).collect():
                     print(f"{r['pagerank_rank']:3d}. {r['file_name']} {r['pagerank_score']:.6f}")
             elif args.command == "embed":
-                corpus.build(s, paths.source, paths, embedder, summariser)
+                print(corpus.build(s, paths.source, paths, embedder, summariser).first().asDict())
             elif args.command == "reindex":
                 corpus.lexical_index(files.source_tree(s, paths.source), _ranked(s, paths)).write(paths.lexical)
             else:
-                e = engine(s, paths, args.models)
+                lazy = tools.LazyEngine(lambda: engine(s, paths, args.models), 10.0 if args.command == "serve" else None)
                 for q in [args.query] if args.command == "search" else map(str.strip, sys.stdin):
-                    print(tools.search_codebase(e, q, search_mode=args.mode, max_results=args.max_results), flush=True)
+                    print(tools.search_codebase(lazy.get(), q, search_mode=args.mode, max_results=args.max_results), flush=True)
+                lazy.close()
         return 0
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 
 
-def _write(path: str, content: bytes) -> None:
-    import os
-
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as f:
-        f.write(content)
-
-
 if __name__ == "__main__":
     sys.exit(main())

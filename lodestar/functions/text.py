@@ -18,22 +18,35 @@ PROGRAMMING_STOPWORDS = (
     "field column set get new old var val tmp ref id key name type size len max min def default null true false yes no ok err error warn "
     "warning also then else when where what who why how some any all each every many few more most other another same different such like than"
 ).split()
-#: Marks, comment markers and short noise tokens.
-NOISE_TOKENS = (
-    "_ > < - / ; = \" { } [ ] . , ( ) : $ ' ? @ & ! | ^ ~ # % \\ -- --- ==== /* */ // /** <!-- --> <? ?> as an is it at on or if we he me "
-    "my no so up us to of eq lu 00 01 10 11 20 30 50 100 xml utf xsi www w3 org tmp val ref id cd"
+#: Common English words.
+ENGLISH_STOPWORDS = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her "
+    "hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was "
+    "were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about "
+    "against between into through during before after above below to from up down in out on off over under again further then once here "
+    "there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will "
+    "just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn "
+    "hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't "
+    "won won't wouldn wouldn't"
 ).split()
-
-
-def stopwords(english: list[str] | None = None) -> set[str]:
-    """English stop-words (Spark's list unless given) with the programming ones, the noise tokens, single letters but q
-    and u, digits, white space and long rules."""
-    if english is None:
-        from pyspark.ml.feature import StopWordsRemover
-
-        english = StopWordsRemover.loadDefaultStopWords("english")
-    letters = set("abcdefghijklmnopqrstuvwxyz") - {"q", "u"}
-    return {*english, *PROGRAMMING_STOPWORDS, *NOISE_TOKENS, *letters, *"0123456789", "\n", "\t", "\r", " ", "-" * 99, "=" * 80, "*" * 80}
+#: Marks, comment markers, rules, white space, letters, digits and short noise tokens.
+NOISE_TOKENS = [
+    *"_ > < - / ; = \" { } [ ] . , ( ) : $ ' ? @ & ! | ^ ~ # % \\ -- --- ==== /* */ // /** <!-- --> <? ?>".split(),
+    "---------------------------------------------------------------------------------------------------",
+    "================================================================================",
+    "********************************************************************************",
+    *["\n", "\t", "\r", " "],
+    *"a i o x y z t s n m l k j h g f e d c b".split(),
+    *"as an is it at on or if we he me my no so up us to of eq lu".split(),
+    *"0 1 2 3 4 5 6 7 8 9 00 01 10 11 20 30 50 100".split(),
+    *"xml utf xsi www w3 org v p r c w tmp val ref id cd".split(),
+]
+
+
+def stopwords(english: list[str] | None = None, corpus: list[str] | None = None) -> set[str]:
+    """English stop-words (those above unless given) with the programming ones and the noise tokens, and with the words
+    that a corpus adds (lexical.corpus_stopwords)."""
+    return {*(ENGLISH_STOPWORDS if english is None else english), *PROGRAMMING_STOPWORDS, *NOISE_TOKENS, *(corpus or [])}
 
 
 def let(value: Column, f) -> Column:

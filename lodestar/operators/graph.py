@@ -45,6 +45,12 @@ def ranked(scores: DataFrame, score: str, tie: str = "node", name: str = "rank")
     return out.select(*scores.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(name))
 
 
+def top_by_calls(files: DataFrame, k: int = 10) -> DataFrame:
+    """(file_name, calls) of the k files with the most calls; ties by path. A top-k of k rows a task."""
+    calls = files.select("relative_path", "file_name", F.coalesce(F.size("api_calls"), F.lit(0)).alias("calls"))
+    return calls.orderBy(F.desc("calls"), "relative_path").limit(k).select("file_name", "calls")
+
+
 def unlinked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: how many nodes have no caller, and how many call nothing."""
     no_in = nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").agg(F.count("*").alias("no_incoming"))
@@ -58,7 +64,8 @@ def _step(nodes: DataFrame, weighted: DataFrame, scores: DataFrame, n: int, damp
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5, redistribute: bool = False) -> DataFrame:
-    """(node, score). The mass of nodes that call nothing is dropped, or with redistribute spread evenly.
+    """(node, score). The mass of nodes that call nothing is dropped, or with redistribute spread evenly. Edges from or to
+    what is no node do not count, not even in an out-degree; repeated edges count once.
 
     With a tolerance every step is evaluated (and cached) and the loop ends once the scores move by less than that in sum;
     without one the steps are unrolled. Either way the plan is cut by a written table every few steps, so that a lost
@@ -70,6 +77,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     scores = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
     if not n:
         return scores
+    ends = lambda end: nodes.select(F.col("node").alias(end))
+    edges = edges.select("src", "dst").distinct().join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
     out = edges.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("share"))
     weighted = edges.join(out, "src")
     if tolerance is not None or iterations > cut_every:
@@ -90,4 +99,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
                 break
         else:
             scores = materialise(new, "rank") if cut else new
+    if tolerance is not None:  # nothing stays cached
+        cached, scores = scores, materialise(scores, "rank")
+        cached.unpersist()
     return scores

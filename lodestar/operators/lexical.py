@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LANGUAGE_KEYWORDS
+from ..storage import materialise
 
 K1, B = 1.5, 0.75
 
@@ -29,7 +29,7 @@ def corpus_stopwords(docs: DataFrame, share: float = 0.8, tokens: str = "tokens"
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, doc_id, tf
+    postings: DataFrame  # term, doc_id, tf, dl
     terms: DataFrame  # term, df, idf
     docs: DataFrame  # doc_id, dl
     stats: DataFrame  # n, avgdl
@@ -64,23 +64,30 @@ def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def build_index(docs: DataFrame, tokens: str = "tokens", stopwords: DataFrame | None = None) -> LexicalIndex:
-    """docs: (doc_id, tokens). Stop-words (term) are taken out before lengths are counted."""
-    rows = docs.select("doc_id", F.explode(tokens).alias("term"))
-    if stopwords is not None:
-        rows = rows.join(stopwords.select("term"), "term", "left_anti")
-    postings = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    lengths = docs.select("doc_id").join(postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """docs: (doc_id, tokens). Stop-words (term) are taken out before lengths are counted; they come to the driver, since
+    words in more than some share of the documents are at most the mean number of distinct words over that share. Texts
+    are tokenised and counted in one pass into a written table, from which all statistics follow; a posting carries its
+    document's length, so that a query needs no other table of documents."""
+    drop = [r["term"] for r in stopwords.select("term").collect()] if stopwords is not None else []
+    kept = F.filter(F.col(tokens), lambda t: ~t.isin(*drop)) if drop else F.col(tokens)
+    rows = docs.select("doc_id", kept.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    postings = materialise(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
+    of = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    lengths = docs.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = docs.agg(F.count("*").alias("n")).join(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))  # one row each
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return LexicalIndex(postings, terms, lengths, stats)
 
 
 def search_batch(index: LexicalIndex, queries: DataFrame, k: int, positive: bool = True) -> DataFrame:
     """The k best documents of each query (query_id, terms): query_id, doc_id, score, rank. A term that a query repeats
-    counts as often. Only the query's postings are read; the ranking keeps k rows per query and task."""
+    counts as often. Only the queries' postings are read, in one join; the ranking keeps k rows per query and task.
+    With positive=False hits that score nothing stay."""
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(index.docs, "doc_id").join(F.broadcast(index.stats))
-    score = F.sum(F.col("times") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl")))
+    weighed = asked.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
+    hits = index.postings.join(weighed, "term")
+    score = F.sum(F.col("weight") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(score, 9).alias("score"))  # ties do not depend on the order of a sum
     scored = scored.where("score > 0") if positive else scored
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -88,12 +95,12 @@ def search_batch(index: LexicalIndex, queries: DataFrame, k: int, positive: bool
 
 
 def scan_search(docs: DataFrame, terms: list[str], k: int, tokens: str = "tokens") -> DataFrame:
-    """The k best documents for one query without an index: (doc_id, score). Two passes over (doc_id, tokens), no
-    explode: term counts are array sizes, document frequencies one row of sums."""
-    hits = F.filter(F.col(tokens), lambda t: t.isin(*terms))  # few tokens are left to count
-    found = docs.select("doc_id", F.size(tokens).alias("dl"), F.array_join(hits, "\n").alias("hits"))
-    times = lambda q: F.size(F.split(F.concat(F.lit("\n"), F.col("hits"), F.lit("\n")).cast("string"), "\n" + re.escape(q) + "(?=\n)")) - 1
-    counted = found.select("doc_id", "dl", *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)])
+    """The k best documents for one query without an index: (doc_id, score). One pass over (doc_id, tokens) writes each
+    document's length and how often it holds each term, a few numbers; statistics and scores are read from that."""
+    few = lambda t: F.filter(F.col(tokens), lambda x: x.isin(*t))  # noqa: E731  few tokens are left to count
+    times = lambda q: F.size(F.filter("hits", lambda x: x == q))
+    found = docs.select("doc_id", F.size(tokens).alias("dl"), few(terms).alias("hits"))
+    counted = materialise(found.select("doc_id", "dl", *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)]), "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = sum((idf(F.col("n"), F.col(f"df{i}")) * saturated(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))), F.lit(0.0))
     return counted.join(F.broadcast(stats)).select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import extract, text
+from ..functions import extract, naming, text
 from ..models import Embedder, Summariser, embed, summarise
 from ..operators import graph, lexical, signals, vector
 from ..sources.catalog import Paths
-from ..sources.files import file_info, source_tree, write_analysis, write_ranked
+from ..sources.files import append_log, file_info, source_tree, write_analysis, write_contents, write_ranked
 from . import phases
 
 
@@ -26,6 +27,16 @@ def analyse(spark: SparkSession, root: str, paths: Paths | None = None, max_file
     return info, edges
 
 
+def simplified(spark: SparkSession, root: str, max_files: int = 100) -> DataFrame:
+    """Records of at most max_files files in path order, numbered, with the first qualified calls and without ranks or a
+    graph: enough for a trial run. Few rows, so that one task numbers them."""
+    c = F.col("content")
+    tree = source_tree(spark, root, max_files=max_files)
+    name = naming.api_key(F.concat(F.regexp_replace("file_name", r"\.plsql$", ""), F.lit("_API")))
+    order = Window.orderBy("relative_path")
+    return tree.select("file_path", "relative_path", "file_name", name.alias("api_name"), "file_size_mb", extract.qualified_calls(c).alias("api_calls"), extract.change_notes(c).alias("changelog_lines"), extract.declared_names(c).alias("procedure_function_names"), F.row_number().over(order).alias("rank"))
+
+
 def rank(info: DataFrame, edges: DataFrame, **kw) -> DataFrame:
     """File records with pagerank_score and pagerank_rank."""
     scores = graph.pagerank(info.select(F.col("relative_path").alias("node")), edges, **kw)
@@ -70,14 +81,32 @@ def embeddings(results: DataFrame, ranked: DataFrame, make: Callable[[], Embedde
     return vector.build(embed(rows.select(F.col("relative_path").alias("vec_id"), what.alias("_text")), "_text", make).drop("_text"))
 
 
-def build(spark: SparkSession, root: str, paths: Paths, embedder: Callable[[], Embedder], summariser: Callable[[], Summariser]) -> None:
-    """All tables of a version: analysis, ranking, lexical index, summaries, vectors."""
+def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def build(spark: SparkSession, root: str, paths: Paths, embedder: Callable[[], Embedder], summariser: Callable[[], Summariser]) -> DataFrame:
+    """All tables of a version: analysis, ranking, contents, lexical index, summaries, vectors; returns the phases'
+    totals. What an earlier run has summarised or embedded successfully is not done again: results are appended to the
+    checkpoints' logs, and only files that these do not cover are worked on. Remove the checkpoints and the vectors to
+    begin anew."""
     tree = source_tree(spark, root)
     info, edges = analyse(spark, root, paths)
     ranked = rank(info, edges).cache()
     write_ranked(ranked.drop("content_hash"), paths.ranked)
+    write_contents(tree, paths.contents)
     lexical_index(tree, ranked).write(paths.lexical)
-    log = summaries(tree, None, summariser)
-    log.write.mode("overwrite").parquet(f"{paths.checkpoints}/summaries")
-    embeddings(spark.read.parquet(f"{paths.checkpoints}/summaries"), ranked, embedder).write.mode("overwrite").parquet(paths.vectors)
+    log = f"{paths.checkpoints}/summaries"
+    append_log(summaries(tree, _saved(spark, log), summariser), log)
+    results = phases.latest(spark.read.parquet(log), "path", "timestamp")
+    done = _saved(spark, paths.vectors)
+    todo = results if done is None else results.join(done.select(F.col("vec_id").alias("path")), "path", "left_anti")
+    embeddings(todo, ranked, embedder).write.mode("append").parquet(paths.vectors)
     ranked.unpersist()
+    vectors = spark.read.parquet(paths.vectors).select(F.col("vec_id").alias("path"), "embedding")
+    return phases.phase_totals(results.join(vectors, "path", "left"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,23 @@ def progress(log: DataFrame, total: int | None, by: str = "run") -> DataFrame:
     return out.withColumn("estimated_completion", eta if total is not None else F.lit(None).cast("timestamp")).drop("_now")
 
 
+def save_progress(row: DataFrame, path: str) -> None:
+    """One run's progress (a row of progress()) in place of what was saved before."""
+    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_progress(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved row with its times as timestamps, or None where nothing (readable) was saved."""
+    from pyspark.errors import AnalysisException
+
+    schema = "run string, files_processed long, files_successful long, files_failed long, start_time timestamp, total_processing_time double, current_rate double, success_rate double, estimated_completion timestamp"
+    try:
+        saved = spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return None
+    return None if saved.isEmpty() else saved
+
+
 def readiness(versions: DataFrame, **artifacts: DataFrame) -> DataFrame:
     """versions with has_<name> for each table of keys, and is_ready: lexical index and ranking are there."""
     key = versions.columns[0]

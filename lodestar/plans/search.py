@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -62,7 +62,8 @@ class SearchResponse:
 
 
 class HybridSearch:
-    """Search over written tables. Parts are optional: without vectors, an embedder or a reranker the others still work.
+    """Search over written tables. What a query finds is at most a few times top_k rows, which are kept as local rows;
+    nothing is cached, and the documents' text is read for hits only. Parts are optional: without vectors, an embedder or a reranker the others still work.
 
     docs: path, file_name, api_name, rank, content; index: LexicalIndex whose doc_id is the path; vectors: vec_id (the
     path), embedding (normalised); ranks: relative_path, file_path, pagerank_score."""
@@ -71,27 +72,34 @@ class HybridSearch:
         self.docs, self.index, self.vectors, self.embedder, self.reranker, self.tokens = docs, index, vectors, embedder, reranker, tokens
         self.boosts = fusion.importance(ranks) if ranks is not None else None
         self.spark = docs.sparkSession
+        self._embed: Embedder | None = None
 
     def stats(self) -> dict[str, int | bool]:
         """What is loaded."""
         return {"lexical_documents": self.index.docs.count(), "vectors": self.vectors.count() if self.vectors is not None else 0, "initialised": self.vectors is not None and self.embedder is not None and self.reranker is not None}
 
-    def _described(self, hits: DataFrame, q: str, source: str, match: str) -> DataFrame:
-        d = hits.join(self.docs, "path").withColumn("source", F.lit(source)).withColumn("match_type", F.lit(match))
+    def _described(self, hits: list[Row], q: str, source: str, match: str) -> DataFrame:
+        """The hits, k rows on the driver, with what the documents say about them: the documents' table is read for
+        their paths only, which its clustering turns into few row groups."""
+        found = self.spark.createDataFrame([(r["path"], float(r["score"])) for r in hits], "path string, score double")
+        docs = self.docs.where(F.col("path").isin(*[r["path"] for r in hits])) if hits else self.docs.limit(0)
+        d = docs.join(F.broadcast(found), "path").withColumn("source", F.lit(source)).withColumn("match_type", F.lit(match))
         title = F.concat_ws(" - ", "api_name", "file_name")
-        return d.select("path", "score", "source", "match_type", "file_name", "api_name", "rank", title.alias("title"), text.best_line(F.col("content"), text.query_words(F.lit(q))).alias("snippet"), F.concat(F.lit(source), F.lit(" match")).alias("explanation"))
+        shown = d.select("path", "score", "source", "match_type", "file_name", "api_name", "rank", title.alias("title"), text.best_line(F.col("content"), text.query_words(F.lit(q))).alias("snippet"), F.concat(F.lit(source), F.lit(" match")).alias("explanation"))
+        return self.spark.createDataFrame(shown.collect(), shown.schema)
 
     def lexical_hits(self, q: str, k: int) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(0).alias("query_id"), self.tokens(F.lit(q)).alias("terms"))
         hits = lexical.search_batch(self.index, asked, k).select(F.col("doc_id").alias("path"), "score")
-        return self._described(hits, q, "lexical", "exact")
+        return self._described(hits.collect(), q, "lexical", "exact")
 
     def vector_hits(self, q: str, k: int) -> DataFrame | None:
         if self.vectors is None or self.embedder is None or not q:
             return None
-        v = self.embedder()([q])[0]
-        hits = vector.search(self.vectors, v.tolist(), k).select(F.col("vec_id").alias("path"), "score")
-        return self._described(hits, q, "vector", "semantic")
+        if self._embed is None:
+            self._embed = self.embedder()
+        hits = vector.search(self.vectors, self._embed([q])[0].tolist(), k).select(F.col("vec_id").alias("path"), "score")
+        return self._described(hits.collect(), q, "vector", "semantic")
 
     def search(self, q: str | None = None, semantic: str | None = None, lexical_query: str | None = None, top_k: int = 10, config: SearchConfig | None = None, explain: bool = True, fill_quota: bool = False) -> SearchResponse:
         """One query serves both sides; a missing special query is filled from the other one. With fill_quota, places
@@ -104,16 +112,17 @@ class HybridSearch:
         primary = q if q is not None else semantic
         analysis = query.analyse(primary)
         fetch = top_k * config.fetch_multiplier
-        lex = self.lexical_hits(lexical_query, fetch).cache()
+        lex = self.lexical_hits(lexical_query, fetch)
         vec = self.vector_hits(semantic, fetch) if config.enable_vectors else None
-        vec = vec.cache() if vec is not None else lex.limit(0)
+        vec = vec if vec is not None else lex.limit(0)
         n_lex, n_vec = lex.count(), vec.count()
         a, b = fusion.quotas(analysis.lexical_weight, analysis.vector_weight, top_k) if config.enable_vectors else (top_k, 0)
         if fill_quota:
             a, b = max(a, top_k - min(b, n_vec)), max(b, top_k - min(a, n_lex))
         boost = (lambda h: fusion.boosted(h, self.boosts)) if self.boosts is not None else (lambda h: h)
-        merged = fusion.merged(fusion.take(boost(lex), a), fusion.take(boost(vec), b)).cache()
-        total = merged.count()
+        merged = fusion.merged(fusion.take(boost(lex), a), fusion.take(boost(vec), b))
+        rows = merged.collect()  # at most top_k
+        merged, total = self.spark.createDataFrame(rows, merged.schema), len(rows)
         applied = config.enable_rerank and self.reranker is not None and total > 1
         found = merged
         if applied:

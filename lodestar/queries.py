@@ -32,19 +32,15 @@ def register(sql: str | None):
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table as it lies. With spark.conf lodestar.scan.partitions its rows are dealt to so many partitions first, for
+    tables in one row group, which one core would read; unset, nothing is moved."""
     df = spark.read.parquet(f"{d}/{table}.parquet")
-    return spread(df) if table in TEXTS else df
+    parts = spark.conf.get("lodestar.scan.partitions", None)
+    return df.repartition(int(parts)) if parts and table in TEXTS else df
 
 
 #: Tables whose columns get costly projections.
-TEXTS = ("documents", "pages", "benchmark")
-
-
-def spread(df: DataFrame, least: int = 64 << 20) -> DataFrame:
-    """A small table that may lie in one row group, dealt to all cores before costly projections; larger tables have
-    splits enough and are left where they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < least else df
+TEXTS = ("documents", "pages", "benchmark", "part")
 
 
 # --- the composed source corpus ---------------------------------------------------------------------------------------
@@ -97,7 +93,7 @@ _LINES_CTE = FILES_CTE + ", ls AS (SELECT file_id, string_split(content, chr(10)
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read(spark, d, "part")).select(*[F.expr(e).alias(n) for n, e in FILES.items()])
+    return read(spark, d, "part").select(*[F.expr(e).alias(n) for n, e in FILES.items()])
 
 
 def described(spark: SparkSession, d: str) -> DataFrame:

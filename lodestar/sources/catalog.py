@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import shutil
+import urllib.request
+import zipfile
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
@@ -47,6 +50,10 @@ class Paths:
     def vectors(self) -> str:
         return f"{self.base}/vectors"
 
+    @property
+    def contents(self) -> str:
+        return f"{self.base}/contents"
+
     @property
     def ranked(self) -> str:
         return f"{self.base}/ranked.jsonl"
@@ -122,3 +129,48 @@ def matching_release(releases: list[dict], version: str) -> dict | None:
         if f"{version.lower()}.zip" in names or (has("lexical") and has("vectors")):
             return r
     return None
+
+
+def package(data: str, version: str) -> dict[str, float | str]:
+    """Pack a version's publishable files (publishable()) and a manifest into <version>.zip in its folder: path, sizes
+    and by how many per cent the archive is smaller. Index files are few; they are read one by one."""
+    base = Paths.of(data, version).base
+    found = [(os.path.relpath(os.path.join(folder, n), base), describe_artifact(f"{folder}/{n}")) for folder, _, names in os.walk(base) for n in sorted(names)]
+    chosen = sorted((p, d) for p, d in found if d is not None and not p.endswith(".zip"))
+    if not chosen:
+        raise ValueError(f"nothing to publish in {base}")
+    target, original = f"{base}/{safe_name(version)}.zip", 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
+        for path, _ in chosen:
+            z.write(f"{base}/{path}", path)
+            original += os.path.getsize(f"{base}/{path}")
+        z.writestr("README.txt", f"Version {version}: indexes and rankings, no source text\n\n" + "".join(f"- {p} - {d}\n" for p, d in chosen))
+    size = os.path.getsize(target)
+    return {"path": target, "files": len(chosen), "original_size": original, "size": size, "smaller_by_percent": (1 - size / original) * 100 if original else 0.0}
+
+
+def describe_artifact(path: str) -> str | None:
+    """What a file of a version is, if it may be published; the rule of files.publishable() for one path."""
+    parts = path.split("/")
+    if "vectors" in parts:
+        return "vector table"
+    if "lexical" in parts:
+        return f"lexical index, {parts[parts.index('lexical') + 1]}" if len(parts) > parts.index("lexical") + 1 else None
+    return "file ranking" if any(p == "ranked.jsonl" for p in parts) else None
+
+
+def download(releases: list[dict], version: str, data: str) -> Status:
+    """Fetch the archives of the first release that holds all of a version's indexes (matching_release) and unpack them
+    into its folder; names that would leave the folder are an error."""
+    release = matching_release(releases, version)
+    if release is None:
+        raise ValueError(f"no release holds the indexes of {version}")
+    base = Paths.of(data, version).base
+    for asset in release["assets"]:
+        if re.fullmatch(rf"v?{re.escape(version.lower())}(-lexical|-vectors)?\.zip", asset["name"].lower()):
+            with urllib.request.urlopen(asset["browser_download_url"]) as r, zipfile.ZipFile(io.BytesIO(r.read())) as z:
+                for e in z.infolist():
+                    if e.filename.startswith("/") or "\\" in e.filename or ".." in e.filename.split("/") or re.match("[A-Za-z]:", e.filename):
+                        raise ValueError(f"unsafe name in the archive: {e.filename!r}")
+                z.extractall(base)
+    return next(s for s in versions(data) if s.extract_path == base)

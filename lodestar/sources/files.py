@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
+import shutil
+import time
+import uuid
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +28,10 @@ VERSION_MEMBER = "checkout/fndbas/source/version.txt"
 
 def source_tree(spark: SparkSession, root: str, suffix: str = ".plsql", max_files: int | None = None) -> DataFrame:
     """file_path, relative_path, file_name, file_size_mb, content of all files below root with the suffix, in path order
-    if limited. Bytes that are no UTF-8 are dropped. No file of the kind is an error."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    if limited. Bytes that are no UTF-8 are dropped. A file that cannot be read or has gone is left out; no file of the
+    kind is an error."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+    raw = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
     base = raw.select(F.col("path").alias("file_path"), F.col("length"), F.col("content").alias("raw"))
     plain = F.col("raw").cast("string")
     text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.replace(F.make_valid_utf8(plain), F.lit("\ufffd"), F.lit("")))
@@ -65,19 +72,38 @@ def archive_version(path: str) -> str:
     raise ValueError("no version in the archive")
 
 
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, relative_path, content) of the source files in the ZIP archives at path, an archive a task: entries
-    below the archive's root whose suffix is known, in any case; the root is cut off."""
+def entry_path(name: str) -> str | None:
+    """Where an archive's entry belongs below a version's source folder: None for entries that are no source files. A
+    name that would leave the folder (absolute, with a drive or backslashes, or with ..) is an error."""
+    if name.endswith("/") or not name.startswith(ARCHIVE_ROOT) and not re.match(r"[/\\]|[A-Za-z]:|.*\.\.", name):
+        return None
+    inner = name[len(ARCHIVE_ROOT) :] if name.startswith(ARCHIVE_ROOT) else name
+    if os.path.splitext(inner)[1].lower() not in SUFFIXES:
+        return None
+    if inner.startswith("/") or "\\" in name or re.match("[A-Za-z]:", inner) or any(p in ("..", "", ".") for p in inner.split("/")):
+        raise ValueError(f"unsafe name in the archive: {name!r}")
+    return inner
 
-    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+
+def archive_entries(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """(archive, relative_path, content) of the source files in the ZIP archives at path, an archive a task and some
+    megabytes a batch: entries below the archive's root whose suffix is known, in any case; the root is cut off."""
+    names = ["archive", "relative_path", "content"]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for e in z.infolist():
-                        if not e.is_dir() and e.filename.startswith(ARCHIVE_ROOT) and os.path.splitext(e.filename)[1].lower() in SUFFIXES:
-                            yield pd.DataFrame({"archive": [name], "relative_path": [e.filename[len(ARCHIVE_ROOT) :]], "content": [z.read(e)]})
+                    wanted = [(e, p) for e in z.infolist() if (p := entry_path(e.filename)) is not None]
+                    rows, size = [], 0
+                    for e, p in wanted:
+                        rows.append((name, p, z.read(e)))
+                        size += e.file_size
+                        if size >= batch_bytes or e is wanted[-1][0]:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names)
+                            rows, size = [], 0
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(f, "archive string, relative_path string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(f, "archive string, relative_path string, content binary")
 
 
 def import_archive(spark: SparkSession, path: str, target: str) -> DataFrame:
@@ -86,20 +112,94 @@ def import_archive(spark: SparkSession, path: str, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def extract_archive(spark: SparkSession, path: str, target: str) -> int:
+    """Write an archive's source files below target, which they replace as a whole; how many there are. Executors write
+    the files, to a folder beside target that takes its place at the end, so target must be a folder that all of them
+    share (on stores without one use import_archive). An unsafe name stops the import and leaves target as it was."""
+    new = f"{target}.new-{uuid.uuid4().hex}"
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for relative, content in zip(batch["relative_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                place = os.path.join(new, relative)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    try:
+        n = archive_entries(spark, path).mapInArrow(f, "n long").agg(F.sum("n")).first()[0] or 0
+        os.makedirs(new, exist_ok=True)
+        shutil.rmtree(target, ignore_errors=True)
+        os.rename(new, target)
+    except Exception as e:
+        shutil.rmtree(new, ignore_errors=True)
+        if "unsafe name" in str(e):
+            raise ValueError(re.search(r"unsafe name in the archive: .*", str(e)).group()) from e
+        raise
+    return n
+
+
+def write_contents(tree: DataFrame, path: str, parts: int = 64) -> None:
+    """(path, content) of a tree, clustered by path: a search reads the row groups of its hits only."""
+    rows = tree.select(F.col("relative_path").alias("path"), "content")
+    rows.repartitionByRange(parts, "path").sortWithinPartitions("path").write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(path)
+
+
+def file_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of all files below root; their contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.select("path", F.col("length").alias("size"))
+
+
+def count_by_extension(listing: DataFrame) -> DataFrame:
+    """(version, extension, n) of the source files of a listing of versions; the sum over extensions is file_count."""
+    version = F.regexp_extract("path", r"/versions/([^/]+)/", 1).alias("version")
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return listing.select(version, extension.alias("extension")).where(F.col("extension").isin(*SUFFIXES)).groupBy("version", "extension").agg(F.count("*").alias("n"))
+
+
 def read_analysis(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The file records of an analysis document (one JSON document)."""
     rows = spark.read.schema(ANALYSIS).option("multiLine", "true").json(path).select(F.posexplode("file_info").alias("file_order", "f")).select("file_order", "f.*")
     return rows if max_files is None else rows.orderBy("file_order").limit(max_files)
 
 
+def global_stats(info: DataFrame) -> DataFrame:
+    """One row: files found and processed, and calls found."""
+    calls = F.coalesce(F.sum(F.size("api_calls")), F.lit(0)).cast("long")
+    return info.agg(F.count("*").alias("total_files_found"), F.count("*").alias("total_files_processed"), calls.alias("total_api_calls_found"))
+
+
 def write_analysis(info: DataFrame, graph: DataFrame, path: str, work_directory: str) -> None:
-    """One JSON document with all file records and the reference graph, for exchange with other tools; keep Parquet
-    tables for anything large."""
-    fields = [f.name for f in FILE_INFO.fields]
-    stats = info.agg(F.count("*").alias("n"), F.sum(F.size("api_calls")).alias("calls"), F.sort_array(F.collect_list(F.struct(*fields))).alias("file_info"))
-    edges = graph.agg(F.map_from_entries(F.collect_list(F.struct("src", "targets"))).alias("reference_graph"))
-    meta = F.struct(F.lit(work_directory).alias("work_directory"), F.lit(65536).alias("max_context_tokens"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("analysis_timestamp"), F.struct(F.col("n").alias("total_files_found"), F.col("n").alias("total_files_processed"), F.coalesce("calls", F.lit(0)).alias("total_api_calls_found")).alias("processing_stats"))
-    stats.crossJoin(edges).select(meta.alias("analysis_metadata"), "file_info", "reference_graph").coalesce(1).write.mode("overwrite").json(path)  # one row each
+    """One JSON document with all file records and the reference graph, for exchange with other tools. It is written row
+    by row, so that neither the driver nor a task ever holds it; keep Parquet tables for anything large."""
+    spark = info.sparkSession
+    stats = global_stats(info).first().asDict()
+    meta = {"work_directory": work_directory, "max_context_tokens": 65536, "analysis_timestamp": time.strftime("%Y-%m-%d %H:%M:%S"), "processing_stats": stats}
+    records = info.select(*[f.name for f in FILE_INFO.fields]).orderBy("relative_path").select(F.to_json(F.struct("*")).alias("x"))
+    links = graph.select(F.to_json(F.struct(F.col("src"), F.col("targets"))).alias("x"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(place, True)
+    out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000.json"), True)
+    held: list[str] = []
+
+    def put(text: str, least: int = 1 << 20) -> None:
+        held.append(text)
+        if sum(map(len, held)) >= least:
+            out.write(bytearray("".join(held).encode()))
+            held.clear()
+
+    put(f'{{"analysis_metadata":{json.dumps(meta)},"file_info":[')
+    for i, r in enumerate(records.toLocalIterator()):
+        put("," * (i > 0) + r["x"])
+    put('],"reference_graph":{')
+    for i, r in enumerate(links.toLocalIterator()):
+        x = json.loads(r["x"])
+        put("," * (i > 0) + f"{json.dumps(x['src'])}:{json.dumps(x.get('targets', []))}")
+    put("}}\n", 0)
+    out.close()
 
 
 def read_ranked(spark: SparkSession, path: str) -> DataFrame:

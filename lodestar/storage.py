@@ -11,9 +11,11 @@ _WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (only where that is unset, as in tests) a local folder."""
+    """spark.checkpoint.dir, or, only where that is unset and driver and executors are one process, a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

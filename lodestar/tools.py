@@ -2,8 +2,45 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+from collections.abc import Callable
+
 from .plans.search import HybridSearch, SearchConfig
 
+class LazyEngine:
+    """A search engine that is made when it is first needed, or some seconds after the start, whichever is earlier, so
+    that a server answers its client's greeting at once. make() runs once; its error is raised at every use."""
+
+    def __init__(self, make: Callable[[], HybridSearch], prewarm_after: float | None = 10.0) -> None:
+        self._make, self._lock = make, threading.Lock()
+        self._made: HybridSearch | None = None
+        self._error: Exception | None = None
+        self._timer = threading.Timer(prewarm_after, self._warm) if prewarm_after is not None else None
+        if self._timer is not None:
+            self._timer.daemon = True
+            self._timer.start()
+
+    def _warm(self) -> None:
+        with contextlib.suppress(Exception):  # the first query raises it
+            self.get()
+
+    def get(self) -> HybridSearch:
+        with self._lock:
+            if self._made is None and self._error is None:
+                try:
+                    self._made = self._make()
+                except Exception as e:
+                    self._error = e
+        if self._error is not None:
+            raise self._error
+        return self._made
+
+    def close(self) -> None:
+        if self._timer is not None:
+            self._timer.cancel()
+
+
 GUIDANCE = """# Working with search results
 1. Start with a business term; the semantic side finds files by purpose.
 2. Repeat with the exact package or procedure name; the lexical side finds declarations and calls.

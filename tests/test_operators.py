@@ -119,3 +119,16 @@ def test_presets():
     assert SearchConfig.medium_hardware() == SearchConfig("medium_hardware", True, False, 2, 0.0)
     assert SearchConfig.slow_hardware() == SearchConfig("slow_hardware", False, False, 1, 0.0)
     assert SearchConfig("custom", fetch_multiplier=5, min_score_threshold=0.8).fetch_multiplier == 5
+
+
+def test_pagerank_counts_edges_between_nodes_only(spark):
+    """A calls B and Z, which is no node: B gets all of A's share."""
+    nodes = spark.createDataFrame([("A",), ("B",)], "node string")
+    edges = spark.createDataFrame([("A", "B"), ("A", "Z"), ("Y", "B"), ("A", "B")], "src string, dst string")
+    got = {r.node: r.score for r in graph.pagerank(nodes, edges, iterations=2, tolerance=None).collect()}
+    assert got["A"] == pytest.approx(0.075) and got["B"] == pytest.approx(0.13875)
+
+
+def test_top_by_calls(spark):
+    files = spark.createDataFrame([("a", "A", ["x", "y"]), ("b", "B", None), ("c", "C", ["x", "z"]), ("d", "D", ["x"] * 3)], "relative_path string, file_name string, api_calls array<string>")
+    assert [tuple(r) for r in graph.top_by_calls(files, 3).collect()] == [("D", 3), ("A", 2), ("C", 2)]

@@ -19,6 +19,13 @@ SOURCES = {
     "fin/Ledger.plsql": "FUNCTION Book RETURN NUMBER IS\n   ledger booking of vouchers\n",
     "fin/Broken.plsql": None,
 }
+#: More files, so that both sides of a search find several.
+MORE = {
+    "order/CustomerCredit.plsql": "-- 240117  ABCD    Credit limit of a customer\nPROCEDURE Raise_Limit (x_ IN NUMBER) IS\n   customer credit validation of the limit\n",
+    "order/CustomerInfo.plsql": "-- 240118  ABCD    Customer address\nPROCEDURE Print_Info (x_ IN NUMBER) IS\n   the customer and its address\n",
+    "pay/Payment.plsql": "-- 240119  ABCD    Payments\nPROCEDURE Pay (x_ IN NUMBER) IS\n   payment validation against credit\n",
+    "inv/Stock.plsql": "-- 240120  ABCD    Stock levels\nPROCEDURE Count_Stock (x_ IN NUMBER) IS\n   stock of parts in places\n",
+}
 
 
 @pytest.fixture(scope="module")
@@ -44,24 +51,39 @@ def test_source_tree_and_file_info(spark, tree):
         files.source_tree(spark, f"{tree}/versions/25.1/source", suffix=".client")
 
 
-def test_build_and_search(spark, tree):
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    root = tmp_path_factory.mktemp("large")
+    for name, body in (SOURCES | MORE).items():
+        path = root / "versions" / "25.1" / "source" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body.encode() if body is not None else b"ledger \xff\xfe broken Ledger_API.Book(x)\n")
+    return root
+
+
+def test_build_and_search(spark, large):
+    tree = large
     paths = catalog.Paths.of(str(tree), "25.1")
-    corpus.build(spark, paths.source, paths, models.hashing_embedder, models.first_line_summariser)
+    totals = corpus.build(spark, paths.source, paths, models.hashing_embedder, models.first_line_summariser).first()
+    assert (totals.total, totals.successful, totals.summarised, totals.embedded) == (8, 8, 8, 8)
     status = catalog.versions(str(tree))[0]
-    assert status.is_ready and status.has_full_analysis and status.has_vectors and status.file_count == 4
+    assert status.is_ready and status.has_full_analysis and status.has_vectors and status.file_count == 8
     assert catalog.version_table(spark, str(tree)).count() == 1
     ranked = files.read_ranked(spark, paths.ranked).orderBy("pagerank_rank").collect()
-    assert ranked[0].relative_path == "fin/Ledger.plsql" and [r.pagerank_rank for r in ranked] == [1, 2, 3, 4]
-    assert files.read_analysis(spark, paths.analysis).count() == 4
+    assert ranked[0].relative_path == "fin/Ledger.plsql" and [r.pagerank_rank for r in ranked] == list(range(1, 9))
+    assert files.read_analysis(spark, paths.analysis).count() == 8
     assert LexicalIndex.read(spark, paths.lexical) is not None
     engine = cli.engine(spark, paths, None)
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
     found = engine.search(lexical_query="invoice", top_k=5, config=SearchConfig.slow_hardware())
     top = found.results.collect()
     assert top[0].path == "inv/Invoice.plsql" and found.fusion_method == "pagerank_lexical_only" and found.vector_count == 0
     assert top[0].snippet == "-- 240116  ABCD    Posting of invoices" and "Exact match" in top[0].explanation
     hybrid = engine.search("customer credit validation", top_k=4)
     assert hybrid.rerank_applied and hybrid.query_type == "mixed" and hybrid.results.count() <= 4
-    assert hybrid.results.select("path").distinct().count() == hybrid.results.count()
+    assert hybrid.results.select("path").distinct().count() == hybrid.results.count() >= 2
+    assert hybrid.lexical_count >= 3 and hybrid.vector_count >= 3 and all("reranked" in r.source for r in hybrid.results.collect())
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= cached  # a search leaves nothing cached
     full = engine.search("customer credit", top_k=4, fill_quota=True, config=SearchConfig.medium_hardware())
     assert full.fusion_method == "pagerank_weighted" and full.results.count() >= hybrid.results.count() - 1
     assert "CustomerOrder" in tools.search_codebase(engine, "credit", max_results=3)
@@ -69,6 +91,112 @@ def test_build_and_search(spark, tree):
     assert tools.search_codebase(engine, "x", search_mode="odd").startswith("unknown") and tools.development_guidance()
 
 
+def test_build_resumes(spark, tmp_path):
+    source = tmp_path / "versions/1.0/source"
+    source.mkdir(parents=True)
+    paths = catalog.Paths.of(str(tmp_path), "1.0")
+    for n in ("One", "Two"):
+        (source / f"{n}.plsql").write_text(f"-- 240101  ABCD    {n} is here\n")
+    (tmp_path / "seen").mkdir()
+    seen = str(tmp_path / "seen")
+
+    def summariser():
+        def f(texts):
+            for t in texts:
+                with open(f"{seen}/log", "a") as file:
+                    file.write(t)
+                if "bad" in t and not os.path.exists(f"{seen}/mended"):
+                    raise RuntimeError("not now")
+            return [t.strip() for t in texts]
+
+        return f
+
+    corpus.build(spark, paths.source, paths, models.hashing_embedder, summariser)
+    (source / "Three.plsql").write_text("bad\n")
+    first = corpus.build(spark, paths.source, paths, models.hashing_embedder, summariser).first()
+    assert (first.total, first.successful, first.embedded) == (3, 2, 2)
+    open(f"{seen}/mended", "w").close()
+    second = corpus.build(spark, paths.source, paths, models.hashing_embedder, summariser).first()
+    assert (second.total, second.successful, second.embedded) == (3, 3, 3)
+    done = open(f"{seen}/log").read()
+    assert done.count("One is here") == done.count("Two is here") == 1 and done.count("bad") >= 2
+    assert spark.read.parquet(paths.vectors).count() == 3
+
+
+def test_hostile_archives_are_refused(spark, tmp_path, capsys):
+    run = lambda *a: cli.main(["--data", str(tmp_path / "data"), *a], spark)
+    for name in ("checkout/../../../../escaped.plsql", "checkout//etc/x.plsql", "checkout/C:/x.plsql", "checkout/a\\..\\b.plsql", "/abs/x.plsql", "checkout/./x.plsql", "../x.plsql"):
+        archive = tmp_path / "evil.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            z.writestr("checkout/a/Good.plsql", "x")
+            info = zipfile.ZipInfo("x")
+            info.filename = name
+            z.writestr(info, "x")
+        assert run("import", str(archive), "--version", "1.0") == 1, name
+        assert "unsafe name" in capsys.readouterr().err
+        assert not list(tmp_path.rglob("*.plsql")), name
+
+
+def test_import_replaces_the_old_extraction(spark, tmp_path):
+    run = lambda *a: cli.main(["--data", str(tmp_path), *a], spark)
+    for name in ("Old", "New"):
+        with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+            z.writestr(f"checkout/a/{name}.plsql", "x")
+        assert run("import", str(tmp_path / "r.zip"), "--version", "1.0") == 0
+    assert [p.name for p in (tmp_path / "versions/1.0").rglob("*") if p.is_file() and not p.name.startswith(".")] == ["New.plsql"]
+
+
+def test_unreadable_files_are_left_out(spark, tmp_path):
+    (tmp_path / "A.plsql").write_text("x")
+    (tmp_path / "B.plsql").symlink_to(tmp_path / "gone")
+    assert [r.file_name for r in files.source_tree(spark, str(tmp_path)).collect()] == ["A.plsql"]
+
+
+def test_progress_is_saved_and_loaded(spark, tmp_path):
+    log = spark.createDataFrame([("r", "2024-01-01 00:00:00", True), ("r", "2024-01-01 00:00:10", False)], "run string, timestamp string, success boolean")
+    path = str(tmp_path / "progress")
+    assert phases.load_progress(spark, path) is None
+    row = phases.progress(log, total=4)
+    phases.save_progress(row, path)
+    assert phases.load_progress(spark, path).first().asDict() == row.select(*phases.load_progress(spark, path).columns).first().asDict()
+
+
+def test_simplified_list(spark, tree):
+    rows = corpus.simplified(spark, f"{tree}/versions/25.1/source", max_files=3).collect()
+    assert [(r.rank, r.relative_path) for r in rows] == [(1, "fin/Broken.plsql"), (2, "fin/Ledger.plsql"), (3, "inv/Invoice.plsql")]
+    assert rows[2].api_calls == ["Ledger_API.Book"] and rows[2].api_name == "INVOICE_API"
+
+
+def test_package_and_download(spark, large, tmp_path, capsys):
+    assert cli.main(["--data", str(large), "package", "25.1"], spark) == 0
+    made = json.loads(capsys.readouterr().out)
+    names = zipfile.ZipFile(made["path"]).namelist()
+    assert "README.txt" in names and not any(n.startswith(("source", "contents", "analysis")) for n in names) and made["files"] == len(names) - 1
+    assert made["smaller_by_percent"] == pytest.approx((1 - made["size"] / made["original_size"]) * 100)
+    (tmp_path / "releases.json").write_text(json.dumps([{"tag_name": "x", "assets": []}, {"tag_name": "y", "assets": [{"name": "25.1.zip", "browser_download_url": f"file://{made['path']}"}]}]))
+    assert cli.main(["--data", str(tmp_path), "download", "25.1", "--releases", str(tmp_path / "releases.json")], spark) == 0
+    assert catalog.versions(str(tmp_path))[0].is_ready
+    assert cli.main(["--data", str(tmp_path), "download", "9.9", "--releases", str(tmp_path / "releases.json")], spark) == 1
+
+
+def test_lazy_engine():
+    made = []
+    lazy = tools.LazyEngine(lambda: made.append(1) or "engine", prewarm_after=0.01)
+    import time
+
+    time.sleep(0.3)
+    assert made == [1] and lazy.get() == "engine" and made == [1]
+    slow = tools.LazyEngine(lambda: 1 / 0, prewarm_after=None)
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            slow.get()
+
+
+def test_files_by_extension(spark, tree):
+    rows = files.count_by_extension(files.file_listing(spark, f"{tree}/versions")).collect()
+    assert [(r.version, r.extension, r.n) for r in rows] == [("25.1", ".plsql", 4)]
+
+
 def test_command_line(spark, tree, tmp_path, capsys):
     archive = tmp_path / "release.zip"
     with zipfile.ZipFile(archive, "w") as z:
