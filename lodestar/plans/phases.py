@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Timestamps in saved progress, to the microsecond.
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def latest(log: DataFrame, key: str = "path", seq: str = "seq") -> DataFrame:
     """The last row of each key, by seq: a grouped maximum of structs, combined on the map side."""
     rest = [c for c in log.columns if c not in (key, seq)]
@@ -57,7 +61,7 @@ def progress(log: DataFrame, total: int | None, by: str = "run") -> DataFrame:
 
 def save_progress(row: DataFrame, path: str) -> None:
     """One run's progress (a row of progress()) in place of what was saved before."""
-    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    row.limit(1).coalesce(1).write.mode("overwrite").option("timestampFormat", ISO).json(path)
 
 
 def load_progress(spark: SparkSession, path: str) -> DataFrame | None:
@@ -66,7 +70,7 @@ def load_progress(spark: SparkSession, path: str) -> DataFrame | None:
 
     schema = "run string, files_processed long, files_successful long, files_failed long, start_time timestamp, total_processing_time double, current_rate double, success_rate double, estimated_completion timestamp"
     try:
-        saved = spark.read.schema(schema).json(path)
+        saved = spark.read.schema(schema).option("timestampFormat", ISO).json(path)
     except AnalysisException:
         return None
     return None if saved.isEmpty() else saved

@@ -580,7 +580,7 @@ def version_names(spark, d):
     return read(spark, d, "documents").select("doc_id", text.safe_version(F.concat("source", F.lit(" v1."), F.col("doc_id").cast("string"), F.lit("/x"))).alias("version"))
 
 
-@register("SELECT 'v' || (user_id % 9) AS tag, event_type AS asset, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events) WHERE FALSE UNION ALL SELECT tag, asset, user_id FROM (SELECT 'v' || (user_id % 9) AS tag, min(event_type) AS asset, min(user_id) AS user_id FROM events GROUP BY user_id % 9 HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') > 0 ORDER BY min(event_id) LIMIT 1)")
+@register("SELECT tag, asset, user_id FROM (SELECT 'v' || (user_id % 9) AS tag, min(event_type) AS asset, min(user_id) AS user_id FROM events GROUP BY user_id % 9 HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') > 0 ORDER BY min(event_id) LIMIT 1)")
 def first_complete_release(spark, d):
     events = read(spark, d, "events").withColumn("tag", F.concat(F.lit("v"), (F.col("user_id") % 9).cast("string")))
     both = events.groupBy("tag").agg(F.min("event_type").alias("asset"), F.min("user_id").alias("user_id"), F.min("event_id").alias("at"), F.max(F.col("event_type") == "click").alias("a"), F.max(F.col("event_type") == "view").alias("b"))

@@ -155,7 +155,7 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
 def count_by_extension(listing: DataFrame) -> DataFrame:
     """(version, extension, n) of the source files of a listing of versions; the sum over extensions is file_count."""
     version = F.regexp_extract("path", r"/versions/([^/]+)/", 1).alias("version")
-    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    extension = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     return listing.select(version, extension.alias("extension")).where(F.col("extension").isin(*SUFFIXES)).groupBy("version", "extension").agg(F.count("*").alias("n"))
 
 
@@ -219,8 +219,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def publishable(listing: DataFrame) -> DataFrame:
     """Files of a version (path) that hold no source text: indexes, vectors and the ranking; with a description."""
-    part, name = F.split_part("path", F.lit("/"), F.lit(-2)), F.split_part("path", F.lit("/"), F.lit(-1))
-    kind = F.when(part == "vectors", F.when(name.endswith(".npy"), "embeddings").otherwise("vector index")).when(part == "lexical", F.when(name.contains("corpus"), "tokenised corpus").when(name.contains("metadata"), "index metadata").otherwise("lexical index")).when(name == "ranked.jsonl", "file ranking")
+    table = F.regexp_extract("path", r"(?:^|/)lexical/([^/]+)", 1)
+    kind = F.when(F.col("path").rlike("(?:^|/)vectors/"), "vector table").when(table != "", F.concat(F.lit("lexical index, "), table)).when(F.col("path").rlike(r"(?:^|/)ranked\.jsonl(?:/|$)"), "file ranking")
     return listing.withColumn("description", kind).where("description is not null")
 
 
