@@ -70,7 +70,6 @@ def _built(spark: SparkSession, d: str) -> Paths:
     return paths
 
 
-_KEY = "upper(concat({}, '_API'))".format(_name("file_id", True))
 _CALLS = "list_sort(list_distinct(list_transform(regexp_extract_all(content, '(?i)([A-Z][A-Z0-9_]*_API)\\.', 1), lambda x: upper(x))))"
 _API = "concat({}, '_API')".format(_name("file_id", True))
 
@@ -177,7 +176,7 @@ def top_by_calls(spark, d):
     return graph.top_by_calls(files.file_info(source(spark, d)))
 
 
-@register(FILES_CTE + f", r AS (SELECT *, row_number() OVER (ORDER BY relative_path)::INT AS rank FROM files) SELECT rank, relative_path, {_KEY} AS api_name, len(regexp_extract_all(content, '\\b([A-Z][A-Za-z_]*_API)\\.([A-Za-z_]+)\\s*\\('))::INT AS n_calls FROM r WHERE rank <= 100")
+@register(FILES_CTE + f", r AS (SELECT *, row_number() OVER (ORDER BY relative_path)::INT AS rank FROM files) SELECT rank, relative_path, upper(regexp_replace(regexp_replace(file_name, '\\.plsql$', ''), '([a-z_])([A-Z])', '\\1_\\2', 'g')) || '_API' AS api_name, len(regexp_extract_all(content, '\\b([A-Z][A-Za-z_]*_API)\\.([A-Za-z_]+)\\s*\\('))::INT AS n_calls FROM r WHERE rank <= 100")
 def simplified_list(spark, d):
     root = Paths.of(_composed(spark, d)[0], VERSION).source
     return corpus.simplified(spark, root).select("rank", "relative_path", "api_name", F.size("api_calls").alias("n_calls"))
