@@ -11,30 +11,28 @@ PARTS = 400
 TRACKED = 16_384
 
 
-def hot_keys(rows: DataFrame, key: Column, least: int = 100 * PARTS) -> DataFrame | None:
-    """(_hash, _salts): the hashes of the hot keys, fewer than PARTS rows, and in how many parts to deal each; None if
-    there is none, or fewer than `least` rows in all. One pass with a sketch of bounded size; nothing is shuffled."""
-    spark = rows.sparkSession
+def hot_keys(rows: DataFrame, key: Column, least: int = 100 * PARTS) -> dict[int, int]:
+    """The hashes of the hot keys, fewer than PARTS, and in how many parts to deal each; none where there are fewer than
+    `least` rows in all. One pass with a sketch of bounded size; nothing is shuffled."""
     total, top = rows.select(F.xxhash64(key).alias("_hash")).agg(F.count("*"), F.expr(f"approx_top_k(_hash, {PARTS}, {TRACKED})")).first()
-    hot = [(r["item"], -(-r["count"] * PARTS // total)) for r in top or [] if r["count"] * PARTS > total >= least]
-    return spark.createDataFrame(hot, "_hash long, _salts int") if hot else None
+    return {r["item"]: -(-r["count"] * PARTS // total) for r in top or [] if r["count"] * PARTS > total >= least}
 
 
-def salted(rows: DataFrame, key: Column, by: Column, hot: DataFrame | None, salt: str = "_salt") -> DataFrame:
-    """rows with a salt: 0, or for hot keys one of as many as they have, by the hash of `by`."""
-    if hot is None:
-        return rows.withColumn(salt, F.lit(0))
-    out = rows.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(hot), "_hash", "left")
-    return out.withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hash", "_salts")
+def salts(key: Column, hot: dict[int, int]) -> Column:
+    """In how many parts a row's key is dealt. The expression has the same form whether there are hot keys or not."""
+    h, table = F.xxhash64(key), {0: 1} | hot
+    entries = F.create_map(*[F.lit(x) for k, n in table.items() for x in (k, n)])
+    return F.when(h.isin(*table), F.coalesce(F.element_at(entries, h), F.lit(1))).otherwise(F.lit(1)).cast("int")
+
+
+def salted(rows: DataFrame, key: Column, by: Column, hot: dict[int, int]) -> DataFrame:
+    """rows with a _salt: 0, or for hot keys one of as many as they have, by the hash of `by`."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), salts(key, hot)).cast("int"))
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """big joined to small on `key`, which no two rows of small share. A hot key's rows are dealt by the column `by`, and
-    its row of small goes to each of its salts. The table of hot keys, which is broadcast, has fewer than PARTS rows. big
-    should be a written table: it is read twice."""
+    its row of small goes to each of its salts. big should be a written table: it is read twice."""
     hot = hot_keys(big, F.col(key))
-    if hot is None:
-        return big.join(small, key, how)
-    right = small.withColumn("_hash", F.xxhash64(F.col(key))).join(F.broadcast(hot), "_hash", "left")
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hash", "_salts")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts(F.col(key), hot) - 1)))
     return salted(big, F.col(key), F.col(by), hot).join(right, [key, "_salt"], how).drop("_salt")

@@ -125,3 +125,56 @@ k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+# --- parts of the operators' results that SQL can express: the operators, run as above, with fewer columns -------------------
+
+
+@query
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's sizes, and that its shards hold every row once: how many rows share a row's shard and slot."""
+    from .sharding import shard_documents
+
+    out = shard_documents(documents(spark, sf_dir), shards=24)
+    places = out.groupBy("shard", "slot").agg(F.count("*").alias("rows_here"))
+    return out.join(places, ["shard", "slot"]).select("doc_id", "size", "law", "rows_here")
+
+
+ORACLES["shard_sizes"] = "SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, 'bytes' AS law, 1::BIGINT AS rows_here FROM documents"
+
+
+@query
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base columns."""
+    from .pii import personal_data
+
+    return personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+ORACLES["pii_counts"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e,
+  regexp_extract_all(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i, regexp_extract_all(x, '[0-9]([\x20-]?[0-9])+') AS c, regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM t),
+d AS (SELECT doc_id, e, i, list_transform(c, lambda y: regexp_replace(y, '[^0-9]', '', 'g')) AS c, list_transform(p, lambda y: regexp_replace(y, '[^0-9]', '', 'g')) AS p FROM m)
+SELECT doc_id, len(e) AS n_email, len(list_filter(i, lambda y: list_max(list_transform(string_split(y, '.'), lambda z: z::DOUBLE)) <= 255)) AS n_ip,
+  len(list_filter(c, lambda y: length(y) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(y)),
+    lambda k: CASE WHEN k % 2 = 0 THEN y[length(y) - k]::INT ELSE 2 * y[length(y) - k]::INT - CASE WHEN y[length(y) - k]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+  len(list_filter(p, lambda y: length(y) BETWEEN 9 AND 15)) AS n_phone FROM d
+"""
+
+
+@query
+def verbatim_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with an overlap of one: every shingle of an item must be found."""
+    from .decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), overlap=1.0).select("doc_id", "contaminated")
+
+
+ORACLES["verbatim_items"] = r"""
+WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+'),
+    lambda x: regexp_replace(x, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS x FROM documents),
+i AS (SELECT ' ' || array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'),
+    lambda x: regexp_replace(x, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS x FROM benchmark)
+SELECT doc_id, bool_or(contains(w.x, i.x)) AS contaminated FROM w, i GROUP BY doc_id
+"""
