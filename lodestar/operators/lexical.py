@@ -12,6 +12,8 @@ from ..functions.text import LANGUAGE_KEYWORDS
 from ..storage import materialise
 
 K1, B = 1.5, 0.75
+#: Up to so many terms of queries are broadcast, some megabytes; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def document_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -71,7 +73,8 @@ def build_index(docs: DataFrame, tokens: str = "tokens", stopwords: DataFrame |
     drop = [r["term"] for r in stopwords.select("term").collect()] if stopwords is not None else []
     kept = F.filter(F.col(tokens), lambda t: ~t.isin(*drop)) if drop else F.col(tokens)
     rows = docs.select("doc_id", kept.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    postings = materialise(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
+    # a document's postings stay together, so that its scores are summed where they lie
+    postings = materialise(rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
     of = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     lengths = docs.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
@@ -86,7 +89,8 @@ def search_batch(index: LexicalIndex, queries: DataFrame, k: int, positive: bool
     With positive=False hits that score nothing stay."""
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = asked.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
-    hits = index.postings.join(weighed, "term")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hits = index.postings.join(F.broadcast(weighed) if few else weighed, "term")
     score = F.sum(F.col("weight") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(score, 9).alias("score"))  # ties do not depend on the order of a sum
     scored = scored.where("score > 0") if positive else scored
