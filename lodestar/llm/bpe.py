@@ -4,8 +4,9 @@ Words are what the tokenizer's own pattern cuts a text into; merges never cross
 once and putting the ids back by position equals encoding the text.
 
 1. All texts are split in Spark and the distinct words counted, with the map side combined.
-2. The most frequent words, as many whole frequency classes as hold no more than `hot_words` of them, are encoded once, in
-   a distributed job, and broadcast; the table's size is bounded by that parameter, whatever the corpus.
+2. The most frequent words of up to HOT_LETTERS code points, as many whole frequency classes as hold no more than
+   `hot_words` of them, are encoded once, in a distributed job, and broadcast; these two bound the table's bytes, whatever
+   the corpus.
 3. Every text is split again and its words are replaced by their ids, position by position. Words outside the table (the
    long tail, most of which occur once) are encoded once per task in a table of the task's own (and again after it is
    flushed): a global join, tried once, wrote 1.98 times the input to disk (README).
@@ -32,6 +33,7 @@ from .common import materialise, narrow
 #: The pattern of the byte-level family, as its tokenizer files have it built in (white space by the Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 FLUSH_WORDS = 200_000
+HOT_LETTERS = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -163,7 +165,7 @@ def _prepared(docs: DataFrame, tokenizer_path: str, hot_words: int) -> tuple[Bro
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = sc.broadcast(file.read())
     # classes of frequency, 16 to a doubling: at most some hundreds of rows come to the driver
-    counts = materialise(word_counts(docs, spec).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    counts = materialise(word_counts(docs, spec).where(F.length("word") <= HOT_LETTERS).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     least, room = 0, hot_words
     for r in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
         room -= r["words"]

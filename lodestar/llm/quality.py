@@ -185,7 +185,9 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -
 
 
 def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all their columns, whose score reaches the threshold; texts and ids as they were."""
+    """The rows of docs, all their columns, whose score reaches the threshold; texts and ids as they were. A null text
+    scores as the empty one; very long texts are scored whole; repeated rows get equal scores, so they stay or go
+    together; columns with clashing names stay; an empty table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

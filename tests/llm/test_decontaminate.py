@@ -106,3 +106,10 @@ def test_search_gives_what_exhaustive_scoring_gives():
                     score[index.item[index.first[k] : index.first[k + 1]]] += index.score[index.first[k] : index.first[k + 1]]
             want |= {(r, p, i) for i in np.flatnonzero(score >= index.least[:-1] - 1e-9).tolist()}
     assert set(index.search(h, row, together=50)) == want and len(want) > 10
+
+
+def test_long_words_that_sums_of_powers_confuse(spark):
+    a, b = ("".join(x[i.bit_count() % 2] for i in range(1024)) for x in ("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{a} {a} {b} one", 0, ""), (2, f"{b} {b} {a} one", 0, "")], SCHEMA)
+    items = spark.createDataFrame([(5, f"{a} {a} {b} one")], "item_id long, text string")
+    assert sorted((r.doc_id, r["items"]) for r in contamination(docs, items).collect()) == [(1, [5]), (2, [])]

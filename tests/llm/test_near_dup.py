@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm.bagminhash import signatures
 from lodestar.llm.components import components
@@ -96,3 +97,26 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).count() == one_of_each(df).count() == 0
+
+
+def test_long_words_that_sums_of_powers_confuse(spark):
+    """Words of 1,024 bytes in the Thue-Morse order and their complements: such texts share no shingle."""
+    a, b = ("".join(x[i.bit_count() % 2] for i in range(1024)) for x in ("ab", "ba"))
+    rows = [(1, " ".join([a] * 4 + ["x"])), (2, " ".join([b] * 4 + ["x"])), (3, " ".join([a] * 4 + ["x"]))]
+    out = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in near_duplicates(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)).collect()}
+    assert out == {1: (1, 2, 0), 2: (2, 1, 0), 3: (1, 2, 0)}
+
+
+def test_links_are_counted(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:190] + [f"x{i}y{j}" for j in range(5)])) for i in range(6)] + [(9, "apart from all others")]
+    out = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in near_duplicates(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)).collect()}
+    assert out.pop(9) == (9, 1, 0)
+    assert {x[:2] for x in out.values()} == {(0, 6)} and all(x[2] >= 5 for x in out.values())
+
+
+def test_of_repeated_rows_the_same_one_always_stays(spark):
+    rows = [(1, "same text", v, k) for v in ("a", "b", "c") for k in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [tuple(one_of_each(x).first()) for x in (df, df.orderBy("v"), df.orderBy(F.desc("root")).repartition(3))]
+    assert len(set(kept)) == 1 and kept[0] in rows

@@ -56,3 +56,17 @@ def test_no_labels_and_empty_tables(spark):
     assert [r.score for r in score_documents(docs, train(docs, none)).collect()] == [0.5]
     empty = spark.createDataFrame([], SCHEMA)
     assert score_documents(empty, fit([], 64)).count() == accepted(empty, fit([], 64)).count() == 0
+
+
+def test_repeated_rows_score_alike_and_count_once_in_training(spark):
+    rows, labels = corpus(6, 300)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = train(docs, marks.union(marks), dims=1 << 10)
+    twice = docs.union(docs)
+    out = {}
+    for r in score_documents(twice, model).collect():
+        out.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(s) == 2 and s[0] == s[1] for s in out.values()) and len(out) == 300
+    kept = accepted(twice, model).groupBy("doc_id").count()
+    assert kept.where("count <> 2").isEmpty()
