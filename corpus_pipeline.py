@@ -18,27 +18,31 @@ from lodestar.llm.quality import accepted, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects go."""
+    """Documents that the factorisation machine rejects go. A null or empty text is scored like any other (its features
+    are all but empty); repeated rows get equal scores and stay or go together; an empty table stays empty."""
     return accepted(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in 10 documents or more are cut out of every text."""
+    """Lines that stand in 10 documents or more are cut out of every text. A null text stays null, a text all of whose
+    lines go becomes empty; rows that share a doc_id count as one document; other columns, whatever their names, stay."""
     return without_common_lines(docs, min_docs=10)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each class of near-duplicates stays: that with the smallest doc_id, a null one last. Null and empty
+    texts are one class, texts of white space alone one for each text; of rows that repeat id and text the one with the
+    least hash of all its columns stays."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go. A null or empty text holds none; an empty benchmark keeps all."""
     return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, a row per row; a null text is empty."""
     return round_trip(docs, default_tokenizer(spark))
 
 
@@ -48,6 +52,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, in order. The written tables between them stay, as the last stage reads one when its
+    result is read; lodestar.storage.release() deletes them."""
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

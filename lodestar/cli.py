@@ -14,7 +14,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import models, tools
+from . import models, storage, tools
 from .operators import graph
 from .operators.lexical import LexicalIndex
 from .plans import corpus
@@ -125,6 +125,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 for q in [args.query] if args.command == "search" else map(str.strip, sys.stdin):
                     print(tools.search_codebase(lazy.get(), q, search_mode=args.mode, max_results=args.max_results), flush=True)
                 lazy.close()
+            if spark is None:  # the session is this command's own, and so are its scratch tables
+                storage.release(s)
         return 0
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

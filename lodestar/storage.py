@@ -1,4 +1,7 @@
-"""Written tables that cut a plan's lineage, in the folder that driver and executors share."""
+"""Written tables that cut a plan's lineage, in the folder that driver and executors share.
+
+Who deletes them: a query returns a frame that reads some of them later, so it cannot. The caller does, with release()
+once it has its rows; the command line does at its end, and a cluster may clear spark.checkpoint.dir by age."""
 
 from __future__ import annotations
 
