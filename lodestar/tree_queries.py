@@ -549,3 +549,64 @@ def packaged_version(spark, d):
     assert made["original_size"] == 3000 and 0 < made["smaller_by_percent"] < 100
     shutil.rmtree(data)
     return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+# --- models' places and the rest ----------------------------------------------------------------------------------------------
+
+_BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    s AS (SELECT doc_id, pos, regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS line FROM l), f AS (SELECT doc_id, arg_min(line, pos) AS line FROM s WHERE line <> '' GROUP BY doc_id)
+    SELECT d.doc_id AS path, coalesce(line, '') AS summary, TRUE AS has_ai_summary, (length(text) // 4)::INT AS tokens_used FROM documents d LEFT JOIN f USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"""
+)
+def resumed_summaries(spark, d):
+    """The summary phase where a log covers some files: only the others are summarised."""
+    tree = read(spark, d, "documents").select(F.col("doc_id").alias("relative_path"), F.col("text").alias("content"))
+    log = read(spark, d, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") == 1).alias("success"))
+    return corpus.summaries(tree, log, models.first_line_summariser).select("path", "summary", "has_ai_summary", "tokens_used")
+
+
+@register("SELECT doc_id, 64 AS dims, 1.0::DOUBLE AS length FROM documents WHERE regexp_matches(text, '[a-z]')")
+def embedded_texts(spark, d):
+    """The stand-in embedder over whole texts: vectors of length one."""
+    rows = read(spark, d, "documents").where("text rlike '[a-z]'").select("doc_id", "text")
+    v = models.embed(rows, "text", models.hashing_embedder).select("doc_id", "embedding")
+    return v.select("doc_id", F.size("embedding").alias("dims"), F.round(F.sqrt(vector.inner_product(F.col("embedding"), F.col("embedding"))), 5).alias("length"))
+
+
+#: Texts with the tokens that the byte-pair vocabulary cuts them into, cleaned like words.
+_PIECES = {"Customer_Order validates credit": "customer order valid ates credit", "rounding of totals 2024": "round ing totals", "": "", "if x > 10 then": ""}
+
+
+@register("SELECT unnest([" + ", ".join(f"'{t}'" for t in _PIECES) + "]) AS content, unnest([" + ", ".join(f"'{t}'" for t in _PIECES.values()) + "]) AS tokens")
+def subword_tokens(spark, d):
+    import public_tokenizers
+
+    rows = spark.createDataFrame([(t,) for t in _PIECES], "content string")
+    found = tokenize.subword_tokens(F.col("content"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, text.stopwords())
+    return rows.select("content", F.array_join(found, " ").alias("tokens"))
+
+
+@register("SELECT unnest(['A.plsql', 'sub/B.plsql']) AS relative_path")
+def readable_sources(spark, d):
+    """A scan that meets a file that cannot be read: the others come through."""
+    root = tempfile.mkdtemp(dir=_folder(spark))
+    os.makedirs(f"{root}/sub")
+    for name in ("A.plsql", "sub/B.plsql", "sub/C.txt"):
+        with open(f"{root}/{name}", "w") as f:
+            f.write("x")
+    os.symlink(f"{root}/nowhere", f"{root}/Gone.plsql")
+    return files.source_tree(spark, root).select("relative_path")
+
+
+@register("SELECT unnest(['hybrid', 'semantic', 'lexical', 'odd']) AS mode, unnest([TRUE, TRUE, TRUE, FALSE]) AS answered")
+def search_modes(spark, d):
+    """The search tool in each of its modes, and in one that it has not."""
+    from . import tools
+
+    engine = _engine(spark, d, True)
+    said = {m: tools.search_codebase(engine, ASKED, search_mode=m, max_results=3) for m in ("hybrid", "semantic", "lexical", "odd")}
+    assert tools.search_semantic(engine, ASKED, 3).splitlines()[2:] and tools.development_guidance()
+    return spark.createDataFrame([(m, x.startswith("# ")) for m, x in said.items()], "mode string, answered boolean")
