@@ -65,7 +65,7 @@ def _step(nodes: DataFrame, weighted: DataFrame, scores: DataFrame, n: int, damp
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5, redistribute: bool = False) -> DataFrame:
     """(node, score). The mass of nodes that call nothing is dropped, or with redistribute spread evenly. Edges from or to
-    what is no node do not count, not even in an out-degree; repeated edges count once.
+    what is no node do not count, not even in an out-degree.
 
     With a tolerance every step is evaluated (and cached) and the loop ends once the scores move by less than that in sum;
     without one the steps are unrolled. Either way the plan is cut by a written table every few steps, so that a lost
@@ -78,7 +78,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     if not n:
         return scores
     ends = lambda end: nodes.select(F.col("node").alias(end))
-    edges = edges.select("src", "dst").distinct().join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
+    edges = edges.select("src", "dst").join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
     out = edges.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("share"))
     weighted = edges.join(out, "src")
     if tolerance is not None or iterations > cut_every:
