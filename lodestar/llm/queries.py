@@ -84,7 +84,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     found = personal_data(documents(spark, sf_dir))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+    n_spans = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_added")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", n_spans.alias("n_spans"))
 
 
 @query
