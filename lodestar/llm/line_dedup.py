@@ -174,7 +174,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, digest: bool = False)
     A null or empty text is one empty line; empty keys never go. Very long texts are handled whole, a row at a time.
     An empty table gives an empty result; other columns of docs, whatever their names, are not looked at."""
     maps = keep_bitmaps(docs, min_docs)
-    joined = _keyed(docs).join(maps, ["d", "rk"], "left").select("doc_id", "raw", "keep")
+    joined = _keyed(docs).join(maps.hint("merge"), ["d", "rk"], "left").select("doc_id", "raw", "keep")
     return joined.mapInArrow(_apply(digest), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
@@ -186,7 +186,7 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     own, d, rk, md, mrk, keep = fresh(docs, "_raw", "_d", "_rk", "_md", "_mrk", "_keep")
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias(own), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID + 1)).alias(d), F.xxhash64(raw).alias(rk))
     maps = keep_bitmaps(docs, min_docs).toDF(md, mrk, keep)
-    joined = rows.join(maps, (F.col(d) == F.col(md)) & (F.col(rk) == F.col(mrk)), "left").drop(d, rk, md, mrk)
+    joined = rows.join(maps.hint("merge"), (F.col(d) == F.col(md)) & (F.col(rk) == F.col(mrk)), "left").drop(d, rk, md, mrk)
     at = docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
