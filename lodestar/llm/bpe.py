@@ -3,14 +3,13 @@
 Words are what the tokenizer's own pattern cuts a text into; merges never cross them, so encoding every distinct word
 once and putting the ids back by position equals encoding the text.
 
-1. All texts are split in Spark and the distinct words counted, with the map side combined.
-2. The most frequent words of up to HOT_LETTERS code points, as many whole frequency classes as hold no more than
-   `hot_words` of them, are encoded once, in a distributed job, and broadcast; these two bound the table's bytes, whatever
-   the corpus.
-3. Every text is split again and its words are replaced by their ids, position by position. Words outside the table (the
-   long tail, most of which occur once) are encoded once per task in a table of the task's own (and again after it is
-   flushed): a global join, tried once, wrote 1.98 times the input to disk (README).
+1. Documents are dealt to chunks of bounded bytes. A chunk splits its texts and sends its distinct words to shards by the
+   words' hash (exchange.py), so that all chunks' copies of a word meet in one shard.
+2. A shard encodes each distinct word once and answers every chunk with the ids of its words, in the order they were sent.
+3. The chunk splits its texts again and puts the ids in the words' places.
 4. Decoding looks each id up in the id-to-piece table (as large as the vocabulary) and concatenates the pieces.
+
+Nothing but the tokenizer is broadcast; a word that stands in a third of all texts is one entry per chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import materialise, narrow
+from .common import U64, blocks, raw_parts, word_hashes
+from .exchange import asked, chunked, merged, messages, ordered, pack_arrays, unpack_arrays
 
 #: The pattern of the byte-level family, as its tokenizer files have it built in (white space by the Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-FLUSH_WORDS = 200_000
-HOT_LETTERS = 64
+BLOCK_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,56 +94,70 @@ def _texts(part: pa.RecordBatch) -> list[str]:
     return [x.decode("utf-8", "replace") for x in part["raw"].to_pylist()]
 
 
-def _count(spec: Broadcast):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Codec.of(spec.value).split, Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for text in _texts(batch.slice(at, 200)):
-                    seen.update(split(text))
-                if len(seen) >= FLUSH_WORDS:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    return f
-
+class Steps:
+    def __init__(self, spec: Broadcast, shards: int) -> None:
+        self.spec, self.shards = spec, shards
+
+    def _distinct(self, table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+        """The chunk's distinct words, in the order of their first places, and their shards."""
+        codec, seen = Codec.of(self.spec.value), {}
+        for raw in table["raw"]:
+            seen |= dict.fromkeys(codec.split(raw.as_py().decode("utf-8", "replace")))
+        words = [w.encode() for w in seen]
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        h = word_hashes(np.frombuffer(b"".join(words), np.uint8), starts, ends)
+        return words, (h >> U64(20)).astype(np.int64) % self.shards
+
+    def ask(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
+        words, shard = self._distinct(ordered(table))
+        return messages(chunk, 1, shard, self.shards, lambda i: _pack_words([words[k] for k in i.tolist()]))
+
+    def encoded(self, payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per payload the number of ids of each word, and the ids; a word that several payloads hold is encoded once."""
+        lists = [_unpack_words(p) for p in payloads]
+        words = list(dict.fromkeys(w for ws in lists for w in ws))
+        ids = dict(zip(words, Codec.of(self.spec.value).encode_words([w.decode() for w in words]), strict=True))
+        out = []
+        for ws in lists:
+            own = [ids[w] for w in ws]
+            out.append((np.array([len(x) // 4 for x in own], np.int64), np.frombuffer(b"".join(own), "<u4")))
+        return out
 
-def _encode(spec: Broadcast):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(spec.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(codec.encode_words(batch["word"].to_pylist()), pa.binary())], ["word", "ids"])
+    def result(self, table: pa.Table, answers: pa.Table, emit) -> pa.Table:
+        codec, table = Codec.of(self.spec.value), ordered(table)
+        words, shard = self._distinct(table)
+        order = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        known: dict[str, bytes] = {}
+        for s, payload in zip(answers["shard"].to_pylist(), answers["payload"].to_pylist(), strict=True):
+            counts, ids = unpack_arrays(payload, wide=False)
+            body, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
+            for k, a, b in zip(order[cut[s] : cut[s + 1]].tolist(), [0, *ends[:-1]], ends, strict=True):
+                known[words[k].decode()] = body[a:b]
+        out = []
+        for batch in table.combine_chunks().to_batches():
+            for i, j in blocks(raw_parts(batch["raw"])[1], BLOCK_BYTES):
+                part = batch.slice(i, j - i)
+                out.append(emit(codec, part, [b"".join([known[w] for w in codec.split(t)]) for t in _texts(part)]))
+        if not out:  # answers without rows do not occur, but the schema is due
+            none = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
+            out.append(emit(codec, none, []))
+        return pa.Table.from_batches(out)
 
-    return f
 
+def _pack_words(words: list[bytes]) -> bytes:
+    return pack_arrays(np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
 
-def word_counts(docs: DataFrame, spec: Broadcast) -> DataFrame:
-    """(word, n): every distinct word of all texts."""
-    return narrow(docs).select("raw").mapInArrow(_count(spec), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _unpack_words(payload: bytes) -> list[bytes]:
+    lengths, body = unpack_arrays(payload, wide=False)
+    raw, ends = body.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-def _replace(spec: Broadcast, table: Broadcast, emit):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(spec.value)
-        known = dict(zip(*table.value, strict=True))
-        limit = len(known) + FLUSH_WORDS
-        own: list[str] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                words = [codec.split(t) for t in _texts(part)]
-                if len(known) > limit:
-                    for w in own:
-                        del known[w]
-                    own.clear()
-                if new := list({w for ws in words for w in ws if w not in known}):
-                    known.update(zip(new, codec.encode_words(new), strict=True))
-                    own += new
-                yield emit(codec, part, [b"".join([known[w] for w in ws]) for ws in words])
 
-    return f
+def _pack_ids(answer: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return pack_arrays(*answer)
 
 
 def _digests(codec: Codec, part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
@@ -160,26 +171,19 @@ def _id_lists(codec: Codec, part: pa.RecordBatch, ids: list[bytes]) -> pa.Record
     return pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
 
-def _prepared(docs: DataFrame, tokenizer_path: str, hot_words: int) -> tuple[Broadcast, Broadcast]:
-    sc = docs.sparkSession.sparkContext
+def _by_position(docs: DataFrame, tokenizer_path: str, emit, schema: str, chunk_bytes: int) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as file:
-        spec = sc.broadcast(file.read())
-    # classes of frequency, 16 to a doubling: at most some hundreds of rows come to the driver
-    counts = materialise(word_counts(docs, spec).where(F.length("word") <= HOT_LETTERS).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
-    least, room = 0, hot_words
-    for r in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
-        room -= r["words"]
-        if room < 0:
-            least = r["class"] + 1
-            break
-    top = counts.where(F.col("class") >= least).select("word")
-    hot = top.mapInArrow(_encode(spec), "word string, ids binary").toPandas()
-    return spec, sc.broadcast((hot["word"].tolist(), [bytes(x) for x in hot["ids"]]))
+        spec = docs.sparkSession.sparkContext.broadcast(file.read())
+    rows, n = chunked(docs, chunk_bytes)
+    steps = Steps(spec, n)
+    answers = merged(asked(rows, steps.ask), steps.encoded, n, _pack_ids)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, emit), schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, hot_words: int = 100_000) -> DataFrame:
-    """(doc_id, ids array<int>) of every row's whole text; a null text is empty and has no ids."""
-    return narrow(docs).mapInArrow(_replace(*_prepared(docs, tokenizer_path, hot_words), _id_lists), "doc_id long, ids array<int>")
+def encode(docs: DataFrame, tokenizer_path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, ids array<int>) of every row's whole text; a null text is empty and has no ids. Very long texts are a
+    chunk of their own."""
+    return _by_position(docs, tokenizer_path, _id_lists, "doc_id long, ids array<int>", chunk_bytes)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -197,11 +201,11 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(f, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, hot_words: int = 100_000) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: what encode() and decode() give, without storing
     the ids between. Special tokens' strings in a text become their ids, as the tokenizer does by default. Rows keep
-    their number and ids (null ones too); an empty table gives an empty result."""
-    return narrow(docs).mapInArrow(_replace(*_prepared(docs, tokenizer_path, hot_words), _digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    their number and ids (null ones too); an empty table gives an empty result; other columns are not looked at."""
+    return _by_position(docs, tokenizer_path, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", chunk_bytes)
 
 
 def default_tokenizer(spark: SparkSession) -> str:

@@ -71,17 +71,21 @@ def asked(rows: DataFrame, step: Callable[[int, pa.Table, pa.Table | None], pa.T
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, t, a: step(key[0].as_py(), t, a), MESSAGE)
 
 
-def merged(questions: DataFrame, shard: Callable[[list[bytes]], list[np.ndarray]], shards: int) -> DataFrame:
-    """Each shard's messages to shard(payloads), which returns a bit array per payload: the answers. A chunk's messages
-    to itself come through as they are."""
+def packed_bits(answer: np.ndarray) -> bytes:
+    return np.packbits(answer).tobytes()
+
+
+def merged(questions: DataFrame, shard: Callable[[list[bytes]], list], shards: int, pack: Callable[..., bytes] = packed_bits) -> DataFrame:
+    """Each shard's messages to shard(payloads), which returns an answer per payload, a bit array unless pack() takes
+    something else. A chunk's messages to itself come through as they are."""
 
     def f(key: tuple, t: pa.Table) -> pa.Table:
         own = pc.equal(t["step"], OWN)
         through, t = t.filter(own), t.filter(pc.invert(own))
         if not t.num_rows:
             return through
-        bits = [np.packbits(b).tobytes() for b in shard([x.as_py() for x in t["payload"]])]
-        return pa.concat_tables([pa.table([t["shard"], t["chunk"], t["step"], pa.array(bits, pa.binary())], NAMES), through])
+        answers = [pack(b) for b in shard([x.as_py() for x in t["payload"]])]
+        return pa.concat_tables([pa.table([t["shard"], t["chunk"], t["step"], pa.array(answers, pa.binary())], NAMES), through])
 
     dealt = questions.repartition(max(shuffle_partitions(questions.sparkSession), shards), "shard")
     return dealt.groupBy("shard").applyInArrow(f, MESSAGE)
@@ -101,12 +105,14 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
     return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
 
 
-def unpack_arrays(payload: bytes) -> list[np.ndarray]:
+def unpack_arrays(payload: bytes, wide: bool = True) -> list[np.ndarray]:
+    """The arrays, as 64-bit integers or in the types they were packed in."""
     plain = pa.decompress(payload[8:], int(np.frombuffer(payload[:8], np.int64)[0]), codec="zstd", asbytes=True)
     out, at = [], 8
     for _ in range(int(np.frombuffer(plain[:8], np.int64)[0])):
         width, n = np.frombuffer(plain[at : at + 16], np.int64).tolist()
-        out.append(np.frombuffer(plain[at + 16 : at + 16 + width * n], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64))
+        a = np.frombuffer(plain[at + 16 : at + 16 + width * n], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width])
+        out.append(a.astype(np.int64) if wide else a)
         at += 16 + width * n
     return out
 

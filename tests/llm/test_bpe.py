@@ -29,7 +29,7 @@ def expected(rows):
 def test_equals_the_tokenizer(spark):
     rows = list(enumerate(texts(1))) + [(None, "a b"), (7, None), (7, None), (8, ""), (9, "lang " * 50_000)]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
-    assert sorted((tuple(x) for x in round_trip(df, PATH, hot_words=20).collect()), key=repr) == expected(rows)
+    assert sorted((tuple(x) for x in round_trip(df, PATH, chunk_bytes=3000).collect()), key=repr) == expected(rows)
 
 
 def test_encode_then_decode(spark):
@@ -48,3 +48,21 @@ def test_invalid_bytes_decode_as_the_tokenizer_does():
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_word_is_encoded_once(spark):
+    """Two chunks ask one shard for the same words; it encodes each of them once and answers both."""
+    from lodestar.llm.bpe import Steps, _pack_words
+
+    class Held:
+        value = open(PATH, encoding="utf-8").read()
+
+    steps, asked = Steps(Held, 1), []
+    codec = Codec.of(Held.value)
+    real = codec.encode_words
+    codec.encode_words = lambda words: (asked.extend(words), real(words))[1]
+    try:
+        a, b = steps.encoded([_pack_words([b" one", b" two"]), _pack_words([b" two", b" three", b""])])
+    finally:
+        del codec.encode_words
+    assert asked == [" one", " two", " three", ""] and a[0].tolist()[1] == b[0].tolist()[0] and b[0].tolist()[2] == 0
