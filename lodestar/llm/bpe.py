@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, blocks, raw_parts, word_hashes
-from .exchange import asked, chunked, merged, messages, ordered, pack_arrays, unpack_arrays
+from .exchange import asked, chunked, merged, messages, pack_arrays, unpack_arrays
 
 #: The pattern of the byte-level family, as its tokenizer files have it built in (white space by the Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -60,7 +62,6 @@ class Codec:
         self.pieces = [b""] * (pieces[-1][1] + 1)
         for piece, i in pieces:
             self.pieces[i] = piece.encode() if i in special_ids else bytes(letters[c] for c in piece)
-        self.special_ids = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
 
     @classmethod
     def of(cls, spec: str) -> Codec:
@@ -79,73 +80,91 @@ class Codec:
             at = m.end()
         return out + WORDS.findall(text[at:])
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit integers."""
-        out = []
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            out.append(self.special_ids.get(w) or np.array(e.ids, "<u4").tobytes())
-        return out
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all, one after the other."""
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        for i, w in enumerate(words) if self.special else ():
+            if w in self.special:
+                ids[i] = [self.special[w]]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return n, np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum()))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _texts(part: pa.RecordBatch) -> list[str]:
-    return [x.decode("utf-8", "replace") for x in part["raw"].to_pylist()]
-
-
 class Steps:
     def __init__(self, spec: Broadcast, shards: int) -> None:
         self.spec, self.shards = spec, shards
 
-    def _distinct(self, table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-        """The chunk's distinct words, in the order of their first places, and their shards."""
-        codec, seen = Codec.of(self.spec.value), {}
-        for raw in table["raw"]:
-            seen |= dict.fromkeys(codec.split(raw.as_py().decode("utf-8", "replace")))
-        words = [w.encode() for w in seen]
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    def _shards(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Words as bytes, and their shards by hash."""
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
         starts = np.append(0, ends[:-1]) if len(ends) else ends
-        h = word_hashes(np.frombuffer(b"".join(words), np.uint8), starts, ends)
-        return words, (h >> U64(20)).astype(np.int64) % self.shards
+        h = word_hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
+        return raw, (h >> U64(20)).astype(np.int64) % self.shards
 
     def ask(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
-        words, shard = self._distinct(ordered(table))
+        """The chunk's distinct words. They are sorted: that does not depend on the rows' order, and packs well."""
+        split, seen = Codec.of(self.spec.value).split, set()
+        for raw in table["raw"]:
+            seen.update(split(raw.as_py().decode("utf-8", "replace")))
+        words, shard = self._shards(sorted(seen))
         return messages(chunk, 1, shard, self.shards, lambda i: _pack_words([words[k] for k in i.tolist()]))
 
     def encoded(self, payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per payload the number of ids of each word, and the ids; a word that several payloads hold is encoded once."""
-        lists = [_unpack_words(p) for p in payloads]
-        words = list(dict.fromkeys(w for ws in lists for w in ws))
-        ids = dict(zip(words, Codec.of(self.spec.value).encode_words([w.decode() for w in words]), strict=True))
-        out = []
-        for ws in lists:
-            own = [ids[w] for w in ws]
-            out.append((np.array([len(x) // 4 for x in own], np.int64), np.frombuffer(b"".join(own), "<u4")))
-        return out
+        number = defaultdict(count(0).__next__)
+        lists = [np.fromiter(map(number.__getitem__, _unpack_words(p)), np.int64) for p in payloads]
+        n, ids = Codec.of(self.spec.value).encode_words([w.decode() for w in number])
+        first = np.cumsum(n) - n
+        return [(n[at], _gathered(ids, first[at], n[at])) for at in lists]
 
     def result(self, table: pa.Table, answers: pa.Table, emit) -> pa.Table:
-        codec, table = Codec.of(self.spec.value), ordered(table)
-        words, shard = self._distinct(table)
+        """Every text is split once more: into the numbers of its words, in whose places the answers' ids are put."""
+        codec, number = Codec.of(self.spec.value), defaultdict(count(0).__next__)
+        of = []  # per text the numbers of its words, by first occurrence
+        for raw in table["raw"]:
+            words = codec.split(raw.as_py().decode("utf-8", "replace"))
+            of.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        words = sorted(number)
+        _, shard = self._shards(words)
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        known: dict[str, bytes] = {}
+        first, n_ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)  # by place in the sorted words
+        flat, base = [np.zeros(0, "<u4")], 0
         for s, payload in zip(answers["shard"].to_pylist(), answers["payload"].to_pylist(), strict=True):
             counts, ids = unpack_arrays(payload, wide=False)
-            body, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
-            for k, a, b in zip(order[cut[s] : cut[s + 1]].tolist(), [0, *ends[:-1]], ends, strict=True):
-                known[words[k].decode()] = body[a:b]
-        out = []
+            at = order[cut[s] : cut[s + 1]]
+            n_ids[at] = counts
+            first[at] = base + np.cumsum(counts, dtype=np.int64) - counts
+            flat.append(ids.astype("<u4"))
+            base += len(ids)
+        ids = np.concatenate(flat)
+        place = np.empty(len(words), np.int64)  # a word's number to its place
+        place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        out, row = [], 0
         for batch in table.combine_chunks().to_batches():
             for i, j in blocks(raw_parts(batch["raw"])[1], BLOCK_BYTES):
-                part = batch.slice(i, j - i)
-                out.append(emit(codec, part, [b"".join([known[w] for w in codec.split(t)]) for t in _texts(part)]))
+                own = of[row : row + j - i]
+                row += j - i
+                at = place[np.concatenate([np.zeros(0, np.int32), *own])]
+                some = _gathered(ids, first[at], n_ids[at])
+                edge = np.append(0, np.cumsum(n_ids[at]))[np.cumsum([0, *map(len, own)])].tolist()
+                out.append(emit(codec, batch.slice(i, j - i), [some[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]))
         if not out:  # answers without rows do not occur, but the schema is due
             none = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
             out.append(emit(codec, none, []))
         return pa.Table.from_batches(out)
 
 
+def _gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of n values from each first on, one after the other."""
+    ends = np.cumsum(n)
+    return values[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)]
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     return pack_arrays(np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
 
@@ -175,8 +194,9 @@ def _by_position(docs: DataFrame, tokenizer_path: str, emit, schema: str, chunk_
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     rows, n = chunked(docs, chunk_bytes)
-    steps = Steps(spec, n)
-    answers = merged(asked(rows, steps.ask), steps.encoded, n, _pack_ids)
+    shards = max(1, -(-n // 2))
+    steps = Steps(spec, shards)
+    answers = merged(asked(rows, steps.ask), steps.encoded, shards, _pack_ids)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, emit), schema)
 
 
