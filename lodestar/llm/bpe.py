@@ -33,6 +33,8 @@ from .exchange import asked, chunked, merged, messages, pack_arrays, unpack_arra
 #: The pattern of the byte-level family, as its tokenizer files have it built in (white space by the Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 BLOCK_BYTES = 1 << 20
+#: Of the messages' compression.
+LEVEL = 9
 
 
 def byte_letters() -> dict[str, int]:
@@ -166,7 +168,7 @@ def _gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return pack_arrays(np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
+    return pack_arrays(np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8), level=LEVEL)
 
 
 def _unpack_words(payload: bytes) -> list[bytes]:
@@ -176,7 +178,7 @@ def _unpack_words(payload: bytes) -> list[bytes]:
 
 
 def _pack_ids(answer: tuple[np.ndarray, np.ndarray]) -> bytes:
-    return pack_arrays(*answer)
+    return pack_arrays(*answer, level=LEVEL)
 
 
 def _digests(codec: Codec, part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
@@ -194,7 +196,7 @@ def _by_position(docs: DataFrame, tokenizer_path: str, emit, schema: str, chunk_
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     rows, n = chunked(docs, chunk_bytes)
-    shards = max(1, -(-n // 2))
+    shards = max(1, -(-n // 8))  # few, so that a message's sorted words are near each other and pack well
     steps = Steps(spec, shards)
     answers = merged(asked(rows, steps.ask), steps.encoded, shards, _pack_ids)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, emit), schema)

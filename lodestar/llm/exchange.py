@@ -95,14 +95,14 @@ def own_message(chunk: int, shards: int, payload: bytes) -> pa.Table:
     return pa.table([pa.array([chunk % shards], pa.int32()), pa.array([chunk], pa.int32()), pa.array([OWN], pa.int32()), pa.array([payload], pa.binary())], NAMES)
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
+def pack_arrays(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of whole numbers, compressed, each in the narrowest type that holds it."""
     out = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t is np.int64 or not len(a) or (a.min() >= 0 and a.max() <= np.iinfo(t).max))
         out += [np.array([np.dtype(kind).itemsize, len(a)], np.int64).tobytes(), a.astype(kind).tobytes()]
     plain = b"".join(out)
-    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
+    return np.int64(len(plain)).tobytes() + pa.Codec("zstd", compression_level=level).compress(plain, asbytes=True)
 
 
 def unpack_arrays(payload: bytes, wide: bool = True) -> list[np.ndarray]:
