@@ -610,3 +610,41 @@ def search_modes(spark, d):
     said = {m: tools.search_codebase(engine, ASKED, search_mode=m, max_results=3) for m in ("hybrid", "semantic", "lexical", "odd")}
     assert tools.search_semantic(engine, ASKED, 3).splitlines()[2:] and tools.development_guidance()
     return spark.createDataFrame([(m, x.startswith("# ")) for m, x in said.items()], "mode string, answered boolean")
+
+
+@register("SELECT unnest(['lexical/postings/a', 'ranked.jsonl/a', 'vectors/a', 'README.txt']) AS path")
+def downloaded_version(spark, d):
+    """A version packed, offered as a release's asset, and fetched and unpacked elsewhere."""
+    a, b = tempfile.mkdtemp(dir=_folder(spark)), tempfile.mkdtemp(dir=_folder(spark))
+    for name in ("vectors/a", "lexical/postings/a", "ranked.jsonl/a", "source/x.plsql"):
+        os.makedirs(os.path.dirname(f"{Paths.of(a, '7.1').base}/{name}"), exist_ok=True)
+        with open(f"{Paths.of(a, '7.1').base}/{name}", "w") as f:
+            f.write("x")
+    packed = catalog.package(a, "7.1")["path"]
+    releases = [{"tag_name": "r0", "assets": [{"name": "17.1.zip", "browser_download_url": "file:///nowhere"}]}, {"tag_name": "r1", "assets": [{"name": "7.1.zip", "browser_download_url": f"file://{packed}"}]}]
+    status = catalog.download(releases, "7.1", b)
+    found = [os.path.relpath(os.path.join(folder, n), status.extract_path) for folder, _, names in os.walk(status.extract_path) for n in names]
+    assert status.is_ready
+    shutil.rmtree(a)
+    shutil.rmtree(b)
+    return spark.createDataFrame([(f,) for f in found], "path string")
+
+
+@register("SELECT * FROM (VALUES (1, 'import', 0), (2, 'list', 0), (3, 'analyze', 0), (4, 'search', 1), (5, 'delete', 0), (6, 'delete', 1)) v(step, command, code)")
+def command_line(spark, d):
+    """Exit codes of commands on a small release; a search without an index fails, and so does deleting twice."""
+    import contextlib
+    import io
+
+    from . import cli
+
+    data = tempfile.mkdtemp(dir=_folder(spark))
+    with zipfile.ZipFile(f"{data}/r.zip", "w") as z:
+        z.writestr("checkout/fndbas/source/version.txt", "8.2.0\n")
+        z.writestr("checkout/a/One.plsql", "PROCEDURE Do IS\n   Two_API.Run(x);\n")
+        z.writestr("checkout/a/Two.plsql", "PROCEDURE Run IS\n")
+    steps = [("import", f"{data}/r.zip"), ("list", "--json"), ("analyze", "--version", "8.2.0"), ("search", "--version", "8.2.0", "run"), ("delete", "8.2.0", "--force"), ("delete", "8.2.0", "--force")]
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        codes = [cli.main(["--data", data, *s], spark) for s in steps]
+    shutil.rmtree(data)
+    return spark.createDataFrame([(i, s[0], c) for i, (s, c) in enumerate(zip(steps, codes, strict=True), 1)], "step int, command string, code int")
