@@ -33,6 +33,8 @@ from .exchange import asked, chunked, merged, messages, pack_arrays, unpack_arra
 #: The pattern of the byte-level family, as its tokenizer files have it built in (white space by the Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 BLOCK_BYTES = 1 << 20
+#: Words that the tokenizer encodes at a time; its results are much larger than their ids.
+TOGETHER = 8192
 #: Of the messages' compression.
 LEVEL = 9
 
@@ -84,12 +86,16 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and the ids of all, one after the other."""
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        for i, w in enumerate(words) if self.special else ():
-            if w in self.special:
-                ids[i] = [self.special[w]]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return n, np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum()))
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            for i, w in enumerate(some) if self.special else ():
+                if w in self.special:
+                    ids[i] = [self.special[w]]
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u4", int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(flat)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
