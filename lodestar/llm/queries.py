@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,66 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    made = fill_in_middle(documents(spark, sf_dir), seed=1, plain_percent=10, spm_percent=20)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  list_transform(regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS w FROM documents),
+n AS (SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, coalesce(list_sum(w[1:least(h1 % (n + 1), h2 % (n + 1))]), 0)::BIGINT AS a, coalesce(list_sum(w[1:greatest(h1 % (n + 1), h2 % (n + 1))]), 0)::BIGINT AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+s AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM s
+"""
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment is written once; sums over clusters, k rows, are joined to it."""
+    from hashlib import sha256
+
+    from .centroids import clusters
+
+    found, centroids = clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dims=64, scale=64, seed=1)
+    found = materialise(found, "clusters")
+    total = F.sum(F.col("distance").cast("decimal(20,0)"))
+    inertia = {r["cluster"]: int(r["s"]) for r in found.groupBy("cluster").agg(total.alias("s")).collect()}  # k rows
+    upto = lambda n: min(n, 2**63 - 1)
+    rows = [(i, upto(inertia.get(i, 0)), upto(sum(inertia.values())), sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
+    sums = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_ASSIGN = """a{i} AS (SELECT r, min(d * 16 + c) % 16 AS c, min(d * 16 + c) // 16 AS d FROM (SELECT r, c,
+  list_sum(list_transform(list_zip(v.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM v, k{i} k) GROUP BY r)"""
+_MOVE = """m{i} AS (SELECT c, list(floor_mean ORDER BY p) AS v FROM (SELECT c, p, (s - ((s % n) + n) % n) // n AS floor_mean
+  FROM (SELECT a.c, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} a JOIN (SELECT r, unnest(v) AS x, unnest(range(64)) AS p FROM v) USING (r) GROUP BY a.c, p)) GROUP BY c),
+k{j} AS (SELECT c, coalesce(m.v, k.v) AS v FROM k{i} k LEFT JOIN m{i} m USING (c))"""
+ORACLES["op13_centroids"] = (
+    """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM v) WHERE c < 16),
+"""
+    + ",\n".join(x for i in range(3) for x in (_ASSIGN.format(i=i), _MOVE.format(i=i, j=i + 1)))
+    + ",\n"
+    + _ASSIGN.format(i=3)
+    + """
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN (SELECT c, sha256(array_to_string(v, ',')) AS h FROM k3) USING (c)
+"""
+)
+
+
 # --- parts of the operators' results that SQL can express: the operators, run as above, with fewer columns -------------------
 
 
