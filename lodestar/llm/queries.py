@@ -128,6 +128,35 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    found = quality_rules(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeated_chars")
+
+
+#: The suffix arrays' figures as SQL: what is covered by repeats of n words or more is covered by windows of n words found twice.
+ORACLES["op11_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT r, i, word, lead(word, 3) OVER o AS l4, lead(word, 7) OVER o AS l8, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS w4,
+  concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) AS w8 FROM e WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, word, l4 IS NOT NULL AND count(*) FILTER (l4 IS NOT NULL) OVER (PARTITION BY r, w4) > 1 AS c4, l8 IS NOT NULL AND count(*) FILTER (l8 IS NOT NULL) OVER (PARTITION BY r, w8) > 1 AS c8 FROM s),
+p AS (SELECT r, word, bool_or(c4) OVER (PARTITION BY r ORDER BY i ROWS 3 PRECEDING) AS in4, bool_or(c8) OVER (PARTITION BY r ORDER BY i ROWS 7 PRECEDING) AS in8 FROM g),
+a AS (SELECT r, count(*) FILTER (in8) AS in8, coalesce(sum(length(word)) FILTER (in4), 0)::BIGINT AS chars4 FROM p GROUP BY r),
+x AS (SELECT r, array_to_string(w[i:i + 400], ' ') AS y FROM (SELECT r, w, unnest(range(1, len(w) - 399)) AS i FROM a JOIN d USING (r) WHERE in8 > 401 AND 100 * in8 <= 30 * len(w))),
+z AS (SELECT r FROM x GROUP BY r HAVING count(*) > count(DISTINCT y)),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(in8, 0) AS n_repeat_words, coalesce(chars4, 0) AS repeated_chars, r IN (SELECT r FROM z) AS long_repeat
+  FROM d LEFT JOIN a USING (r) LEFT JOIN u USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * repeated_chars <= 40 * word_chars AND NOT long_repeat AS kept, repeated_chars FROM f
+"""
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_in_middle import fill_in_middle, restored

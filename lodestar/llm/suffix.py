@@ -177,3 +177,43 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     source = np.maximum.accumulate(np.where(reducible, 0, at))
     plcp = np.minimum(np.maximum(length[source] - (at - source), 0), most)
     return plcp[order]
+
+
+def symbol_suffix_array(s: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in order, for an alphabet that may be as large as the string. s: non-negative integers
+    without gaps; the last is the only 0."""
+    return _recurse(s.astype(np.int64))
+
+
+def whole_common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """By position: the length of the common prefix of a suffix with its predecessor in `order`, not cut off.
+
+    Permuted: where the predecessor is preceded by the same symbol as the suffix, the length is that of the position
+    before less one; only the others are compared, together while they are many, then each by itself."""
+    n = len(s)
+    phi = np.full(n, -1, np.int64)
+    phi[order[1:]] = order[:-1]
+    at = np.arange(n)
+    reducible = np.zeros(n, bool)
+    reducible[1:] = (phi[1:] > 0) & (s[:-1] == s[np.maximum(phi[1:] - 1, 0)])
+    active = np.flatnonzero(~reducible & (phi >= 0))
+    length = np.zeros(n, np.int64)
+    d = 0
+    while len(active) > 64:
+        other = phi[active]
+        same = np.maximum(active, other) + d < n
+        same[same] = s[active[same] + d] == s[other[same] + d]
+        active = active[same]
+        length[active] = d = d + 1
+    for i in active.tolist():
+        k, at_once = int(phi[i]), 64
+        size = int(length[i])
+        while (most := min(at_once, n - max(i, k) - size)) > 0:
+            differ = np.flatnonzero(s[i + size : i + size + most] != s[k + size : k + size + most])
+            if len(differ):
+                size += int(differ[0])
+                break
+            size, at_once = size + most, at_once * 2
+        length[i] = size
+    source = np.maximum.accumulate(np.where(reducible, 0, at))
+    return length[source] - (at - source)
