@@ -43,7 +43,7 @@ def test_fewer_rows_than_k_and_empty(spark):
 
 def test_large_components_stay_exact():
     v = np.array([[2**30, 1], [2**30, 2], [3, -(2**30)]])
-    assert [(int(o), i.tolist(), [int(x) for x in s]) for o, i, s in search_block(v, np.array([1, 2, 3]), v[:1], np.array([1]), 2)] == [(1, [2, 3], [2**60 + 2, 3 * 2**30 - 2**30])]
+    assert [(i.tolist(), [int(x) for x in s]) for i, s in search_block(v, np.array([1, 2, 3]), v[:1], 3)] == [([2, 1, 3], [2**60 + 2, 2**60 + 1, 3 * 2**30 - 2**30])]
 
 
 def test_registered_query_keeps_every_row(spark, tmp_path):
@@ -52,9 +52,11 @@ def test_registered_query_keeps_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     fit = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e is not None]
     want = []
-    for q in (0, 50, 100):
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for o, v in fit if o == q for i, w in fit if i != q)
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    for r, (q, v) in enumerate(fit):
+        if q % 50 == 0:  # every row is a query of its own, and only its own row is no candidate
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for c, (i, w) in enumerate(fit) if c != r)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    want.sort()
     assert sorted(tuple(x) for x in QUERIES["op6_exact_topk"](spark, str(tmp_path)).collect()) == want
 
 
@@ -66,8 +68,8 @@ def test_huge_components_against_whole_numbers(spark):
         v[50:60] = v[0]
         ids = np.arange(200)
         clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
-        for own, best, scores in search_block(v, ids, v[:20], ids[:20], 5):
-            every = sorted((-clip(sum(int(a) * int(b) for a, b in zip(v[own], w, strict=True))), i) for i, w in enumerate(v) if i != own)
+        for own, (best, scores) in enumerate(search_block(v, ids, v[:20], 5)):
+            every = sorted((-clip(sum(int(a) * int(b) for a, b in zip(v[own], w, strict=True))), i) for i, w in enumerate(v))
             assert list(zip([-s for s in scores], best.tolist(), strict=True)) == every[:5]
     rows = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 1.0])]
     assert [x[2:] for x in run(spark, rows)] == [(1, 2**63 - 1), (2, -(2**63))]
@@ -76,3 +78,16 @@ def test_huge_components_against_whole_numbers(spark):
 def test_repeated_rows_and_other_vectors_of_one_id(spark):
     vectors = quantised(spark.createDataFrame([(0, [1.0, 0.0], "x", 1), (1, [0.5, 0.5], "x", 1), (1, [0.9, 0.1], "x", 1), (1, [0.9, 0.1], "x", 1)], SCHEMA), every_row=True)
     assert [x.score for x in top_k(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()] == [58880, 58880, 32768]
+    assert len(top_k(vectors, vectors.where("vec_id = 1"), 5).collect()) == 9  # three queries, three other rows each
+
+
+def test_rows_that_share_an_id_find_each_other(spark):
+    def found(rows, k=5):
+        vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every_row=True)
+        return sorted(tuple(r) for r in top_k(vectors, vectors.where("vec_id % 50 = 0"), k).collect())
+
+    assert found([(0, [1.0, 0.0]), (0, [0.8, 0.2])]) == [(0, 1, 0, 256 * 204)] * 2
+    same = [(0, [0.5, 0.5])] * 3  # equal in all: each has the two others
+    assert found(same) == sorted([(0, 1, 0, 2 * 128 * 128), (0, 2, 0, 2 * 128 * 128)] * 3)
+    assert found(same, k=1) == [(0, 1, 0, 2 * 128 * 128)] * 3
+    assert found([(0, [0.1, 0.0]), (0, [1.0, 0.0]), (7, [1.0, 0.0])], k=1) == sorted([(0, 1, 0, 25 * 256), (0, 1, 7, 256 * 256)])
