@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..storage import materialise
+from ..storage import materialise, numbered
 
 
 def last_by_name(files: DataFrame, order: str = "file_order") -> DataFrame:
@@ -33,16 +32,9 @@ def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, score: str, tie: str = "node", name: str = "rank") -> DataFrame:
-    """Rank 1.. by score, ties by `tie`, without one task that holds all rows: the rows are range-partitioned by their
-    order and sorted, and written with their number inside the partition; a partition's offset is the rows before it.
-    Offsets are as many as partitions and are broadcast."""
-    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = scores.repartitionByRange(parts, F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie))
-    numbered = materialise(order.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ranked")
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = numbered.join(F.broadcast(before), "_part")
-    return out.select(*scores.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(name))
+    """Rank 1.. by score, ties by `tie`; no task holds all rows."""
+    out = numbered(scores, F.desc(score), F.asc(tie), name="_at")
+    return out.select(*scores.columns, (F.col("_at") + 1).cast("int").alias(name))
 
 
 def top_by_calls(files: DataFrame, k: int = 10) -> DataFrame:

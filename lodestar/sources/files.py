@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import re
@@ -11,18 +10,20 @@ import time
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import extract, naming
 from ..functions.text import content_hash
 from ..schemas import ANALYSIS, FILE_INFO, RANKED
+from ..storage import numbered
+from .archive import PARTITION_BYTES, SUFFIXES, read_archives
 
-#: Suffixes of source files.
-SUFFIXES = (".entity", ".plsql", ".views", ".storage", ".fragment", ".projection", ".client")
-ARCHIVE_ROOT = "checkout/"
+#: Fixed value: the archive's member that names its version.
 VERSION_MEMBER = "checkout/fndbas/source/version.txt"
 
 
@@ -72,38 +73,12 @@ def archive_version(path: str) -> str:
     raise ValueError("no version in the archive")
 
 
-def entry_path(name: str) -> str | None:
-    """Where an archive's entry belongs below a version's source folder: None for entries that are no source files. A
-    name that would leave the folder (absolute, with a drive or backslashes, or with ..) is an error."""
-    if name.endswith("/") or not name.startswith(ARCHIVE_ROOT) and not re.match(r"[/\\]|[A-Za-z]:|.*\.\.", name):
-        return None
-    inner = name[len(ARCHIVE_ROOT) :] if name.startswith(ARCHIVE_ROOT) else name
-    if os.path.splitext(inner)[1].lower() not in SUFFIXES:
-        return None
-    if inner.startswith("/") or "\\" in name or re.match("[A-Za-z]:", inner) or any(p in ("..", "", ".") for p in inner.split("/")):
-        raise ValueError(f"unsafe name in the archive: {name!r}")
-    return inner
-
-
-def archive_entries(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
-    """(archive, relative_path, content) of the source files in the ZIP archives at path, an archive a task and some
-    megabytes a batch: entries below the archive's root whose suffix is known, in any case; the root is cut off."""
-    names = ["archive", "relative_path", "content"]
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    wanted = [(e, p) for e in z.infolist() if (p := entry_path(e.filename)) is not None]
-                    rows, size = [], 0
-                    for e, p in wanted:
-                        rows.append((name, p, z.read(e)))
-                        size += e.file_size
-                        if size >= batch_bytes or e is wanted[-1][0]:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names)
-                            rows, size = [], 0
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(f, "archive string, relative_path string, content binary")
+def archive_entries(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """(archive, relative_path, content) of the source files in the ZIP archive at path, or in those of a folder: entries
+    below the archive's root whose suffix is known, in any case; the root is cut off. An archive of any size is read by
+    as many tasks as its compressed bytes ask for."""
+    found = read_archives(spark, path, sourcesOnly="true", partitionBytes=partition_bytes)
+    return found.select("archive", F.col("entry").alias("relative_path"), "content")
 
 
 def import_archive(spark: SparkSession, path: str, target: str) -> DataFrame:
@@ -159,12 +134,37 @@ def count_by_extension(listing: DataFrame) -> DataFrame:
     return listing.select(version, extension.alias("extension")).where(F.col("extension").isin(*SUFFIXES)).groupBy("version", "extension").agg(F.count("*").alias("n"))
 
 
+#: How the document that write_analysis() writes begins; its records stand on lines of their own.
+_HEAD = '{"analysis_metadata":{"layout":"lines",'
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The document's lines (value), without the comma that parts one from the line before."""
+    return spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value"))
+
+
 def read_analysis(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The file records of an analysis document (one JSON document)."""
-    rows = spark.read.schema(ANALYSIS).option("multiLine", "true").json(path).select(F.posexplode("file_info").alias("file_order", "f")).select("file_order", "f.*")
+    """The file records of an analysis document, with their order. One that write_analysis() has written is read line by
+    line, by as many tasks as it has bytes for; any other JSON document is parsed as a whole, by one."""
+    if spark.read.text(path).where(F.startswith("value", F.lit(_HEAD))).isEmpty():
+        rows = spark.read.schema(ANALYSIS).option("multiLine", "true").json(path).select(F.posexplode("file_info").alias("file_order", "f")).select("file_order", "f.*")
+    else:
+        record = F.from_json("value", StructType([StructField("file_order", IntegerType()), *FILE_INFO.fields])).alias("f")
+        rows = _lines(spark, path).where(F.startswith("value", F.lit('{"file_order":'))).select(record).select("f.*")
     return rows if max_files is None else rows.orderBy("file_order").limit(max_files)
 
 
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """(src, targets) of the reference graph of an analysis document."""
+    kind = ANALYSIS["reference_graph"].dataType
+    if spark.read.text(path).where(F.startswith("value", F.lit(_HEAD))).isEmpty():
+        graph = spark.read.schema(ANALYSIS).option("multiLine", "true").json(path).select(F.explode("reference_graph").alias("src", "targets"))
+    else:
+        links = _lines(spark, path).where(F.startswith("value", F.lit('"')))
+        graph = links.select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), kind)).alias("src", "targets"))
+    return graph
+
+
 def global_stats(info: DataFrame) -> DataFrame:
     """One row: files found and processed, and calls found."""
     calls = F.coalesce(F.sum(F.size("api_calls")), F.lit(0)).cast("long")
@@ -172,34 +172,50 @@ def global_stats(info: DataFrame) -> DataFrame:
 
 
 def write_analysis(info: DataFrame, graph: DataFrame, path: str, work_directory: str) -> None:
-    """One JSON document with all file records and the reference graph, for exchange with other tools. It is written row
-    by row, so that neither the driver nor a task ever holds it; keep Parquet tables for anything large."""
+    """One JSON document with all file records, in path order, and the reference graph, for exchange with other tools:
+    a folder of parts that are the document when they are read one after the other by name (single_file() joins them).
+
+    Records and links stand on lines of their own. Both are numbered across partitions by prefix sums, so that a line
+    knows whether a comma comes before it; then all lines are range-partitioned by their place and written where they
+    lie. No task and not the driver holds the document."""
     spark = info.sparkSession
     stats = global_stats(info).first().asDict()
-    meta = {"work_directory": work_directory, "max_context_tokens": 65536, "analysis_timestamp": time.strftime("%Y-%m-%d %H:%M:%S"), "processing_stats": stats}
-    records = info.select(*[f.name for f in FILE_INFO.fields]).orderBy("relative_path").select(F.to_json(F.struct("*")).alias("x"))
-    links = graph.select(F.to_json(F.struct(F.col("src"), F.col("targets"))).alias("x"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(place, True)
-    out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000.json"), True)
-    held: list[str] = []
-
-    def put(text: str, least: int = 1 << 20) -> None:
-        held.append(text)
-        if sum(map(len, held)) >= least:
-            out.write(bytearray("".join(held).encode()))
-            held.clear()
-
-    put(f'{{"analysis_metadata":{json.dumps(meta)},"file_info":[')
-    for i, r in enumerate(records.toLocalIterator()):
-        put("," * (i > 0) + r["x"])
-    put('],"reference_graph":{')
-    for i, r in enumerate(links.toLocalIterator()):
-        x = json.loads(r["x"])
-        put("," * (i > 0) + f"{json.dumps(x['src'])}:{json.dumps(x.get('targets', []))}")
-    put("}}\n", 0)
-    out.close()
+    meta = {"layout": "lines", "work_directory": work_directory, "max_context_tokens": 65536, "analysis_timestamp": time.strftime("%Y-%m-%d %H:%M:%S"), "processing_stats": stats}
+    head = _HEAD + json.dumps(meta, separators=(",", ":")).removeprefix('{"layout":"lines",')
+    marks = spark.createDataFrame([(0, 0, head + ',"file_info":['), (2, 0, '],"reference_graph":{'), (4, 0, "}}")], "section int, at long, value string")
+    comma = F.when(F.col("at") > 0, ",").otherwise("")
+    records = numbered(info.select(*[f.name for f in FILE_INFO.fields]), F.col("relative_path"), F.col("file_path"), name="at")
+    record = F.to_json(F.struct(F.col("at").alias("file_order"), *[f.name for f in FILE_INFO.fields]))
+    links = numbered(graph.select("src", F.coalesce("targets", F.array().cast("array<string>")).alias("targets")), F.col("src"), name="at")
+    link = F.to_json(F.create_map("src", "targets"))
+    lines = marks.unionByName(records.select(F.lit(1).alias("section"), "at", F.concat(comma, record).alias("value")))
+    lines = lines.unionByName(links.select(F.lit(3).alias("section"), "at", F.concat(comma, F.substring(link, F.lit(2), F.length(link) - 2)).alias("value")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "section", "at").sortWithinPartitions("section", "at").select("value").write.mode("overwrite").text(path)
+
+
+def single_file(spark: SparkSession, folder: str, target: str) -> int:
+    """Join the parts that lie in a folder, by name, into one file at target; its bytes. Both must lie where driver and
+    executors share folders. The driver reads the parts' lengths; a task copies a part to the place where it belongs."""
+    parts = sorted(e.path for e in os.scandir(folder) if e.name.startswith("part-"))
+    ends = list(accumulate((os.path.getsize(p) for p in parts), initial=0))
+    new = f"{target}.new-{uuid.uuid4().hex}"
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at in zip(batch["part"].to_pylist(), batch["at"].to_pylist(), strict=True):
+                with open(part, "rb") as source, open(new, "r+b") as out:
+                    out.seek(at)
+                    shutil.copyfileobj(source, out, 1 << 20)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    with open(new, "wb") as out:
+        out.truncate(ends[-1])
+    if parts:
+        places = spark.createDataFrame(list(zip(parts, ends[:-1], strict=True)), "part string, at long").repartition(len(parts), "part")
+        places.mapInArrow(f, "n long").agg(F.sum("n")).collect()
+    os.replace(new, target)
+    return ends[-1]
 
 
 def read_ranked(spark: SparkSession, path: str) -> DataFrame:
@@ -208,8 +224,9 @@ def read_ranked(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ranked(ranked: DataFrame, path: str) -> None:
-    """Ranked files as JSON lines in rank order."""
-    ranked.repartitionByRange(1, "pagerank_rank").sortWithinPartitions("pagerank_rank").write.mode("overwrite").json(path)
+    """Ranked files as JSON lines: parts that are in rank order when they are read one after the other by name."""
+    parts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked.repartitionByRange(parts, "pagerank_rank").sortWithinPartitions("pagerank_rank").write.mode("overwrite").json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

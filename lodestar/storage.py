@@ -8,7 +8,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _WRITTEN: list[str] = []
 
@@ -34,6 +36,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, *order: Column, name: str) -> DataFrame:
+    """The rows with their number, from 0, in an order that leaves no ties open, without one task that holds all rows:
+    they are range-partitioned by the order and sorted, and written with their number inside the partition; a
+    partition's offset is the rows before it. Offsets are as many as partitions and are broadcast."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    written = materialise(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    counts = written.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return written.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_id") - F.col("_first")).alias(name))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that this process has written, once no frame needs them any more; how many there were."""
     n = len(_WRITTEN)

@@ -26,6 +26,7 @@ from .plans import corpus, phases
 from .plans.search import HybridSearch, SearchConfig
 from .queries import _BM25, _BUDGET, _CUTS, _DESCRIBED, _DOT, _EDGES, _LINES_CTE, _ORDER, _SIGNALS, _TOKENS, FILES_CTE, QUERY_TERMS, _name, read, register, tokens
 from .sources import catalog, files
+from .sources.archive import write_archive
 from .sources.catalog import Paths
 
 VERSION = "24.2.1"
@@ -45,13 +46,9 @@ def _composed(spark: SparkSession, d: str) -> tuple[str, str]:
     data = f"{_folder(spark)}/lodestar-tree-{uuid.uuid4().hex}"
     os.makedirs(data)
     archive = f"{data}/release.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        z.writestr("checkout/fndbas/source/version.txt", f"# a comment\n\n// another\n{VERSION} build 7\n")
-        z.writestr("checkout/mod0/notes.txt", "no source")
-        z.writestr("other/mod0/Lost.plsql", "not below the root")
-        z.writestr("checkout/mod0/Page.CLIENT", "client x;")
-        for r in queries.files(spark, d).toLocalIterator():
-            z.writestr(f"checkout/{r['relative_path']}", r["content"])
+    others = {"checkout/fndbas/source/version.txt": f"# a comment\n\n// another\n{VERSION} build 7\n", "checkout/mod0/notes.txt": "no source", "other/mod0/Lost.plsql": "not below the root", "checkout/mod0/Page.CLIENT": "client x;"}
+    entry = queries.files(spark, d).select(F.concat(F.lit("checkout/"), "relative_path").alias("entry"), F.col("content").cast("binary").alias("content"))
+    write_archive(entry.unionByName(spark.createDataFrame([(k, v.encode()) for k, v in others.items()], "entry string, content binary")), archive)
     files.extract_archive(spark, archive, Paths.of(data, VERSION).source)
     return data, archive
 
@@ -97,7 +94,7 @@ def archive_version(spark, d):
 @register(FILES_CTE + " SELECT relative_path, sha256(content) AS hash FROM files UNION ALL SELECT 'mod0/Page.CLIENT', sha256('client x;')")
 def archive_sources(spark, d):
     """What an archive holds below its root, by suffix in any case."""
-    found = files.archive_entries(spark, _composed(spark, d)[1])
+    found = files.archive_entries(spark, _composed(spark, d)[1], partition_bytes=64 << 10)
     return found.select("relative_path", F.sha2("content", 256).alias("hash"))
 
 
@@ -159,6 +156,16 @@ def reference_graph_of_tree(spark, d):
     return found.select("src", F.array_join("targets", ",").alias("targets"))
 
 
+@register(_FILE_EDGES + ", l AS (SELECT f.relative_path, list_sort(list_distinct(list(e.dst) FILTER (e.dst IS NOT NULL))) AS t FROM files f LEFT JOIN e ON e.src = f.relative_path GROUP BY 1), o AS (SELECT relative_path, row_number() OVER (ORDER BY relative_path)::INT - 1 AS file_order FROM files) SELECT relative_path AS src, file_order, coalesce(array_to_string(t, ','), '') AS targets FROM l JOIN o USING (relative_path)")
+def analysis_links(spark, d):
+    """The reference graph and the records' order, from the written document after its parts have been joined into one
+    file, which is read line by line."""
+    target = f"{_built(spark, d).base}/analysis-{uuid.uuid4().hex}.json"
+    files.single_file(spark, _built(spark, d).analysis, target)
+    order = files.read_analysis(spark, target).select(F.col("relative_path").alias("src"), "file_order")
+    return files.read_links(spark, target).join(order, "src").select("src", "file_order", F.array_join("targets", ",").alias("targets"))
+
+
 @register(_FILE_EDGES + " SELECT relative_path, n::DOUBLE AS pagerank_score, row_number() OVER (ORDER BY n DESC, relative_path)::INT AS pagerank_rank FROM c")
 def ranked_lines(spark, d):
     """Full analysis with reference ranks, written as JSON lines in rank order and read again."""
