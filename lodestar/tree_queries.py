@@ -431,6 +431,38 @@ def pagerank_of_known_nodes(spark, d):
     return graph.pagerank(nodes, queries.call_edges(spark, d), iterations=2, tolerance=None).select("node", F.round("score", 9).alias("score"))
 
 
+# --- table functions, by SQL text ---------------------------------------------------------------------------------------------
+
+_WORDS_OF = "list_distinct(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\x{0b}]+'))"
+
+
+def _by_sql(spark, d, sql: str) -> DataFrame:
+    """SQL over the tables with the library's table functions."""
+    from .functions import tables
+
+    tables.register(spark)
+    return spark.sql(sql, docs=read(spark, d, "documents"))
+
+
+@register(f"SELECT lang AS query_id, doc_id::VARCHAR AS key, round(score, 6)::DOUBLE AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id::VARCHAR)::INT AS place FROM (SELECT lang, doc_id, len(list_filter({QUERY_TERMS}, lambda x: list_contains({_WORDS_OF}, x))) / 4.0 AS score FROM documents)) WHERE place <= 7")
+def reranked_by_sql(spark, d):
+    """The seven best documents of each language for a query, by a reranker that SQL calls for a partition a language."""
+    table = f"SELECT lang AS query_id, '{ASKED}' AS query, doc_id AS key, text AS passage FROM {{docs}}"
+    return _by_sql(spark, d, f"SELECT query_id, key, round(score, 6) AS score, place FROM lodestar_rerank(t => TABLE({table}) PARTITION BY query_id, k => 7)")
+
+
+@register("WITH e AS (SELECT lang, doc_id, unnest(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS token FROM documents) SELECT lang, token, count(*) AS n, count(DISTINCT doc_id) AS df FROM e GROUP BY ALL HAVING count(*) >= 5")
+def tokens_by_sql(spark, d):
+    """Frequencies of the words of each language, tokenised in SQL and counted there."""
+    found = "lodestar_tokens(TABLE(SELECT doc_id AS key, text FROM {docs}))"
+    return _by_sql(spark, d, f"SELECT lang, token, count(*) AS n, count(DISTINCT key) AS df FROM {found} JOIN {{docs}} ON key = CAST(doc_id AS STRING) GROUP BY lang, token HAVING count(*) >= 5")
+
+
+@register("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), s AS (SELECT doc_id, pos, regexp_replace(line, '^[\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}]+|[\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}]+$', '', 'g') AS line FROM l), f AS (SELECT doc_id, arg_min(line, pos) AS line FROM s WHERE line <> '' GROUP BY doc_id) SELECT d.doc_id::VARCHAR AS key, coalesce(line, '') AS summary, NULL::VARCHAR AS error FROM documents d LEFT JOIN f USING (doc_id)")
+def summaries_by_sql(spark, d):
+    return _by_sql(spark, d, "SELECT key, summary, error FROM lodestar_summarise(TABLE(SELECT doc_id AS key, text FROM {docs}))")
+
+
 # --- phases, progress, versions ---------------------------------------------------------------------------------------------
 
 
