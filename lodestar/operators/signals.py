@@ -14,38 +14,69 @@ BLOCK_LINES = 50
 DATABASE_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM ", "INTO ")
 
 
-def signal_lines(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, pos, signal, line) of every line that is a signal.
+#: Lines of a file that are looked at together; a file with more is spread over as many groups as it has of these.
+CHUNK_LINES = 2_000
 
-    The class of a line depends on its own words and on whether a block comment is open, which the last opening or
-    closing mark up to it tells. Lines without a class belong to the signature before them, 50 lines a block at most.
-    All windows share one exchange, by file."""
-    by_line = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_block = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line, bare = F.col("line"), F.col("bare")
+
+def _classified(line: Column, bare: Column, is_open: Column) -> Column:
+    """A line's class by its own words and by whether a block comment is open."""
     upper = F.upper(bare)
     has = lambda c, *subs: F.greatest(*[c.contains(s) for s in subs]) if len(subs) > 1 else c.contains(subs[0])
-    closes, opens = line.contains("*/"), line.contains("/*")
     error = has(line, "Error_SYS.Record_General", "Error_SYS.Appl_General") | upper.contains("RAISE_APPLICATION_ERROR") | (upper.contains("RAISE") & (upper.contains("EXCEPTION") | line.contains("-20")))
     procedure = upper.startswith("PROCEDURE ") | (upper.contains("PROCEDURE ") & has(upper, "AS", "BEGIN"))
     function = upper.startswith("FUNCTION ") | (upper.contains("FUNCTION ") & has(upper, "RETURN", "AS"))
-    rows = files.select(key, F.posexplode(lines(F.col("content"))).alias("pos", "line")).withColumn("bare", strip(line))
-    rows = rows.withColumn("open", F.coalesce(F.last(F.when(closes, False).when(opens, True), ignorenulls=True).over(by_line), F.lit(False)))
-    rows = rows.withColumn(
-        "class",
-        F.when(closes, F.when(bare.startswith("--"), "comments").otherwise("none"))
+    return (
+        F.when(line.contains("*/"), F.when(bare.startswith("--"), "comments").otherwise("none"))
         .when(error, "error_messages")
         .when(procedure, "procedures")
         .when(function, "functions")
-        .when(bare.startswith("--") | F.col("open"), "comments")
+        .when(bare.startswith("--") | is_open, "comments")
         .when(line.contains("_API.") & ~upper.startswith("PACKAGE"), "api_calls")
         .when(has(upper, *DATABASE_WORDS), "database_operations")
-        .otherwise("body"),
+        .otherwise("body")
     )
-    signature, body = F.col("class").isin("procedures", "functions"), F.col("class") == "body"
-    rows = rows.withColumn("block", F.sum(signature.cast("int")).over(by_line))
-    rows = rows.withColumn("nth", F.sum((signature | body).cast("int")).over(by_block)).withColumn("kind", F.last(F.when(signature, F.col("class")), ignorenulls=True).over(by_line))
-    signal = F.when(signature | body, F.when((F.col("block") > 0) & (F.col("nth") <= BLOCK_LINES), F.col("kind"))).when(F.col("class") != "none", F.col("class"))
+
+
+def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """(key, pos, signal, line) of every line that is a signal.
+
+    The class of a line depends on its own words and on whether a block comment is open, which the last opening or
+    closing mark before or on it tells. Lines without a class belong to the signature before them, 50 lines a block at most.
+
+    What a line takes over from those before it is a parallel prefix scan, so that one huge file spreads over tasks. Each
+    chunk of lines is a function from the state before it (is a comment open; the kind of the open block and how many
+    lines it has) to the state behind it, and has few numbers: the comment mark it ends with, the kind of its last
+    signature, and how many lines follow that one if a comment was open before the chunk and if not. A window over a
+    file's chunks, a row each, composes them; its result is joined to the chunks' lines, which stay where they are."""
+    chunk = [key, "chunk"]
+    so_far = Window.partitionBy(*chunk).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_block = Window.partitionBy(*chunk, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    line, bare = F.col("line"), F.col("bare")
+    rows = files.select(key, F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+    rows = rows.withColumn("chunk", F.floor(F.col("pos") / chunk_lines).cast("int")).repartition(*chunk).withColumn("bare", strip(line))
+    mark = F.last(F.when(line.contains("*/"), False).when(line.contains("/*"), True), ignorenulls=True).over(so_far)
+    # the class where no comment is open unless the chunk itself opened one; a comment open before it can only turn
+    # classes behind errors and signatures into comments, up to the chunk's first mark
+    rows = rows.withColumn("mark", mark).withColumn("class", _classified(line, bare, F.coalesce("mark", F.lit(False))))
+    counted = F.col("class").isin("procedures", "functions", "body")
+    signature = F.col("class").isin("procedures", "functions")
+    rows = rows.withColumn("block", F.sum(signature.cast("int")).over(so_far))
+    rows = rows.withColumn("turns", (F.col("class") == "body") & F.col("mark").isNull())  # a body line only if no comment was open
+    per_block = rows.groupBy(*chunk, "block").agg(F.sum(counted.cast("int")).alias("counted"), F.sum(F.col("turns").cast("int")).alias("turning"), F.max(F.when(signature, F.col("class"))).alias("kind"), F.max_by("mark", "pos").alias("mark"))
+    of_last = lambda c: F.max_by(c, "block").alias(c)
+    chunks = per_block.groupBy(*chunk).agg(F.max("block").alias("blocks"), *map(of_last, ("counted", "turning", "kind", "mark")))
+    # composed: the comment first, as the counts depend on it, then the block
+    chunks = chunks.withColumn("was_open", F.coalesce(F.last("mark", ignorenulls=True).over(before), F.lit(False)))
+    chunks = chunks.withColumn("own", F.col("counted") - F.when(F.col("was_open"), F.col("turning")).otherwise(0))
+    total = F.coalesce(F.sum("own").over(before), F.lit(0))
+    chunks = chunks.withColumn("total", total).withColumn("base", F.last(F.when(F.col("blocks") > 0, F.col("total")), ignorenulls=True).over(before))
+    state = chunks.select(*chunk, "was_open", F.last("kind", ignorenulls=True).over(before).alias("old_kind"), (F.col("total") - F.coalesce("base", F.lit(0))).alias("old_lines"))
+    rows = rows.drop("class").join(state, chunk).withColumn("class", _classified(line, bare, F.coalesce("mark", "was_open")))
+    body = F.col("class") == "body"
+    rows = rows.withColumn("nth", F.sum((signature | body).cast("int")).over(in_block) + F.when(F.col("block") == 0, F.col("old_lines")).otherwise(0))
+    rows = rows.withColumn("kind", F.coalesce(F.last(F.when(signature, F.col("class")), ignorenulls=True).over(so_far), "old_kind"))
+    signal = F.when(signature | body, F.when(F.col("nth") <= BLOCK_LINES, F.col("kind"))).when(F.col("class") != "none", F.col("class"))
     trimmed = F.col("class").isin("error_messages", "api_calls", "database_operations")
     return rows.withColumn("signal", signal).where("signal is not null").select(key, "pos", "signal", F.when(trimmed, bare).otherwise(line).alias("line"))
 
