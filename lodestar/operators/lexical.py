@@ -1,4 +1,9 @@
-"""BM25 over tables: postings, terms and corpus statistics, written once and queried by joins."""
+"""BM25 over tables: postings, terms and corpus statistics, written once and queried by joins.
+
+A stored index holds its postings in blocks: the documents are numbered in the order of their ids and cut into slices, and
+a row holds what one term has in one slice, as arrays of places within the slice, frequencies and lengths, with the
+term's weight and the most that any of them can add to a score. Rows lie in the order of (term, slice) in small pages, so
+that a query's terms prune the scan; the bounds tell which slices can hold one of the k best at all."""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LANGUAGE_KEYWORDS
-from ..storage import materialise
+from ..storage import materialise, numbered
 
 K1, B = 1.5, 0.75
 #: Up to so many terms of queries are broadcast, some megabytes; more are joined by a shuffle.
@@ -29,6 +34,16 @@ def corpus_stopwords(docs: DataFrame, share: float = 0.8, tokens: str = "tokens"
     return df.join(F.broadcast(n)).where(F.col("df") > F.col("n") * share).select("term", "df")  # n: one row
 
 
+#: Documents of a slice.
+SLICE_DOCS = 4_096
+#: Rows of a page of the blocks' table: what a scan reads at least.
+PAGE_ROWS = 32
+#: Up to so many (query, term) pairs come to the driver, which puts them into the scan's filter.
+PRUNED_TERMS = 10_000
+#: Parquet takes lists up to so many values as they are; of longer ones it sees the range (Spark's own default is 10).
+IN_LIST, IN_LIST_VALUES = "spark.sql.parquet.pushdown.inFilterThreshold", 256
+
+
 @dataclass
 class LexicalIndex:
     postings: DataFrame  # term, doc_id, tf, dl
@@ -36,25 +51,69 @@ class LexicalIndex:
     docs: DataFrame  # doc_id, dl
     stats: DataFrame  # n, avgdl
 
-    TABLES = ("postings", "terms", "docs", "stats")
-
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Parquet tables below path; postings clustered by term, so that a query reads few row groups."""
-        for name in self.TABLES:
-            table = getattr(self, name)
-            if name == "postings":
-                table = table.repartitionByRange(buckets, "term").sortWithinPartitions("term", "doc_id")
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self, path: str, buckets: int = 64, slice_docs: int = SLICE_DOCS) -> None:
+        """The stored form below path. A block has slice_docs postings at most, whatever the term."""
+        spark = self.docs.sparkSession
+        stats = self.stats.first()
+        spark.createDataFrame([(stats["n"], stats["avgdl"], slice_docs)], "n long, avgdl double, slice_docs int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        place = numbered(self.docs, F.col("doc_id"), name="number").select("doc_id", "dl", F.floor(F.col("number") / slice_docs).alias("slice"), (F.col("number") % slice_docs).cast("short").alias("place"))
+        place.repartitionByRange(buckets, "slice").sortWithinPartitions("slice", "place").write.mode("overwrite").parquet(f"{path}/docs")
+        rows = self.postings.join(spark.read.parquet(f"{path}/docs").select("doc_id", "slice", "place"), "doc_id")
+        rows = rows.groupBy("term", "slice").agg(F.sort_array(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("x"), F.max(saturated(F.col("tf"), F.col("dl"), F.lit(stats["avgdl"]))).alias("bound"))
+        blocks = rows.join(self.terms, "term").select("term", "slice", "df", "idf", "bound", F.col("x.place").alias("places"), F.col("x.tf").alias("tfs"), F.col("x.dl").alias("dls"))
+        dealt = blocks.repartitionByRange(buckets, "term", "slice").sortWithinPartitions("term", "slice")
+        dealt.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(f"{path}/blocks")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> LexicalIndex | None:
-        """The index, or None if one of its tables is missing."""
+    def read(cls, spark: SparkSession, path: str) -> StoredIndex | None:
+        """The stored index, or None if one of its tables is missing."""
         from pyspark.errors import AnalysisException
 
         try:
-            return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
+            blocks, docs, stats = (spark.read.parquet(f"{path}/{name}") for name in StoredIndex.TABLES)
         except AnalysisException:
             return None
+        if spark.conf.get(IN_LIST) == "10":
+            spark.conf.set(IN_LIST, str(IN_LIST_VALUES))
+        return StoredIndex(blocks, docs, stats, *stats.first())
+
+
+@dataclass
+class StoredIndex:
+    blocks: DataFrame  # term, slice, df, idf, bound, places, tfs, dls
+    docs: DataFrame  # doc_id, dl, slice, place
+    stats: DataFrame  # n, avgdl, slice_docs
+    n: int
+    avgdl: float | None
+    slice_docs: int
+
+    TABLES = ("blocks", "docs", "stats")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.blocks.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        one = self.blocks.select("term", "slice", F.explode(F.arrays_zip("places", "tfs", "dls")).alias("p"))
+        return one.select("term", "slice", F.col("p.places").alias("place"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")).join(self.docs.select("doc_id", "slice", "place"), ["slice", "place"]).select("term", "doc_id", "tf", "dl")
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        """(query_id, slice, place, score) of blocks that carry query_id and times. Scores are rounded, so that ties do
+        not depend on the order of a sum."""
+        one = asked.select("query_id", "slice", (F.col("times") * F.col("idf")).alias("weight"), F.explode(F.arrays_zip("places", "tfs", "dls")).alias("p"))
+        score = F.sum(F.col("weight") * saturated(F.col("p.tfs"), F.col("p.dls"), F.lit(self.avgdl)))
+        return one.groupBy("query_id", "slice", F.col("p.places").alias("place")).agg(F.round(score, 9).alias("score"))
+
+    def promising(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query_id, slice) that can hold one of the k best: those whose terms' bounds add up to the score that the
+        k-th best of the query's most promising slice has. asked: blocks that carry query_id and times."""
+        bounds = asked.groupBy("query_id", "slice").agg(F.sum(F.col("times") * F.col("idf") * F.col("bound")).alias("most"))
+        first = Window.partitionBy("query_id")
+        best = bounds.withColumn("n", F.row_number().over(first.orderBy(F.desc("most"), "slice"))).where("n = 1").select("query_id", "slice")
+        sure = self.scored(asked.join(best, ["query_id", "slice"])).withColumn("n", F.row_number().over(first.orderBy(F.desc("score"), "place"))).where(F.col("n") == k)
+        kept = bounds.join(sure.select("query_id", "score"), "query_id", "left")
+        return kept.where(F.col("score").isNull() | (F.col("most") >= F.col("score") - 1e-8)).select("query_id", "slice")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -83,19 +142,53 @@ def build_index(docs: DataFrame, tokens: str = "tokens", stopwords: DataFrame |
     return LexicalIndex(postings, terms, lengths, stats)
 
 
-def search_batch(index: LexicalIndex, queries: DataFrame, k: int, positive: bool = True) -> DataFrame:
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def _best(scored: DataFrame, k: int, *tie: str) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_batch(index: LexicalIndex | StoredIndex, queries: DataFrame, k: int, positive: bool = True) -> DataFrame:
     """The k best documents of each query (query_id, terms): query_id, doc_id, score, rank. A term that a query repeats
-    counts as often. Only the queries' postings are read, in one join; the ranking keeps k rows per query and task.
-    With positive=False hits that score nothing stay."""
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    counts as often; ties go to the smaller doc_id. The ranking keeps k rows per query and task. With positive=False
+    hits that score nothing stay. Of a stored index few queries read the blocks of their terms only (see there)."""
+    if isinstance(index, StoredIndex):
+        return _search_stored(index, queries, k, positive)
+    asked = _asked(queries)
     weighed = asked.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hits = index.postings.join(F.broadcast(weighed) if few else weighed, "term")
     score = F.sum(F.col("weight") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(score, 9).alias("score"))  # ties do not depend on the order of a sum
-    scored = scored.where("score > 0") if positive else scored
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _best(scored.where("score > 0") if positive else scored, k, "doc_id")
+
+
+def _search_stored(index: StoredIndex, queries: DataFrame, k: int, positive: bool, least_slices: int = 64) -> DataFrame:
+    """Up to PRUNED_TERMS pairs of query and term are in the scan's filter; where the index has many slices, a pass over
+    the blocks' bounds, without their arrays, leaves those slices out that cannot hold one of the k best. The k best
+    are known by their places; of few queries the ids are read from the documents' pages of their slices only. More
+    queries than that read every block in one join."""
+    spark, asked = queries.sparkSession, _asked(queries)
+    some = asked.limit(PRUNED_TERMS + 1).collect()
+    if len(some) > PRUNED_TERMS:
+        scored = index.scored(index.blocks.join(asked, "term"))
+        best = _best(scored.where("score > 0") if positive else scored, k, "slice", "place")
+        return best.join(index.docs.select("slice", "place", "doc_id"), ["slice", "place"]).select("query_id", "doc_id", "score", "rank")
+    few = F.broadcast(spark.createDataFrame(some, asked.schema))
+    blocks = index.blocks.where(F.col("term").isin(sorted({r["term"] for r in some if r["term"] is not None}))).join(few, "term")
+    if index.n > least_slices * index.slice_docs:
+        kept = index.promising(blocks, k)
+        blocks = blocks.join(kept, ["query_id", "slice"])
+    scored = index.scored(blocks)
+    best = _best(scored.where("score > 0") if positive else scored, k, "slice", "place")
+    if k * len({r["query_id"] for r in some}) > PRUNED_TERMS:
+        return best.join(index.docs.select("slice", "place", "doc_id"), ["slice", "place"]).select("query_id", "doc_id", "score", "rank")
+    rows = best.collect()
+    docs = index.docs.where(F.col("slice").isin(sorted({r["slice"] for r in rows}))).select("slice", "place", "doc_id")
+    return docs.join(F.broadcast(spark.createDataFrame(rows, best.schema)), ["slice", "place"]).select("query_id", "doc_id", "score", "rank")
 
 
 def scan_search(docs: DataFrame, terms: list[str], k: int, tokens: str = "tokens") -> DataFrame:

@@ -286,15 +286,17 @@ def stopword_union(spark, d):
 # --- indexes, written and read ------------------------------------------------------------------------------------------------
 
 
-def _index(spark, d) -> lexical.LexicalIndex:
-    """The index of the documents, written once per session and read as tables."""
-    return lexical.LexicalIndex.read(spark, _index_path(spark, d))
+@cache
+def _index(spark, d, kind: str = "long") -> lexical.StoredIndex:
+    """The index of the documents, written once per session and read as tables. kind: of the documents' ids, in whose
+    order they are numbered."""
+    return lexical.LexicalIndex.read(spark, _index_path(spark, d, kind))
 
 
 @cache
-def _index_path(spark, d) -> str:
+def _index_path(spark, d, kind: str) -> str:
     path = f"{storage.scratch_root(spark)}/lodestar-index-{uuid.uuid4().hex}"
-    lexical.build_index(tokens(spark, d)).write(path, buckets=8)
+    lexical.build_index(tokens(spark, d).withColumn("doc_id", F.col("doc_id").cast(kind))).write(path, buckets=8)
     return path
 
 
@@ -340,8 +342,7 @@ class _Fixed:
 def _engine(spark, d, vectors: bool) -> HybridSearch:
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat("source", F.lit(".txt")).alias("file_name"), F.col("lang").alias("api_name"), (F.col("n_chars") % 40).cast("int").alias("rank"), F.col("text").alias("content"))
     ranks = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.lit(None).cast("string").alias("file_path"), (F.col("n_chars") / 20000).alias("pagerank_score"))
-    stored = _index(spark, d)
-    index = lexical.LexicalIndex(stored.postings.withColumn("doc_id", F.col("doc_id").cast("string")), stored.terms, stored.docs, stored.stats)
+    index = _index(spark, d, "string")
     found = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), "embedding").join(docs.select(F.col("path").alias("vec_id")), "vec_id", "left_semi")
     own = found.where("vec_id = '7'").first() if vectors else None
     return HybridSearch(docs, index, found if vectors else None, ranks, _Fixed(own["embedding"]) if vectors else None, None, tokens=lambda c: F.transform(text.basic_tokens(c), F.lower))
