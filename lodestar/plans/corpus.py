@@ -81,6 +81,11 @@ def embeddings(results: DataFrame, ranked: DataFrame, make: Callable[[], Embedde
     return vector.build(embed(rows.select(F.col("relative_path").alias("vec_id"), what.alias("_text")), "_text", make).drop("_text"))
 
 
+def not_embedded(results: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The results (path) whose vectors (vec_id) an earlier run has not written."""
+    return results if done is None else results.join(done.select(F.col("vec_id").alias("path")), "path", "left_anti")
+
+
 def _saved(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
@@ -104,9 +109,7 @@ def build(spark: SparkSession, root: str, paths: Paths, embedder: Callable[[], E
     log = f"{paths.checkpoints}/summaries"
     append_log(summaries(tree, _saved(spark, log), summariser), log)
     results = phases.latest(spark.read.parquet(log), "path", "timestamp")
-    done = _saved(spark, paths.vectors)
-    todo = results if done is None else results.join(done.select(F.col("vec_id").alias("path")), "path", "left_anti")
-    embeddings(todo, ranked, embedder).write.mode("append").parquet(paths.vectors)
+    embeddings(not_embedded(results, _saved(spark, paths.vectors)), ranked, embedder).write.mode("append").parquet(paths.vectors)
     ranked.unpersist()
     vectors = spark.read.parquet(paths.vectors).select(F.col("vec_id").alias("path"), "embedding")
     return phases.phase_totals(results.join(vectors, "path", "left"))

@@ -182,11 +182,14 @@ class Slice(InputPartition):
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
+        self.names = set(options["names"].split("\n")) if "names" in options else None
         self.sources_only = options.get("sourcesonly", "false").lower() == "true"
         self.partition_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
 
     def _named(self, name: str) -> str | None:
+        if self.names is not None and name not in self.names:
+            return None
         return entry_path(name) if self.sources_only else None if name.endswith("/") else name
 
     def partitions(self) -> list[Slice]:
@@ -228,7 +231,8 @@ class ZipSource(DataSource):
     path, or of all archives of a folder, folders' own entries left out.
 
     Options: sourcesOnly (source files below the archive's root only, entry is the path below it, in any case of suffix;
-    a name that would leave the root is an error), partitionBytes, batchBytes. An entry that is damaged, encrypted or of
+    a name that would leave the root is an error), names (these entries only, a name a line; the bytes of others are not
+    read), partitionBytes, batchBytes. An entry that is damaged, encrypted or of
     an unknown method is an error."""
 
     @classmethod

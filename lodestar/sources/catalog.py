@@ -93,17 +93,18 @@ class Status:
 
 
 def versions(data: str) -> list[Status]:
-    """All versions, the newest first."""
+    """All versions, the newest first; of those of one moment the first by name."""
     out = []
     root = f"{data}/versions"
-    for name in sorted(os.listdir(root)) if os.path.isdir(root) else []:
+    names = os.listdir(root) if os.path.isdir(root) else []
+    for name in sorted(names, key=lambda n: (-os.stat(f"{root}/{n}").st_ctime_ns, n)):
         p = Paths(f"{root}/{name}")
         filled = lambda d: os.path.isdir(d) and bool(os.listdir(d))
         analysis, lexical, vectors, ranked = filled(p.analysis), filled(p.lexical), filled(p.vectors), os.path.exists(p.ranked)
         files = sum(f.endswith(SUFFIXES) for _, _, names in os.walk(p.base) for f in names)
         created = datetime.fromtimestamp(os.stat(p.base).st_ctime).strftime("%Y-%m-%d %H:%M:%S")
         out.append(Status(name, p.base, p.analysis, p.lexical, p.vectors, p.ranked, analysis, lexical, vectors, ranked, lexical and ranked, analysis and lexical and ranked, lexical and ranked, files, created))
-    return sorted(out, key=lambda s: s.created, reverse=True)
+    return out
 
 
 def version_table(spark: SparkSession, data: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import extract, naming
-from ..functions.text import content_hash
+from ..functions.text import content_hash, strip, words
 from ..schemas import ANALYSIS, FILE_INFO, RANKED
 from ..storage import numbered
 from .archive import PARTITION_BYTES, SUFFIXES, read_archives
@@ -73,6 +73,14 @@ def archive_version(path: str) -> str:
     raise ValueError("no version in the archive")
 
 
+def archive_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, version) of the archive at path or of those of a folder, by the rule of archive_version(); of archives
+    only that one member is read. One without a version has null."""
+    member = read_archives(spark, path, names=VERSION_MEMBER)
+    named = F.filter(F.transform(F.split(F.col("content").cast("string"), "\n"), strip), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
+    return member.select("archive", F.get(words(F.get(named, F.lit(0))), F.lit(0)).alias("version"))
+
+
 def archive_entries(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(archive, relative_path, content) of the source files in the ZIP archive at path, or in those of a folder: entries
     below the archive's root whose suffix is known, in any case; the root is cut off. An archive of any size is read by

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _WRITTEN: list[str] = []
+_MEMOS: list[dict] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,13 +29,33 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder, which release() deletes."""
+    path = f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def once(f: Callable) -> Callable:
+    """f, whose results are kept for its arguments until release()."""
+    memo: dict[tuple, object] = {}
+    _MEMOS.append(memo)
+
+    @wraps(f)
+    def g(*args):
+        if args not in memo:
+            memo[args] = f(*args)
+        return memo[args]
+
+    return g
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again. The table stays until release() or whatever cleans
     that folder, since frames that are read later may depend on it."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +72,10 @@ def numbered(rows: DataFrame, *order: Column, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that this process has written, once no frame needs them any more; how many there were."""
+    """Delete the tables and other scratch that this process has written, and forget what was kept of them, once no frame needs them any more; how many there were."""
     n = len(_WRITTEN)
+    for memo in _MEMOS:
+        memo.clear()
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 import uuid
 import zipfile
 from dataclasses import asdict
-from functools import cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -32,19 +30,19 @@ from .sources.catalog import Paths
 VERSION = "24.2.1"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share, as a plain path."""
-    root = urlparse(storage.scratch_root(spark))
-    if root.scheme not in ("", "file"):
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, as a plain path; release() deletes it."""
+    place = urlparse(storage.scratch_path(spark, name))
+    if place.scheme not in ("", "file"):
         raise ValueError("files are written below a mounted folder: spark.checkpoint.dir must be one")
-    return root.path
+    os.makedirs(place.path)
+    return place.path
 
 
-@cache
+@storage.once
 def _composed(spark: SparkSession, d: str) -> tuple[str, str]:
     """(data folder, archive) of the composed files."""
-    data = f"{_folder(spark)}/lodestar-tree-{uuid.uuid4().hex}"
-    os.makedirs(data)
+    data = made_folder(spark, "tree")
     archive = f"{data}/release.zip"
     others = {"checkout/fndbas/source/version.txt": f"# a comment\n\n// another\n{VERSION} build 7\n", "checkout/mod0/notes.txt": "no source", "other/mod0/Lost.plsql": "not below the root", "checkout/mod0/Page.CLIENT": "client x;"}
     entry = queries.files(spark, d).select(F.concat(F.lit("checkout/"), "relative_path").alias("entry"), F.col("content").cast("binary").alias("content"))
@@ -57,7 +55,7 @@ def source(spark: SparkSession, d: str) -> DataFrame:
     return files.source_tree(spark, Paths.of(_composed(spark, d)[0], VERSION).source)
 
 
-@cache
+@storage.once
 def _built(spark: SparkSession, d: str) -> Paths:
     """Analysis and reference ranking of the tree, written."""
     paths = Paths.of(_composed(spark, d)[0], VERSION)
@@ -120,7 +118,7 @@ def version_paths(spark, d):
 @register("SELECT 'release/checkout' AS found")
 def work_folder(spark, d):
     """Single folders are descended until one holds both markers."""
-    top = tempfile.mkdtemp(dir=_folder(spark))
+    top = made_folder(spark, "call")
     for marker in ("fndbas", "order"):
         os.makedirs(f"{top}/release/checkout/{marker}")
     return spark.createDataFrame([(os.path.relpath(catalog.work_root(top), top),)], "found string")
@@ -286,16 +284,16 @@ def stopword_union(spark, d):
 # --- indexes, written and read ------------------------------------------------------------------------------------------------
 
 
-@cache
+@storage.once
 def _index(spark, d, kind: str = "long") -> lexical.StoredIndex:
     """The index of the documents, written once per session and read as tables. kind: of the documents' ids, in whose
     order they are numbered."""
     return lexical.LexicalIndex.read(spark, _index_path(spark, d, kind))
 
 
-@cache
+@storage.once
 def _index_path(spark, d, kind: str) -> str:
-    path = f"{storage.scratch_root(spark)}/lodestar-index-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "index")
     lexical.build_index(tokens(spark, d).withColumn("doc_id", F.col("doc_id").cast(kind))).write(path, buckets=8)
     return path
 
@@ -318,7 +316,7 @@ def stored_index_search(spark, d):
 @register(f"WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt({_DOT.replace('a.embedding', 'embedding').replace('b.embedding', 'embedding')})) AS embedding FROM embeddings) SELECT a.vec_id, round({_DOT}, 6) AS score, lang FROM n a JOIN documents ON doc_id = a.vec_id, n b WHERE b.vec_id = 3 AND a.vec_id <> 3 ORDER BY {_DOT} DESC, a.vec_id LIMIT 15")
 def stored_vector_search(spark, d):
     """Vectors written normalised, read, searched, and joined to what the documents say about them."""
-    path = f"{storage.scratch_root(spark)}/lodestar-vectors-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "vectors")
     vector.build(read(spark, d, "embeddings")).write.parquet(path)
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
     stored = spark.read.parquet(path).join(docs.select("vec_id"), "vec_id", "left_semi")
@@ -497,7 +495,7 @@ def phase_totals(spark, d):
 def saved_progress(spark, d):
     """Progress of one run half way through, saved, loaded, with its estimated end."""
     log = read(spark, d, "events").select(F.lit("run").alias("run"), F.col("ts").alias("timestamp"), (F.col("event_type") != "error").alias("success"))
-    path = f"{storage.scratch_root(spark)}/lodestar-progress-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "progress")
     phases.save_progress(phases.progress(log, total=2 * log.count()), path)
     plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     end = F.date_trunc("second", "estimated_completion").cast("timestamp_ntz").alias("estimated_completion")
@@ -506,7 +504,7 @@ def saved_progress(spark, d):
 
 @register("SELECT * FROM (VALUES ('model', 'stand-in'), ('total', '3')) v(key, value)")
 def run_metadata(spark, d):
-    path = f"{storage.scratch_root(spark)}/lodestar-meta-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "meta")
     phases.save_metadata(spark, {"model": "old"}, path)
     phases.save_metadata(spark, {"model": "stand-in", "total": "3"}, path)
     return spark.read.parquet(path).where("saved_at is not null").select("key", "value")
@@ -515,7 +513,7 @@ def run_metadata(spark, d):
 @register("SELECT doc_id AS path FROM documents")
 def archived_checkpoints(spark, d):
     """A log under a stamped name; nothing is left under the old one."""
-    path = f"{storage.scratch_root(spark)}/lodestar-log-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "log")
     files.append_log(read(spark, d, "documents").select(F.col("doc_id").alias("path")), path)
     moved = phases.archive(spark, path, "20240101")
     assert phases.archive(spark, path, "20240102") is None
@@ -525,7 +523,7 @@ def archived_checkpoints(spark, d):
 @register("SELECT path, last AS summary FROM (SELECT user_id AS path, arg_max(event_type, event_id) AS last FROM events GROUP BY 1)")
 def appended_log(spark, d):
     """A checkpoint log that several appends have made; the last row of each path counts."""
-    path = f"{storage.scratch_root(spark)}/lodestar-log-{uuid.uuid4().hex}"
+    path = storage.scratch_path(spark, "log")
     events = read(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("summary"), F.col("event_id").alias("seq"))
     for third in range(3):  # whole table, in three appends
         files.append_log(events.where(F.col("seq") % 3 == third), path)
@@ -540,7 +538,7 @@ def version_listing(spark, d):
 
 @register("SELECT 'kept' AS version")
 def deleted_version(spark, d):
-    data = tempfile.mkdtemp(dir=_folder(spark))
+    data = made_folder(spark, "call")
     for v in ("kept", "gone"):
         os.makedirs(Paths.of(data, v).source)
     assert not catalog.delete_version(data, "gone") and catalog.delete_version(data, "gone", confirmed=True)
@@ -579,7 +577,7 @@ def matching_releases(spark, d):
 @register("SELECT 'README.txt' AS name UNION ALL SELECT 'vectors/a' UNION ALL SELECT 'lexical/postings/a' UNION ALL SELECT 'ranked.jsonl/a'")
 def packaged_version(spark, d):
     """What a version's publishable archive holds."""
-    data = tempfile.mkdtemp(dir=_folder(spark))
+    data = made_folder(spark, "call")
     for name in ("vectors/a", "lexical/postings/a", "ranked.jsonl/a", "source/x.plsql", "contents/a"):
         os.makedirs(os.path.dirname(f"{Paths.of(data, 'v').base}/{name}"), exist_ok=True)
         with open(f"{Paths.of(data, 'v').base}/{name}", "w") as f:
@@ -632,7 +630,7 @@ def subword_tokens(spark, d):
 @register("SELECT unnest(['A.plsql', 'sub/B.plsql']) AS relative_path")
 def readable_sources(spark, d):
     """A scan that meets a file that cannot be read: the others come through."""
-    root = tempfile.mkdtemp(dir=_folder(spark))
+    root = made_folder(spark, "call")
     os.makedirs(f"{root}/sub")
     for name in ("A.plsql", "sub/B.plsql", "sub/C.txt"):
         with open(f"{root}/{name}", "w") as f:
@@ -655,7 +653,7 @@ def search_modes(spark, d):
 @register("SELECT unnest(['lexical/postings/a', 'ranked.jsonl/a', 'vectors/a', 'README.txt']) AS path")
 def downloaded_version(spark, d):
     """A version packed, offered as a release's asset, and fetched and unpacked elsewhere."""
-    a, b = tempfile.mkdtemp(dir=_folder(spark)), tempfile.mkdtemp(dir=_folder(spark))
+    a, b = made_folder(spark, "call"), made_folder(spark, "call")
     for name in ("vectors/a", "lexical/postings/a", "ranked.jsonl/a", "source/x.plsql"):
         os.makedirs(os.path.dirname(f"{Paths.of(a, '7.1').base}/{name}"), exist_ok=True)
         with open(f"{Paths.of(a, '7.1').base}/{name}", "w") as f:
@@ -678,7 +676,7 @@ def command_line(spark, d):
 
     from . import cli
 
-    data = tempfile.mkdtemp(dir=_folder(spark))
+    data = made_folder(spark, "call")
     with zipfile.ZipFile(f"{data}/r.zip", "w") as z:
         z.writestr("checkout/fndbas/source/version.txt", "8.2.0\n")
         z.writestr("checkout/a/One.plsql", "PROCEDURE Do IS\n   Two_API.Run(x);\n")
