@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions import text
 from .operators import suggest
 from .queries import _TOKENS, FILES_CTE, QUERY_TERMS, files, read, register, tokens
+from .streaming import changes
 
 _TYPED = "replace(replace(replace(p_name, 'll', 'l'), 'dg', 'gd'), 'ea', 'aea')"
 
@@ -58,3 +60,26 @@ def search_facets(spark, d):
     values = {"language": F.col("lang"), "module": F.col("source"), "size": size}
     chosen = {"language": F.col("lang").isin("en", "de"), "module": F.startswith("source", F.lit("src1")), "size": size != "long"}
     return suggest.facets(hits, chosen, values)
+
+
+@register(
+    """WITH l AS (SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS listing, user_id::VARCHAR AS path, (count(*) % 3)::VARCHAR AS hash FROM events GROUP BY event_type, user_id),
+    c AS (SELECT coalesce(b.listing, a.listing + 1) AS listing, CASE WHEN a.path IS NULL THEN 'insert' WHEN b.path IS NULL THEN 'delete' ELSE 'update' END AS change, coalesce(b.path, a.path) AS path, b.hash
+      FROM l a FULL JOIN l b ON b.listing = a.listing + 1 AND b.path = a.path WHERE a.hash IS DISTINCT FROM b.hash)
+    SELECT * FROM c WHERE listing <= (SELECT max(listing) FROM l)"""
+)
+def tracked_changes(spark, d):
+    """A listing for each type of event, of the users that have some, followed by the stateful stream: what each listing
+    adds, changes and removes."""
+    folder, out, checkpoint = (storage.scratch_path(spark, name) for name in ("listings", "changes", "stream"))
+    events = read(spark, d, "events").groupBy("event_type", F.col("user_id").cast("string").alias("path")).agg((F.count("*") % 3).cast("string").alias("hash"))
+    types = sorted(r["event_type"] for r in events.select("event_type").distinct().collect())  # a handful
+    for n, kind in enumerate(types):
+        changes.write_listing(events.where(F.col("event_type") == kind).select("path", "hash"), n, folder, buckets=8)
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = changes.changes(spark, folder).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.CHANGE).parquet(out).select("listing", "change", "path", "hash")

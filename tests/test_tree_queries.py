@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from lodestar import table_queries, tree_queries
+from lodestar import extension_queries, table_queries, tree_queries
 from lodestar.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
-NAMES = [n for n, f in QUERIES.items() if f.__module__ in (tree_queries.__name__, table_queries.__name__)]
+NAMES = [n for n, f in QUERIES.items() if f.__module__ in (tree_queries.__name__, table_queries.__name__, extension_queries.__name__)]
 
 
 @pytest.fixture(scope="module")
