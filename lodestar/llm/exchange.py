@@ -185,17 +185,33 @@ def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def repeated_keys(payloads: list[bytes]) -> list[np.ndarray]:
-    """Which keys of each list two lists have, or one counts twice."""
+#: Bytes of a key in a list.
+KEY_BYTES = 5
+
+
+def unpacked_keys(payloads: list[bytes]) -> list[np.ndarray]:
+    """The lists of pack_keys() as numbers, whose lowest bit says twice or more."""
     parts = []
     for p in payloads:
-        wide = np.zeros((len(p) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(p, np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(p) // KEY_BYTES, 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(p, np.uint8).reshape(-1, KEY_BYTES)
         parts.append(wide.view(U64)[:, 0])
+    return parts
+
+
+def summed_keys(payloads: list[bytes], values: np.ndarray) -> list[np.ndarray]:
+    """Per key of each list the sum of the values that all lists have for it. values: of all keys, list after list."""
+    parts = unpacked_keys(payloads)
+    _, inv = np.unique(np.concatenate(parts) >> U64(1), return_inverse=True)
+    total = np.bincount(inv, values)
+    return np.split(total[inv], np.cumsum([len(p) for p in parts])[:-1])
+
+
+def repeated_keys(payloads: list[bytes]) -> list[np.ndarray]:
+    """Which keys of each list two lists have, or one counts twice."""
+    parts = unpacked_keys(payloads)
     every = np.concatenate(parts)
-    _, inv = np.unique(every >> U64(1), return_inverse=True)
-    total = np.bincount(inv, 1 + (every & U64(1)).astype(np.int64))
-    return np.split(total[inv] >= 2, np.cumsum([len(p) for p in parts])[:-1])
+    return [x >= 2 for x in summed_keys(payloads, 1 + (every & U64(1)).astype(np.int64))]
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

@@ -2,10 +2,13 @@
 
 1. Every `width`-byte window is represented by the least hash among its 20-byte grams; equal windows have equal
    representatives and neighbours mostly share one. Chunks of documents ask shards, with lists of 39 bits a key, which
-   representatives are found in two documents or more; a false match costs time only.
+   representatives are found in two documents or more; a false match costs time only. They also say how many different
+   segments a representative has with them, and shards answer which ones have more than a bound in sum.
 2. The windows of a document that share such a representative are one segment (at most 2 * width bytes). Each chunk
    sends its distinct segments, with the least doc_id of each, to the shard of their representative, so that all equal
-   windows meet in one shard and a passage copied into a third of all documents is one entry per chunk.
+   windows meet in one shard and a passage copied into a third of all documents is one entry per chunk. A representative
+   above the bound (a short phrase with other text around it in every document) is given up: each of its windows is a
+   segment of its own, whose hash is its key, so that they spread over all shards and equal ones still meet.
 3. A shard concatenates the segments that have rivals under the same representative, builds the suffix array by induced
    sorting and the permuted common prefixes, and groups the windows whose common prefix reaches the width. The least
    doc_id of a group decides; the shard answers a bit per window: whether a smaller doc_id than the chunk's own has it.
@@ -17,13 +20,14 @@ Strings are compared as bytes by the suffix array; a 128-bit hash only merges se
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_VALUES, U64, blocks, byte_runs, raw_parts, word_hashes
-from .exchange import BLOCK_BYTES, OWN, answered, asked, chunked, leftmost_least, merged, messages, ordered, own_message, pack_arrays, pack_keys, repeated_keys, shard_of, unpack_arrays
+from .common import BYTE_VALUES, U64, blocks, byte_runs, mix, raw_parts, word_hashes
+from .exchange import BLOCK_BYTES, KEY_BYTES, OWN, answered, asked, chunked, leftmost_least, merged, messages, ordered, own_message, pack_arrays, pack_keys, packed_bits, repeated_keys, shard_of, summed_keys, unpack_arrays
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 20
@@ -89,6 +93,45 @@ def unpack_segments(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.frombuffer(plain[at[0] : at[1]], U64), np.frombuffer(plain[at[1] : at[2]], np.int64), np.frombuffer(plain[at[2] : at[3]], np.uint8).astype(np.int64), np.frombuffer(plain[at[3] :], np.uint8)
 
 
+def ask_keys(keys: np.ndarray, several: np.ndarray, kinds: np.ndarray) -> bytes:
+    """A chunk's distinct representatives, whether two documents have each, and of those that have two kinds of segments
+    or more how many."""
+    many = np.flatnonzero(kinds > 1)
+    return pack_arrays(np.frombuffer(pack_keys(keys, 1 + several), np.uint8), np.diff(many, prepend=0), kinds[many])
+
+
+def answer_keys(most: int) -> Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Per list which of its keys two lists have or one has twice, and which have more than `most` kinds in sum."""
+
+    def f(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = [unpack_arrays(p, wide=False) for p in payloads]
+        lists = [x[0].tobytes() for x in parts]
+        kinds = [np.ones(len(x) // KEY_BYTES, np.int64) for x in lists]
+        for k, (_, steps, n) in zip(kinds, parts, strict=True):
+            k[np.cumsum(steps, dtype=np.int64)] = n
+        hot = summed_keys(lists, np.concatenate(kinds))
+        return [(r, h > most) for r, h in zip(repeated_keys(lists), hot, strict=True)]
+
+    return f
+
+
+def pack_answers(answer: tuple[np.ndarray, np.ndarray]) -> bytes:
+    repeated, hot = answer
+    return packed_bits(repeated) + np.flatnonzero(hot).astype(np.uint32).tobytes()
+
+
+def answered_hot(table: pa.Table, step: int, shard: np.ndarray, shards: int) -> np.ndarray:
+    """The keys that pack_answers() gives as hot, in the keys' order."""
+    out = np.zeros(len(shard), bool)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s, k, payload in zip(table["shard"].to_pylist(), table["step"].to_pylist(), table["payload"].to_pylist(), strict=True):
+        if k == step:
+            at = order[cut[s] : cut[s + 1]]
+            out[at[np.frombuffer(payload[-(-len(at) // 8) :], np.uint32)]] = True
+    return out
+
+
 def _hashes(body: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> list[np.ndarray]:
     """Two 64-bit hashes of each stretch of body."""
     return [word_hashes(body, start, start + length, lane, 2 * width) for lane in (0, 1)]
@@ -153,6 +196,20 @@ class Steps:
     def __init__(self, width: int, shards: int) -> None:
         self.width, self.shards = width, shards
 
+    def _kinds(self, g: Segments, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many different segments each key has, by their ends and lengths; equal ones count once, and a rare case
+        of different ones with equal ends is no harm. order: the segments by key; first: where each key begins."""
+        padded = np.zeros(len(g.body) + 8, np.uint8)
+        padded[: len(g.body)] = g.body
+        eight = np.ndarray(len(g.body) + 1, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
+        last = g.start + g.count + self.width - 9
+        ends = mix(mix(eight[g.start] + g.count.astype(U64)) ^ eight[last])[order]
+        by = np.lexsort((ends, g.key[order])) if len(order) else order
+        k, e = g.key[order][by], ends[by]
+        new = np.ones(len(by), np.int64)
+        new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+        return np.add.reduceat(new, first) if len(first) else new
+
     def keys(self, chunk: int, table: pa.Table, _: pa.Table | None) -> pa.Table:
         """The chunk's distinct representatives, and whether two of its documents have them."""
         g = Segments(table, self.width)
@@ -160,15 +217,25 @@ class Steps:
         k, doc = g.key[order], g.doc[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-        return messages(chunk, 1, shard_of(k[first], self.shards), self.shards, lambda i: pack_keys(k[first[i]], 1 + several[i].astype(np.int64)))
+        kinds = self._kinds(g, order, first)
+        return messages(chunk, 1, shard_of(k[first], self.shards), self.shards, lambda i: ask_keys(k[first[i]], several[i].astype(np.int64), kinds[i]))
 
     def segments(self, chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         """The chunk's distinct suspected segments with the least document of each, numbered as they first occur; for
         the chunk itself, where each occurs, so that it need not look for them again."""
         g = Segments(ordered(table), self.width)
         keys, inv = np.unique(g.key, return_inverse=True)
-        at = np.flatnonzero(answered(answers, 1, shard_of(keys, self.shards), self.shards)[inv])
+        of_keys = shard_of(keys, self.shards)
+        hot = answered_hot(answers, 1, of_keys, self.shards)[inv]
+        at = np.flatnonzero(answered(answers, 1, of_keys, self.shards)[inv] & ~hot)
         start, count, key, doc = g.start[at], g.count[at], g.key[at], g.doc[at]
+        if hot.any():  # every window of these for itself
+            n = g.count[hot]
+            single = np.repeat(g.start[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            own = word_hashes(g.body, single, single + self.width, 0, self.width)
+            start, count, key, doc = (np.concatenate(x) for x in ((start, single), (count, np.ones(len(single), np.int64)), (key, own), (doc, np.repeat(g.doc[hot], n))))
+            by = np.argsort(start, kind="stable")
+            start, count, key, doc = start[by], count[by], key[by], doc[by]
         length = count - 1 + self.width
         order, group = _pair_ranks(*_hashes(g.body, start, length, self.width))
         first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -185,7 +252,7 @@ class Steps:
             who = pick[i]
             return pack_segments(key[who], least[i], count[who], _gather(g.body, start[who], length[who]))
 
-        new = np.zeros(len(at), bool)
+        new = np.zeros(len(start), bool)
         new[pick] = True
         state = pack_arrays(np.diff(start, prepend=0), np.packbits(new), of[~new], np.packbits(doc > least[of]), count[pick], shard)
         return pa.concat_tables([messages(chunk, 2, shard, self.shards, pack), own_message(chunk, self.shards, state)])
@@ -232,7 +299,7 @@ class Steps:
         return pa.table([table["doc_id"], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(kept, pa.binary() if text else pa.string())], names)
 
 
-def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False, chunk_bytes: int = 4 << 20, most_segments: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left, binary; with digest their
     SHA-256 in hex), a row per row of docs.
 
@@ -241,10 +308,10 @@ def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False
     one document as far as comparison goes; a null doc_id is smaller than all others. Chunks and shards are of bounded
     bytes, but for a single longer text; a task needs about 40 times chunk_bytes, so larger executors can take larger
     chunks, and on hundreds of terabytes they should, to keep the messages between chunks and shards few. An empty table
-    gives an empty result."""
+    gives an empty result. most_segments: of one representative, above which its windows go their own ways."""
     rows, n = chunked(docs, chunk_bytes)
     steps = Steps(width, n)
-    first = merged(asked(rows, steps.keys), repeated_keys, n)
+    first = merged(asked(rows, steps.keys), answer_keys(most_segments), n, pack_answers)
     second = merged(asked(rows, steps.segments, first), _shard(width), n)
     kind = "string" if digest else "binary"
     return rows.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(lambda t, a: steps.result(t, a, not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")

@@ -92,3 +92,36 @@ def test_against_brute_force(spark, seed, width):
 def test_digest_and_empty(spark):
     assert got(spark, [(1, "ab")], 50, digest=True) == [(1, 2, 0, 0, hashlib.sha256(b"ab").hexdigest())]
     assert got(spark, [], 50) == []
+
+
+def test_a_hot_phrase_spreads_over_shards(spark):
+    """A phrase of 28 bytes in every third text, with other text around it: its segments share a representative and
+    nothing else. Some texts repeat whole windows around it, which must still meet."""
+    import pyspark.sql.functions as F
+
+    from lodestar.llm.exchange import asked, chunked, merged
+    from lodestar.llm.suffix_dedup import Steps, answer_keys, pack_answers
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    some = lambda n: "".join(r.choices(letters, k=n))
+    phrase = "permission is granted hereby"
+    rows = [(i, some(30) + phrase + some(40) if i % 3 == 0 else some(98)) for i in range(50_000)]
+    for i in range(1, 40):  # the phrase with some of its surroundings, elsewhere
+        rows[3 * i] = (3 * i, rows[30_000 + 3 * i][1][10:80])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted(tuple(x) for x in drop_repeated_strings(docs, 50, chunk_bytes=256 << 10, most_segments=256).collect())
+    assert [(d, n, gone, spans, bytes(kept)) for d, n, gone, spans, kept in got] == brute(rows, 50) or [tuple(x) for x in got] == brute(rows, 50)
+    assert sum(x[2] for x in got) > 39 * 50
+
+    def largest(most):
+        chunks, n = chunked(docs, 256 << 10)
+        steps = Steps(50, n)
+        first = merged(asked(chunks, steps.keys), answer_keys(most), n, pack_answers)
+        sizes = asked(chunks, steps.segments, first).where("step = 2").groupBy("shard").agg(F.sum(F.length("payload")).alias("b")).collect()
+        return max(x.b for x in sizes), sorted([x.b for x in sizes] + [0] * (n - len(sizes)))[n // 2]
+
+    most, median = largest(256)
+    assert most <= 3 * median
+    most, median = largest(1 << 40)
+    assert most > 3 * median  # so it was
