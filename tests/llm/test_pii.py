@@ -108,3 +108,45 @@ def test_added_spans_in_a_mixed_corpus(spark):
     out = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sorted(d for d, r in out.items() if r.n_added) == [100, 101]
     assert out[100].redacted == 'x = "y"; api_key = "[secret]"' and out[101].spans.startswith("email:5:")
+
+
+def test_thresholds_have_a_floor():
+    assert all(t >= 0.5 for t in trained().threshold.values())
+
+
+def test_ordinary_numbers_stay():
+    for text in ("results 100 200 300 400", "chess 10 12 14 16 18", "cost 1200 3400 5600", "years 1990-1995-2000"):
+        assert find(text, trained()) == ({k: [] for k in KINDS}, []), text
+
+
+def test_precision_and_recall_on_sentences_by_hand():
+    from lodestar.llm.pii import ALL_KINDS
+
+    from .pii_sentences import SENTENCES
+
+    model, right, wrong, missed = trained(), dict.fromkeys(ALL_KINDS, 0), [], []
+    for text, want in SENTENCES:
+        base, added = find(text, model)
+        got = {(k, text[a:b]) for k, a, b, _ in added}
+        assert not any(base.values()) or not want, text
+        for k, _ in got & set(want):
+            right[k] += 1
+        wrong += [(text, x) for x in got - set(want)]
+        missed += [(text, x) for x in set(want) - got]
+    n = dict.fromkeys(ALL_KINDS, 0)
+    for _, want in SENTENCES:
+        for k, _ in want:
+            n[k] += 1
+    for k in ALL_KINDS:
+        false = sum(x[0] == k for _, x in wrong)
+        assert right[k] / max(1, right[k] + false) >= 0.75 and right[k] / n[k] >= 0.66, (k, right[k], n[k], wrong, missed)
+    assert sum(right.values()) >= 0.85 * (sum(right.values()) + len(wrong)) and sum(right.values()) >= 0.85 * sum(n.values()), (wrong, missed)
+
+
+def test_features_read_whole_spans():
+    from lodestar.llm.pii import describe
+
+    a, b = "x" * 300 + "aB3" * 100, "x" * 300 + "zzz" * 100
+    assert describe(a, "secret", 0, len(a)) != describe(b, "secret", 0, len(b))
+    ips = ".".join(["1"] * 8 + ["999"])
+    assert describe(ips, "ip", 0, len(ips))[8] == 0.0
