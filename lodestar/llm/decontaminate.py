@@ -15,14 +15,16 @@ scored in full. A few thousand passages take their steps together, as rows of a
 Every retrieved (passage, item) is verified: the distinct shingles (`shingle` words, lower-cased; all words of a shorter
 text) of the item's question and, if it has one, of its answer must each be found in the passage to the share `overlap`.
 
-Items are dealt to shards of at most `index_bytes` of text. The driver builds and broadcasts one shard's index after the
-other; a task holds one at a time and passes each batch of documents by all of them. Document frequencies are those of the
-shard: they steer only the pruning.
+Items are dealt to shards of at most `index_bytes` of text. A benchmark of one shard is one pass over the documents. Of a
+larger one the driver builds, broadcasts and lets go of one shard's index after the other, each of them one pass, in which
+a task loads and holds that index alone; what the passes find is written, and joined to the documents by their texts'
+hashes. Document frequencies are those of the shard: they steer only the pruning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, fresh, raw_parts, run_hashes, word_hashes, word_spans
+from .common import blocks, bounded_batches, fresh, materialise, raw_parts, run_hashes, word_hashes, word_spans
 
 BLOCK_BYTES = 1 << 20
 K1, B = 1.5, 0.75
@@ -184,8 +186,8 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: int) -> Iterator[Index]:
-    """The shards' indexes, one after the other; the driver holds one shard's items."""
+def _shards(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: int) -> tuple[int, Callable[[int], Index]]:
+    """How many shards there are, and what builds the index of one; the driver holds one shard's items."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("q"), answer.alias("a")).where("q is not null or a is not null")
     size = items.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
@@ -198,9 +200,12 @@ def _indexes(benchmark: DataFrame, index_bytes: int, overlap: float, shingle: in
 
     both = items.select(F.concat_ws("\n", "q", "a").cast("binary").alias("raw"))
     span = max(both.mapInArrow(count, "n long").agg(F.max("n")).first()[0] or 1, shingle)  # the same for all shards
-    for s in range(n):
+
+    def build(s: int) -> Index:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(n)) == s)
-        yield Index(sorted(((r["i"], r["q"] or "", r["a"]) for r in part.collect()), key=repr), span, overlap, shingle)
+        return Index(sorted(((r["i"], r["q"] or "", r["a"]) for r in part.collect()), key=repr), span, overlap, shingle)
+
+    return n, build
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, shingle: int = 5, index_bytes: int = 16 << 20) -> DataFrame:
@@ -212,28 +217,41 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     are; an empty table on either side gives no matches."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    own, items, overlaps = fresh(docs, "_raw", "_items", "_overlaps")
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own)
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], raw, F.array().cast("array<long>").alias(items), F.array().cast("array<double>").alias(overlaps))
-    shared = [spark.sparkContext.broadcast(x) for x in _indexes(benchmark, index_bytes, overlap, shingle)]
-    return out.mapInArrow(_search(shared), out.schema).drop(own)
+    n, build = _shards(benchmark, index_bytes, overlap, shingle)
+    own, items, overlaps, h1, h2 = fresh(docs, "_raw", "_items", "_overlaps", "_h1", "_h2")
+    columns, text = [F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("text"), F.lit(""))
+    none = [F.array().cast("array<long>").alias(items), F.array().cast("array<double>").alias(overlaps)]
+    if n == 1:
+        out = docs.select(*columns, text.cast("binary").alias(own), *none)
+        return out.mapInArrow(_search(spark.sparkContext.broadcast(build(0))), out.schema).drop(own)
+    hashes = [F.xxhash64(text).alias(h1), F.xxhash64(F.lit(1), text).alias(h2)]
+    given = docs.select(*hashes, text.cast("binary").alias(own), *none)
+    found = []
+    for s in range(n):
+        index = spark.sparkContext.broadcast(build(s))
+        found.append(materialise(given.mapInArrow(_search(index), given.schema).where(F.size(items) > 0).select(h1, h2, F.explode(F.arrays_zip(items, overlaps)).alias("x")), f"hits-{s}"))
+        index.destroy()
+    hits = reduce(DataFrame.unionByName, found).groupBy(h1, h2, F.col(f"x.{items}").alias("i")).agg(F.max(f"x.{overlaps}").alias("o"))
+    listed = hits.groupBy(h1, h2).agg(F.sort_array(F.collect_list(F.struct(F.col("i").isNull(), "i", "o"))).alias("x"))  # at most a list of all items
+    listed = listed.select(h1, h2, F.col("x.i").alias(items), F.col("x.o").alias(overlaps))
+    joined = docs.select(*columns, *hashes).join(listed, [h1, h2], "left")
+    return joined.select(*columns, F.coalesce(items, none[0]).alias(items), F.coalesce(overlaps, none[1]).alias(overlaps))
 
 
-def _search(shared: list[Broadcast]):
+def _search(shared: Broadcast):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             n = batch.num_columns
             body, offsets = raw_parts(batch.column(n - 3))
             items, shares = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-            for one in shared:
-                index = one.value if len(shared) == 1 else one.load_from_path(one._path)  # value would stay in memory
-                for i, j in blocks(offsets, BLOCK_BYTES):
-                    for r, found in index.matches(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items():
-                        best = dict(zip(items[i + r], shares[i + r], strict=True))
-                        for k, s in found.items():
-                            best[index.ids[k]] = max(s, best.get(index.ids[k], 0.0))
-                        items[i + r] = sorted(best, key=lambda x: (x is None, x or 0))
-                        shares[i + r] = [best[x] for x in items[i + r]]
+            for i, j in blocks(offsets, BLOCK_BYTES):
+                for r, found in index.matches(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items():
+                    best: dict[int | None, float] = {}
+                    for k, s in found.items():
+                        best[index.ids[k]] = max(s, best.get(index.ids[k], 0.0))
+                    items[i + r] = sorted(best, key=lambda x: (x is None, x or 0))
+                    shares[i + r] = [best[x] for x in items[i + r]]
             columns = [*batch.columns[: n - 2], pa.array(items, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 

@@ -71,6 +71,8 @@ def test_against_brute_force(spark, seed):
         got = sorted(((r.doc_id, r["items"]) for r in out), key=repr)
         assert [g for g, w in zip(got, want, strict=True) if g != w] == []
         assert all(r.contaminated == (r.n_items > 0) == (r.overlap >= 0.8) for r in out)
+    kept = uncontaminated(frame, marks, index_bytes=600)
+    assert kept.columns == frame.columns and kept.count() == sum(not x for _, x in want)
     kept = uncontaminated(frame, marks)
     assert kept.columns == frame.columns and kept.count() == sum(not x for _, x in want)
 
@@ -113,3 +115,31 @@ def test_long_words_that_sums_of_powers_confuse(spark):
     docs = spark.createDataFrame([(1, f"{a} {a} {b} one", 0, ""), (2, f"{b} {b} {a} one", 0, "")], SCHEMA)
     items = spark.createDataFrame([(5, f"{a} {a} {b} one")], "item_id long, text string")
     assert sorted((r.doc_id, r["items"]) for r in contamination(docs, items).collect()) == [(1, [5]), (2, [])]
+
+
+def test_a_hundred_shards_one_index_at_a_time(spark, monkeypatch):
+    """Shards as many as a large benchmark has; a pass each, whose broadcast has gone before the next one comes."""
+    from pyspark import SparkContext
+
+    from lodestar.llm import decontaminate
+
+    docs, items = corpus(4, 60)
+    alive, most, sizes = set(), [], []
+    make = SparkContext.broadcast
+
+    def broadcast(self, value):
+        b = make(self, value)
+        alive.add(id(b))
+        most.append(len(alive))
+        sizes.append(value.n)
+        gone = b.destroy
+        b.destroy = lambda *a: (alive.discard(id(b)), gone(*a))
+        return b
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame(items, "item_id long, text string, answer string").coalesce(1)
+    size = sum(len((q or "").encode()) + len((a or "").encode()) for _, q, a in items)
+    got = sorted(((r.doc_id, r["items"]) for r in decontaminate.contamination(frame, marks, index_bytes=size // 99).collect()), key=repr)
+    assert got == brute(docs, items) and sum(bool(x) for _, x in got) > 5
+    assert len(sizes) >= 99 and max(most) == 1 and max(sizes) < len(items) / 4
