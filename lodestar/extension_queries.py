@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .functions import text
-from .operators import suggest
+from .operators import intent, late, query, suggest
 from .queries import _TOKENS, FILES_CTE, QUERY_TERMS, files, read, register, tokens
 from .streaming import changes
 
@@ -83,3 +83,34 @@ def tracked_changes(spark, d):
     stream = changes.changes(spark, folder).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(changes.CHANGE).parquet(out).select("listing", "change", "path", "hash")
+
+
+@register(
+    """WITH e AS (SELECT vec_id, vec_id // 4 AS doc, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    p AS (SELECT q.doc AS query_id, q.vec_id, c.doc AS doc_id, max(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE))) AS best FROM e q JOIN e c ON q.doc % 25 = 0 AND q.doc <> c.doc GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, round(sum(best), 9) AS score FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+    SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def late_interaction(spark, d):
+    """Four vectors a document; every 25th document asks with its own, all documents answer."""
+    rows = read(spark, d, "embeddings").where("vec_id is not null").withColumn("doc", F.expr("vec_id div 4"))
+    docs = late.token_vectors(rows, "doc", "vec_id", "embedding")
+    return late.max_sim(docs, docs.where("doc_id % 25 = 0"), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+_INTENTS = """SELECT 'exact_match' AS type, upper(replace(p_name, ' ', '_')) || '_API' AS query, p_partkey AS k FROM {part} UNION ALL SELECT 'exact_match', replace(initcap(p_name), ' ', '') || '.' || replace(p_brand, '#', ''), p_partkey FROM {part}
+    UNION ALL SELECT 'code_pattern', 'select ' || split(p_name, ' ')[0] || ' from ' || lower(p_type) || '_tab', p_partkey FROM {part} UNION ALL SELECT 'code_pattern', 'procedure check_' || split(p_name, ' ')[1] || ' in ' || lower(p_type), p_partkey FROM {part}
+    UNION ALL SELECT 'semantic', 'why are ' || p_name || ' orders of ' || p_brand || ' refused', p_partkey FROM {part} UNION ALL SELECT 'semantic', 'what is the purpose of ' || p_name, p_partkey FROM {part} UNION ALL SELECT 'semantic', 'explain when a ' || p_name || ' is ' || lower(p_type), p_partkey FROM {part}
+    UNION ALL SELECT 'mixed', p_name || ' ' || lower(p_type), p_partkey FROM {part} UNION ALL SELECT 'mixed', split(p_name, ' ')[1] || ' ' || p_brand || ' stock', p_partkey FROM {part}"""
+
+
+@register(None)
+def trained_intent(spark, d):
+    """Types of queries in nine forms made of the parts, learned from four parts in five and held against the fifth,
+    beside the rules: rows and right answers of each type. Some forms hold none of the rules' phrases."""
+    every = spark.sql(_INTENTS, part=read(spark, d, "part"))
+    held_out = F.pmod(F.xxhash64("k"), F.lit(5)) == 0
+    model = intent.train(every.where(~held_out).select("query", "type"))
+    found = intent.classify(model, every.where(held_out).select("query", "type"), "learned").withColumn("ruled", query.query_type(F.col("query")))
+    right = lambda c: F.count_if(F.col(c) == F.col("type")).alias(c)
+    return found.groupBy("type").agg(F.count("*").alias("n"), right("learned"), right("ruled"))

@@ -191,6 +191,13 @@ def _search_stored(index: StoredIndex, queries: DataFrame, k: int, positive: boo
     return docs.join(F.broadcast(spark.createDataFrame(rows, best.schema)), ["slice", "place"]).select("query_id", "doc_id", "score", "rank")
 
 
+def metadata(docs: DataFrame, full: Column, tokens: str = "tokens", stopwords: int = 0) -> DataFrame:
+    """One row about an index that is built from docs: documents, mean number of tokens (to 0.01), how many documents are
+    there with their full content (full), and the number of stop-words."""
+    mean = F.round(F.coalesce(F.avg(F.size(tokens)), F.lit(0.0)), 2)
+    return docs.agg(F.count("*").alias("documents"), mean.alias("avg_tokens_per_doc"), F.count_if(F.coalesce(full, F.lit(False))).alias("full_content_docs")).withColumn("stopwords_count", F.lit(stopwords))
+
+
 def scan_search(docs: DataFrame, terms: list[str], k: int, tokens: str = "tokens") -> DataFrame:
     """The k best documents for one query without an index: (doc_id, score). One pass over (doc_id, tokens) writes each
     document's length and how often it holds each term, a few numbers; statistics and scores are read from that."""

@@ -73,10 +73,21 @@ class HybridSearch:
         self.boosts = fusion.importance(ranks) if ranks is not None else None
         self.spark = docs.sparkSession
         self._embed: Embedder | None = None
+        self._asked: dict[str, list[float]] = {}  # the vectors of the last queries
 
     def stats(self) -> dict[str, int | bool]:
         """What is loaded."""
-        return {"lexical_documents": self.index.docs.count(), "vectors": self.vectors.count() if self.vectors is not None else 0, "initialised": self.vectors is not None and self.embedder is not None and self.reranker is not None}
+        return {"lexical_documents": self.index.docs.count(), "vectors": self.vectors.count() if self.vectors is not None else 0, "cached_queries": len(self._asked), "initialised": self.vectors is not None and self.embedder is not None and self.reranker is not None}
+
+    def _vector(self, q: str, most: int = 256) -> list[float]:
+        """The query's vector; those of the last queries are kept."""
+        if self._embed is None:
+            self._embed = self.embedder()
+        found = self._asked.pop(q, None)
+        self._asked[q] = found if found is not None else self._embed([q])[0].tolist()
+        if len(self._asked) > most:
+            del self._asked[next(iter(self._asked))]
+        return self._asked[q]
 
     def _described(self, hits: list[Row], q: str, source: str, match: str) -> DataFrame:
         """The hits, k rows on the driver, with what the documents say about them: the documents' table is read for
@@ -96,9 +107,7 @@ class HybridSearch:
     def vector_hits(self, q: str, k: int) -> DataFrame | None:
         if self.vectors is None or self.embedder is None or not q:
             return None
-        if self._embed is None:
-            self._embed = self.embedder()
-        hits = vector.search(self.vectors, self._embed([q])[0].tolist(), k).select(F.col("vec_id").alias("path"), "score")
+        hits = vector.search(self.vectors, self._vector(q), k).select(F.col("vec_id").alias("path"), "score")
         return self._described(hits.collect(), q, "vector", "semantic")
 
     def search(self, q: str | None = None, semantic: str | None = None, lexical_query: str | None = None, top_k: int = 10, config: SearchConfig | None = None, explain: bool = True, fill_quota: bool = False) -> SearchResponse:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import extract
-from .operators import query
+from .operators import lexical, query
 from .plans import corpus, phases
 from .plans.search import SearchConfig
-from .queries import _CAPITALS, FILES, FILES_CTE, read, register
+from .queries import _CAPITALS, _TOKENS, FILES, FILES_CTE, read, register, tokens
 from .sources import catalog, files
 from .sources.archive import write_archive
 from .sources.catalog import Paths
@@ -251,3 +251,19 @@ def search_markdown(spark, d):
     said = re.split(r"\n+(?=## )", search_lexical(_engine(spark, d, False), ASKED).rstrip("\n"))
     head = re.sub(r", [0-9.]+ s$", "", said[0].rstrip("\n"))
     return spark.createDataFrame(list(enumerate([head, *(x.rstrip("\n") for x in said[1:])])), "place int, said string")
+
+
+@register("SELECT (SELECT count(*) FROM documents) AS lexical_documents, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS vectors, 2::BIGINT AS cached_queries, FALSE AS initialised")
+def engine_stats_after_queries(spark, d):
+    """What an engine has loaded and kept after three questions, two of them the same."""
+    engine = _engine(spark, d, True)
+    for q in (ASKED, ASKED, "process order"):
+        engine.vector_hits(q, 3)
+    return spark.createDataFrame([tuple(engine.stats().values())], "lexical_documents long, vectors long, cached_queries long, initialised boolean")
+
+
+@register(f"WITH {_TOKENS} SELECT count(*) AS documents, round(avg(len(tokens)), 2) AS avg_tokens_per_doc, count(*) FILTER (n_chars >= 2000) AS full_content_docs, 3 AS stopwords_count FROM t JOIN documents d ON d.doc_id = t.doc_id")
+def index_metadata(spark, d):
+    """Documents, mean tokens and documents with their full content, here those of 2,000 characters or more."""
+    sizes = read(spark, d, "documents").select("doc_id", "n_chars")
+    return lexical.metadata(tokens(spark, d).join(sizes, "doc_id"), F.col("n_chars") >= 2000, stopwords=3)

@@ -390,7 +390,8 @@ def search_tool(spark, d):
 
 @register("SELECT (SELECT count(*) FROM documents) AS lexical_documents, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS vectors, FALSE AS initialised")
 def engine_stats(spark, d):
-    return spark.createDataFrame([Row(**_engine(spark, d, True).stats())], "lexical_documents long, vectors long, initialised boolean")
+    found = _engine(spark, d, True).stats()
+    return spark.createDataFrame([Row(*[found[k] for k in ("lexical_documents", "vectors", "initialised")])], "lexical_documents long, vectors long, initialised boolean")
 
 
 @register(
