@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import os
 import sys
 from dataclasses import asdict
 
@@ -73,8 +74,8 @@ def engine(spark: SparkSession, paths: catalog.Paths, names: str | None) -> Hybr
     index = LexicalIndex.read(spark, paths.lexical)
     if index is None:
         raise ValueError("no lexical index; run embed or reindex first")
-    ranks = files.read_ranked(spark, paths.ranked)
-    docs = spark.read.parquet(paths.contents).join(ranks.select(F.col("relative_path").alias("path"), "file_name", "api_name", F.col("pagerank_rank").alias("rank")), "path")
+    docs = spark.read.parquet(paths.contents)
+    ranks = docs.select(F.col("path").alias("relative_path"), F.lit(None).cast("string").alias("file_path"), "pagerank_score")
     embedder, reranker, _ = _models(names)
     status = next(s for s in catalog.versions(paths.base.split("/versions/")[0]) if s.extract_path == paths.base)
     vectors = spark.read.parquet(paths.vectors) if status.has_vectors else None
@@ -114,12 +115,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             elif args.command == "calculate-pagerank":
                 ranked = _ranked(s, paths, damping=args.damping_factor, iterations=args.max_iterations, tolerance=args.convergence_threshold)
                 files.write_ranked(ranked.drop("content_hash"), paths.ranked)
+                if os.path.isdir(paths.contents):  # what searches show follows the new ranks
+                    files.write_contents(files.source_tree(s, paths.source), ranked, paths.contents)
                 for r in ranked.orderBy("pagerank_rank").limit(10).collect():
                     print(f"{r['pagerank_rank']:3d}. {r['file_name']} {r['pagerank_score']:.6f}")
             elif args.command == "embed":
                 print(corpus.build(s, paths.source, paths, embedder, summariser).first().asDict())
             elif args.command == "reindex":
-                corpus.lexical_index(files.source_tree(s, paths.source), _ranked(s, paths)).write(paths.lexical)
+                tree, ranked = files.source_tree(s, paths.source), _ranked(s, paths)
+                corpus.lexical_index(tree, ranked).write(paths.lexical)
+                files.write_contents(tree, ranked, paths.contents)
             else:
                 lazy = tools.LazyEngine(lambda: engine(s, paths, args.models), 10.0 if args.command == "serve" else None)
                 for q in [args.query] if args.command == "search" else map(str.strip, sys.stdin):

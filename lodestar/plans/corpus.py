@@ -95,16 +95,16 @@ def _saved(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def build(spark: SparkSession, root: str, paths: Paths, embedder: Callable[[], Embedder], summariser: Callable[[], Summariser]) -> DataFrame:
+def build(spark: SparkSession, root: str, paths: Paths, embedder: Callable[[], Embedder], summariser: Callable[[], Summariser], document: bool = True) -> DataFrame:
     """All tables of a version: analysis, ranking, contents, lexical index, summaries, vectors; returns the phases'
     totals. What an earlier run has summarised or embedded successfully is not done again: results are appended to the
     checkpoints' logs, and only files that these do not cover are worked on. Remove the checkpoints and the vectors to
-    begin anew."""
+    begin anew. Without `document` the analysis document, which only other tools read, is not written."""
     tree = source_tree(spark, root)
-    info, edges = analyse(spark, root, paths)
+    info, edges = analyse(spark, root, paths if document else None)
     ranked = rank(info, edges).cache()
     write_ranked(ranked.drop("content_hash"), paths.ranked)
-    write_contents(tree, paths.contents)
+    write_contents(tree, ranked, paths.contents)
     lexical_index(tree, ranked).write(paths.lexical)
     log = f"{paths.checkpoints}/summaries"
     append_log(summaries(tree, _saved(spark, log), summariser), log)

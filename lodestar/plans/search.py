@@ -99,6 +99,12 @@ class HybridSearch:
         shown = d.select("path", "score", "source", "match_type", "file_name", "api_name", "rank", title.alias("title"), text.best_line(F.col("content"), text.query_words(F.lit(q))).alias("snippet"), F.concat(F.lit(source), F.lit(" match")).alias("explanation"))
         return self.spark.createDataFrame(shown.collect(), shown.schema)
 
+    def _boosted(self, hits: DataFrame) -> DataFrame:
+        """Hits, which are local rows, with the importance of their files; of other files nothing is read."""
+        if self.boosts is None:
+            return hits
+        return fusion.boosted(hits, self.boosts.where(F.col("path").isin(*[r["path"] for r in hits.select("path").collect()])))
+
     def lexical_hits(self, q: str, k: int) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(0).alias("query_id"), self.tokens(F.lit(q)).alias("terms"))
         hits = lexical.search_batch(self.index, asked, k).select(F.col("doc_id").alias("path"), "score")
@@ -128,8 +134,7 @@ class HybridSearch:
         a, b = fusion.quotas(analysis.lexical_weight, analysis.vector_weight, top_k) if config.enable_vectors else (top_k, 0)
         if fill_quota:
             a, b = max(a, top_k - min(b, n_vec)), max(b, top_k - min(a, n_lex))
-        boost = (lambda h: fusion.boosted(h, self.boosts)) if self.boosts is not None else (lambda h: h)
-        merged = fusion.merged(fusion.take(boost(lex), a), fusion.take(boost(vec), b))
+        merged = fusion.merged(fusion.take(self._boosted(lex), a), fusion.take(self._boosted(vec), b))
         rows = merged.collect()  # at most top_k
         merged, total = self.spark.createDataFrame(rows, merged.schema), len(rows)
         applied = config.enable_rerank and self.reranker is not None and total > 1

@@ -123,10 +123,13 @@ def extract_archive(spark: SparkSession, path: str, target: str) -> int:
     return n
 
 
-def write_contents(tree: DataFrame, path: str, parts: int = 64) -> None:
-    """(path, content) of a tree, clustered by path: a search reads the row groups of its hits only."""
-    rows = tree.select(F.col("relative_path").alias("path"), "content")
-    rows.repartitionByRange(parts, "path").sortWithinPartitions("path").write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(path)
+def write_contents(tree: DataFrame, ranked: DataFrame, path: str, parts: int = 64) -> None:
+    """What a search shows of a file: path, file_name, api_name, rank, pagerank_score, content, clustered by path in small
+    pages, so that a search reads the pages of its hits only. ranked: file records with their ranks."""
+    ranks = ranked.select("relative_path", "file_name", "api_name", F.col("pagerank_rank").alias("rank"), F.col("pagerank_score").cast("double").alias("pagerank_score"))
+    rows = tree.select("relative_path", "content").join(ranks, "relative_path").withColumnRenamed("relative_path", "path")
+    dealt = rows.repartitionByRange(parts, "path").sortWithinPartitions("path")
+    dealt.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 64).mode("overwrite").parquet(path)
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
