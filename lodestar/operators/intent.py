@@ -18,7 +18,7 @@ def features(query: Column) -> Column:
     """Words, neighbouring words, and marks of form: of a query of any length, null counts as empty."""
     q = F.coalesce(query, F.lit(""))
     plain = words(F.lower(q))
-    pairs = F.zip_with(F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))), F.slice(plain, 2, 2**31 - 1), lambda a, b: F.concat(F.lit("2:"), a, F.lit(" "), b))
+    pairs = F.zip_with(F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))), F.slice(plain, F.lit(2), F.size(plain)), lambda a, b: F.concat(F.lit("2:"), a, F.lit(" "), b))
     shapes = F.transform(words(q), lambda w: F.concat(F.lit("s:"), F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")))
     ends = F.transform(plain, lambda w: F.concat(F.lit("e:"), F.right(w, F.lit(4))))
     return F.concat(plain, pairs, shapes, ends, F.array(F.concat(F.lit("n:"), F.least(F.size(plain), F.lit(6)).cast("string"))))

@@ -7,6 +7,7 @@ that a query's terms prune the scan; the bounds tell which slices can hold one o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,22 +125,35 @@ def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def term_counts(tokens: Column) -> tuple[Column, Callable[[str], Column], Callable[[str, str], tuple[Column, Column]]]:
+    """How often an array holds each of its values, without an exchange: the array is sorted, and its runs are counted.
+    Three steps, each a projection over the one before, so that no array is made twice: the sorted array, the places
+    where its runs begin, and from both the values and how often each is there."""
+    starts = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
+    ends = lambda s, at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+    counts = lambda s, at: F.when(F.size(at) > 0, F.zip_with(at, ends(s, at), lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+    return F.sort_array(F.array_compact(tokens)), starts, lambda s, at: (F.transform(at, lambda i: F.get(s, i)), counts(s, at))
+
+
 def build_index(docs: DataFrame, tokens: str = "tokens", stopwords: DataFrame | None = None) -> LexicalIndex:
-    """docs: (doc_id, tokens). Stop-words (term) are taken out before lengths are counted; they come to the driver, since
-    words in more than some share of the documents are at most the mean number of distinct words over that share. Texts
-    are tokenised and counted in one pass into a written table, from which all statistics follow; a posting carries its
-    document's length, so that a query needs no other table of documents."""
+    """docs: (doc_id, tokens), a row a document. Stop-words (term) are taken out before lengths are counted; they come to
+    the driver, since words in more than some share of the documents are at most the mean number of distinct words over
+    that share. Texts are tokenised and counted in one pass without an exchange into a written table, a row a document,
+    of whose columns all statistics follow; a posting carries its document's length, so that a query needs no other
+    table of documents. Null tokens count in lengths only."""
     drop = [r["term"] for r in stopwords.select("term").collect()] if stopwords is not None else []
-    kept = F.filter(F.col(tokens), lambda t: ~t.isin(*drop)) if drop else F.col(tokens)
-    rows = docs.select("doc_id", kept.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    # a document's postings stay together, so that its scores are summed where they lie
-    postings = materialise(rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
-    of = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    lengths = docs.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    stats = docs.agg(F.count("*").alias("n")).join(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))  # one row each
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return LexicalIndex(postings, terms, lengths, stats)
+    given = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    kept = F.filter(given, lambda t: t.isNull() | ~t.isin(*drop)) if drop else given
+    in_order, starts, counts = term_counts(F.col("t"))
+    rows = docs.select("doc_id", kept.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), in_order.alias("s")).select("doc_id", "dl", "s", starts("s").alias("at"))
+    terms, tfs = counts("s", "at")
+    counted = materialise(rows.select("doc_id", "dl", terms.alias("terms"), tfs.alias("tfs")), "term-counts")
+    # a document's postings lie together, so that its scores are summed where they lie
+    postings = counted.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").cast("long").alias("tf"), "dl")
+    lengths = counted.select("doc_id", "dl")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return LexicalIndex(postings, df.join(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf")), lengths, stats)  # stats: one row
 
 
 def _asked(queries: DataFrame) -> DataFrame:

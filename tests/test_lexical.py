@@ -81,3 +81,16 @@ def test_scan_reads_the_pages_of_its_terms(spark, tmp_path):
     total = stored.blocks.count()
     read = read_records(spark, stored.blocks.where(F.col("term").isin("t3_77", "t5_1999")))
     assert total > 20_000 and 0 < read < 0.01 * total
+
+
+def test_terms_are_counted_without_an_exchange(spark):
+    from collections import Counter
+
+    r = random.Random(5)
+    rows = [(i, r.choices(["a", "b", "É", "", "zz"], k=r.randrange(0, 12))) for i in range(60)] + [(100, None), (101, []), (102, ["x", None, "x", None])]
+    index = lexical.build_index(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    want = sorted((t, i, n, len(ts)) for i, ts in rows if ts for t, n in Counter(x for x in ts if x is not None).items())
+    assert sorted(tuple(x) for x in index.postings.collect()) == want
+    assert sorted(tuple(x) for x in index.docs.collect()) == [(i, len(ts or [])) for i, ts in rows]
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    assert index.stats.first().n == 63
