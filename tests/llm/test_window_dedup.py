@@ -73,15 +73,15 @@ def test_steps_do_not_depend_on_the_order_of_rows():
     table = lambda rs: pa.table([pa.array([r[0] for r in rs], pa.int64())] * 2 + [pa.array([r[1].encode() for r in rs])], ["doc_id", "d", "raw"])
     shuffled = rows[::-1]
 
-    def answers(sent, f):
+    def answers(sent, f, pack=exchange.packed_bits):
         own = sent["step"].to_numpy() == exchange.OWN
         t = sent.filter(pa.array(~own))
         bits = f([x.as_py() for x in t["payload"]])
-        out = t.set_column(3, "payload", pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()))
+        out = t.set_column(3, "payload", pa.array([pack(b) for b in bits], pa.binary()))
         return pa.concat_tables([out, sent.filter(pa.array(own))])
 
     for steps, ask, find, grouped in ((window_dedup.Steps(35, 3, 1 << 16), "sketch", "exact", window_dedup._exactly_repeated), (suffix_dedup.Steps(50, 3), "keys", "segments", suffix_dedup._shard(50))):
-        first = answers(getattr(steps, ask)(0, table(rows), None), exchange.repeated_keys if ask == "keys" else steps.count_min.add_up)
+        first = answers(getattr(steps, ask)(0, table(rows), None), *((suffix_dedup.answer_keys(4096), suffix_dedup.pack_answers) if ask == "keys" else (steps.count_min.add_up,)))
         second = answers(getattr(steps, find)(0, table(shuffled), first), grouped)
         a, b = (steps.result(table(r), second, False).sort_by("doc_id") for r in (rows, shuffled))
         assert a.equals(b) and sum(a.column(2).to_pylist()) > 0
