@@ -9,7 +9,7 @@ from lodestar import extension_queries, table_queries, tree_queries
 from lodestar.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
-NAMES = [n for n, f in QUERIES.items() if f.__module__ in (tree_queries.__name__, table_queries.__name__, extension_queries.__name__)]
+NAMES = [n for n, f in QUERIES.items() if f.__module__ in (tree_queries.__name__, table_queries.__name__, extension_queries.__name__) and n in ORACLES]
 
 
 @pytest.fixture(scope="module")
