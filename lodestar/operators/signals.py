@@ -50,7 +50,6 @@ def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUN
     file's chunks, a row each, composes them; its result is joined to the chunks' lines, which stay where they are."""
     chunk = [key, "chunk"]
     so_far = Window.partitionBy(*chunk).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_block = Window.partitionBy(*chunk, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     line, bare = F.col("line"), F.col("bare")
     rows = files.select(key, F.posexplode(lines(F.col("content"))).alias("pos", "line"))
@@ -72,9 +71,12 @@ def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUN
     total = F.coalesce(F.sum("own").over(before), F.lit(0))
     chunks = chunks.withColumn("total", total).withColumn("base", F.last(F.when(F.col("blocks") > 0, F.col("total")), ignorenulls=True).over(before))
     state = chunks.select(*chunk, "was_open", F.last("kind", ignorenulls=True).over(before).alias("old_kind"), (F.col("total") - F.coalesce("base", F.lit(0))).alias("old_lines"))
-    rows = rows.drop("class").join(state, chunk).withColumn("class", _classified(line, bare, F.coalesce("mark", "was_open")))
+    turned = F.col("was_open") & F.col("mark").isNull() & F.col("class").isin("api_calls", "database_operations", "body")
+    rows = rows.join(state, chunk).withColumn("class", F.when(turned, "comments").otherwise(F.col("class")))
     body = F.col("class") == "body"
-    rows = rows.withColumn("nth", F.sum((signature | body).cast("int")).over(in_block) + F.when(F.col("block") == 0, F.col("old_lines")).otherwise(0))
+    rows = rows.withColumn("so_far", F.sum((signature | body).cast("int")).over(so_far))
+    begun = F.last(F.when(signature, F.col("so_far") - 1), ignorenulls=True).over(so_far)  # lines before the open block
+    rows = rows.withColumn("nth", F.col("so_far") - F.coalesce(begun, -F.col("old_lines")))
     rows = rows.withColumn("kind", F.coalesce(F.last(F.when(signature, F.col("class")), ignorenulls=True).over(so_far), "old_kind"))
     signal = F.when(signature | body, F.when(F.col("nth") <= BLOCK_LINES, F.col("kind"))).when(F.col("class") != "none", F.col("class"))
     trimmed = F.col("class").isin("error_messages", "api_calls", "database_operations")
