@@ -53,7 +53,8 @@ def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUN
     before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     line, bare = F.col("line"), F.col("bare")
     rows = files.select(key, F.posexplode(lines(F.col("content"))).alias("pos", "line"))
-    rows = rows.withColumn("chunk", F.floor(F.col("pos") / chunk_lines).cast("int")).repartition(*chunk).withColumn("bare", strip(line))
+    number = F.coalesce(F.floor(F.col("pos") / chunk_lines).cast("int"), F.lit(0))  # never null: both reads of the exchange stay alike
+    rows = rows.withColumn("chunk", number).repartition(*chunk).withColumn("bare", strip(line))
     mark = F.last(F.when(line.contains("*/"), False).when(line.contains("/*"), True), ignorenulls=True).over(so_far)
     # the class where no comment is open unless the chunk itself opened one; a comment open before it can only turn
     # classes behind errors and signatures into comments, up to the chunk's first mark
@@ -61,8 +62,9 @@ def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUN
     counted = F.col("class").isin("procedures", "functions", "body")
     signature = F.col("class").isin("procedures", "functions")
     rows = rows.withColumn("block", F.sum(signature.cast("int")).over(so_far))
+    code = F.when(F.col("class") == "procedures", 1).when(F.col("class") == "functions", 2)  # kinds as numbers, which hash aggregates hold
     rows = rows.withColumn("turns", (F.col("class") == "body") & F.col("mark").isNull())  # a body line only if no comment was open
-    per_block = rows.groupBy(*chunk, "block").agg(F.sum(counted.cast("int")).alias("counted"), F.sum(F.col("turns").cast("int")).alias("turning"), F.max(F.when(signature, F.col("class"))).alias("kind"), F.max_by("mark", "pos").alias("mark"))
+    per_block = rows.groupBy(*chunk, "block").agg(F.sum(counted.cast("int")).alias("counted"), F.sum(F.col("turns").cast("int")).alias("turning"), F.max(code).alias("kind"), F.max_by("mark", "pos").alias("mark"))
     of_last = lambda c: F.max_by(c, "block").alias(c)
     chunks = per_block.groupBy(*chunk).agg(F.max("block").alias("blocks"), *map(of_last, ("counted", "turning", "kind", "mark")))
     # composed: the comment first, as the counts depend on it, then the block
@@ -77,7 +79,7 @@ def signal_lines(files: DataFrame, key: str = "file_id", chunk_lines: int = CHUN
     rows = rows.withColumn("so_far", F.sum((signature | body).cast("int")).over(so_far))
     begun = F.last(F.when(signature, F.col("so_far") - 1), ignorenulls=True).over(so_far)  # lines before the open block
     rows = rows.withColumn("nth", F.col("so_far") - F.coalesce(begun, -F.col("old_lines")))
-    rows = rows.withColumn("kind", F.coalesce(F.last(F.when(signature, F.col("class")), ignorenulls=True).over(so_far), "old_kind"))
+    rows = rows.withColumn("kind", F.when(F.coalesce(F.last(code, ignorenulls=True).over(so_far), "old_kind") == 1, "procedures").when(F.coalesce(F.last(code, ignorenulls=True).over(so_far), "old_kind") == 2, "functions"))
     signal = F.when(signature | body, F.when(F.col("nth") <= BLOCK_LINES, F.col("kind"))).when(F.col("class") != "none", F.col("class"))
     trimmed = F.col("class").isin("error_messages", "api_calls", "database_operations")
     return rows.withColumn("signal", signal).where("signal is not null").select(key, "pos", "signal", F.when(trimmed, bare).otherwise(line).alias("line"))
