@@ -13,14 +13,16 @@ from ..models import Embedder, Summariser, embed, summarise
 from ..operators import graph, lexical, signals, vector
 from ..sources.catalog import Paths
 from ..sources.files import append_log, file_info, source_tree, write_analysis, write_contents, write_ranked
+from ..storage import materialise
 from . import phases
 
 
 def analyse(spark: SparkSession, root: str, paths: Paths | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, edges): the record of every file, and its resolved calls."""
-    info = file_info(source_tree(spark, root, max_files=max_files))
+    """(files, edges): the record of every file, and its resolved calls. The tree is read once: records and calls are
+    written tables, since what follows reads them several times."""
+    info = materialise(file_info(source_tree(spark, root, max_files=max_files)), "records")
     files = info.withColumn("file_order", F.col("relative_path"))
-    edges = graph.reference_edges(files)
+    edges = materialise(graph.reference_edges(files), "calls")
     if paths is not None:
         nodes = info.select(F.col("relative_path").alias("node"))
         write_analysis(info, graph.reference_graph(nodes, edges), paths.analysis, root)
