@@ -19,32 +19,48 @@ def _grams(name: Column) -> Column:
     return F.when(F.length(name) >= GRAM, numbered).otherwise(F.array().cast("array<string>"))
 
 
+def _keyed(rows: DataFrame, threshold: int) -> DataFrame:
+    """(n, sides, length, longer, key) of names (n, sides, length): by which each meets those within the threshold whose
+    longer name has the length `longer`, its equals apart."""
+    lengths = rows.select(F.col("length").alias("longer")).distinct()  # a handful
+    edits = F.floor(F.col("longer") * (100 - threshold) / 100)
+    near = (F.col("length") <= F.col("longer")) & (F.col("length") * 100 >= F.col("longer") * threshold)
+    paired = rows.join(F.broadcast(lengths.withColumn("edits", edits).where("edits > 0")), near)
+    # one edit: a name of the longer length without each letter, a name that is one letter shorter as it is
+    without = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.concat(F.substring("n", F.lit(1), i - 1), F.substring("n", i + 1, F.col("length"))))
+    cut = F.when(F.col("length") == F.col("longer"), F.array_distinct(without)).when(F.col("length") == F.col("longer") - 1, F.array("n"))
+    keyed = paired.where("edits = 1").select("n", "sides", "length", "longer", F.explode(cut).alias("key"))
+    # more edits: the rarest pairs of letters
+    share = 100 - GRAM * (100 - threshold)
+    least = F.ceil((F.col("longer") * share - 100 * (GRAM - 1)) / 100)  # pairs that a match of a name of this length shares
+    several = paired.where("edits > 1").withColumn("least", least)  # one at least, from a threshold of 60 on
+    grams = several.select("n").distinct().select("n", F.explode(_grams(F.col("n"))).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = grams.join(rarity, "gram").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    first = F.slice("g", F.lit(1), F.greatest(F.size("g") - F.col("least") + 1, F.lit(0)).cast("int"))
+    by_grams = several.join(ordered, "n").select("n", "sides", "length", "longer", F.explode(F.transform(first, lambda x: x["gram"])).alias("key"))
+    return keyed.unionByName(by_grams)
+
+
 def fuzzy_matches(queries: DataFrame, names: DataFrame, threshold: int = 80, name: str = "name") -> DataFrame:
     """(query, name, distance, ratio) of all pairs whose ratio, 100 * (1 - edit distance / the longer length), reaches
     the threshold (70 to 100): a set-similarity join, verified. Nulls match nothing; equal names of a side are one.
 
-    Names within the threshold share a number of pairs of letters that follows from their length, so that they share
-    one of the first few if each name's are put in one order, the rarest first. Names meet at those only, and only if
-    their lengths allow it; what meets is measured. Names too short to share one match their equals."""
+    The longer of two names tells how many edits the ratio allows them, so names meet by keys that they have for each
+    length of a longer name that is there. Where one edit is allowed, the keys are a name without each of its letters in
+    turn, or as it is if it is the shorter one: those are nearly as few as the matches. Where more are, names share a
+    number of pairs of letters that follows from the length, so that they share one of the first few if each name's are
+    put in one order, the rarest first. What meets is measured. Equal names match as such."""
     if not 70 <= threshold <= 100:
         raise ValueError("thresholds below 70 do not bound what names share")
     one = lambda df, side: df.select(F.col(name).alias("n")).where(F.col("n").isNotNull()).distinct().withColumn("side", F.lit(side))
     rows = one(queries, 0).unionByName(one(names, 1)).groupBy("n").agg(F.collect_set("side").alias("sides")).withColumn("length", F.length("n"))
-    share = 100 - GRAM * (100 - threshold)
-    least = F.ceil((F.col("length") * share - 100 * (GRAM - 1)) / 100)  # pairs that a match of this name or a longer one shares
-    rows = rows.withColumn("least", least)
-    grams = rows.where("least >= 1").select("n", "sides", "length", "least", F.explode(_grams(F.col("n"))).alias("gram"))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = grams.join(rarity, "gram").groupBy("n", "sides", "length", "least").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    first = F.slice("g", F.lit(1), (F.size("g") - F.col("least") + 1).cast("int"))
-    keyed = ordered.select("n", "sides", "length", F.explode(F.transform(first, lambda x: x["gram"])).alias("key"))
-    keyed = keyed.unionByName(rows.where("least < 1").select("n", "sides", "length", F.concat(F.lit("="), "n").alias("key")))
-    side = lambda s, prefix: keyed.where(F.array_contains("sides", s)).select(F.col("n").alias(prefix), F.col("length").alias(f"{prefix}_length"), "key")
-    near = F.least("query_length", "name_length") * 100 >= F.greatest("query_length", "name_length") * threshold
-    met = side(0, "query").join(side(1, "name"), "key").where(near).select("query", "name", F.greatest("query_length", "name_length").alias("longer")).distinct()
+    keyed = _keyed(rows, threshold)
+    side = lambda s, prefix: keyed.where(F.array_contains("sides", s)).select(F.col("n").alias(prefix), F.col("length").alias(f"{prefix}_length"), "longer", "key")
+    met = side(0, "query").join(side(1, "name"), ["longer", "key"]).where((F.greatest("query_length", "name_length") == F.col("longer")) & (F.col("query") != F.col("name"))).select("query", "name", "longer").distinct()
     measured = met.withColumn("distance", F.levenshtein("query", "name")).where(100 * (F.col("longer") - F.col("distance")) >= threshold * F.col("longer"))
-    ratio = F.when(F.col("longer") > 0, 100.0 * (F.col("longer") - F.col("distance")) / F.col("longer")).otherwise(100.0)
-    return measured.select("query", "name", "distance", ratio.alias("ratio"))
+    equal = rows.where(F.size("sides") == 2).select(F.col("n").alias("query"), F.col("n").alias("name"), F.lit(0).alias("distance"), F.lit(100.0).alias("ratio"))
+    return measured.select("query", "name", "distance", (100.0 * (F.col("longer") - F.col("distance")) / F.col("longer")).alias("ratio")).unionByName(equal)
 
 
 def completions(names: DataFrame, k: int = 5, longest: int | None = None, name: str = "name", weight: str = "weight") -> DataFrame:

@@ -52,6 +52,17 @@ def test_fuzzy_matches(spark):
         suggest.fuzzy_matches(frame(names), frame(names), 60)
 
 
+def test_names_that_share_their_pairs_of_letters(spark):
+    """Names one edit of each other meet by their letters but one: names with the same frequent pairs do not meet."""
+    names = [f"OrderLineX{n:04d}.plsql".translate(str.maketrans("0123456789", "abcdefghij")) for n in range(0, 3000, 7)] + ["OrderLineXabcde.plsql", "OrderLineXabce.plsql"]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    want = {(a, b) for a in names for b in names if abs(len(a) - len(b)) <= 1 and sum(x != y for x, y in zip(a, b, strict=False)) <= 12 and distance(a, b) <= 1}
+    assert {(r["query"], r["name"]) for r in suggest.fuzzy_matches(frame, frame, 92).collect()} == want
+    keys = suggest._keyed(frame.select(F.col("name").alias("n"), F.array(F.lit(0)).alias("sides"), F.length("name").alias("length")), 92)
+    meet = Counter((r["longer"], r["key"]) for r in keys.collect())
+    assert sum(n * (n - 1) for n in meet.values()) < 4 * len(want)
+
+
 def test_completions(spark):
     r = random.Random(7)
     rows = [("".join(r.choices("abC", k=r.randrange(1, 6))), r.randrange(4)) for _ in range(400)] + [("", 9), (None, 9), ("Solo", None)]
