@@ -21,14 +21,18 @@ Summariser = Callable[[list[str]], list[str]]
 
 
 def hashing_embedder(dims: int = 64) -> Embedder:
-    """STAND-IN: signed feature hashing of words, normalised."""
+    """STAND-IN: signed feature hashing of words, normalised. A text whose words cancel each other out is hashed without
+    signs, so that every text with a word has a vector of length one."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for row, t in zip(out, texts, strict=True):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in t.lower().split()]
+            for h in hashes:
                 row[h % dims] += 1 if h >> 63 else -1
+            if hashes and not row.any():
+                for h in hashes:
+                    row[h % dims] += 1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
