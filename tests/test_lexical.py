@@ -94,3 +94,37 @@ def test_terms_are_counted_without_an_exchange(spark):
     assert sorted(tuple(x) for x in index.docs.collect()) == [(i, len(ts or [])) for i, ts in rows]
     assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
     assert index.stats.first().n == 63
+
+
+def test_blocks_are_exchanged_once_and_grouped_before(spark):
+    """What lies in one slice is one row before the exchange, whatever a document's length; slices do not leave their
+    partition."""
+    rows = [(i, ["a"] * (40_000 if i == 5 else 2) + ["b", f"t{i}"]) for i in range(50)]
+    index = lexical.build_index(spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3))
+    placed = lexical.in_slices(index.counted, 10)
+    assert "Exchange" not in "".join(x for x in placed._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(doc_id" in x)
+    assert placed.groupBy("slice").agg(F.count("*").alias("n"), F.countDistinct("place").alias("d")).where("n <> d or n > 10").count() == 0
+    packed = lexical.blocks(placed, 804.0)
+    slices = placed.select("slice").distinct().count()
+    assert packed.where("term in ('a', 'b')").count() == 2 * slices and packed.where("wide IS NOT NULL").count() == 3
+    plan = lexical.unpacked(packed).groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [term" not in plan and "Join" not in plan.split("MapInArrow")[0]
+    got = {(r.term, r.tf, r.dl) for r in lexical.unpacked(packed).where("term = 'a'").select("term", F.explode(F.arrays_zip("tfs", "dls")).alias("p")).select("term", F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")).collect()}
+    assert got == {("a", 2, 4), ("a", 40_000, 40_002)}
+
+
+def test_ties_go_to_the_smaller_id_wherever_documents_lie(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i:03d}", ["x", "y"]) for i in range(99, -1, -1)], "doc_id string, tokens array<string>").repartition(7)
+    lexical.build_index(docs).write(str(tmp_path / "x"), buckets=3, slice_docs=8)
+    stored = lexical.LexicalIndex.read(spark, str(tmp_path / "x"))
+    assert [r[2] for r in found(stored, asked(spark, [(0, ["x"])]), 4)] == ["d000", "d001", "d002", "d003"]
+    assert stored.terms.select("term", "df").orderBy("term").collect() == [("x", 100), ("y", 100)]
+
+
+def test_a_large_slice_lies_in_parts(monkeypatch):
+    """A slice with more postings than a task holds gives a term several blocks."""
+    monkeypatch.setattr(lexical, "HELD_POSTINGS", 12)
+    batches = [lexical.pa.RecordBatch.from_pydict({"slice": lexical.pa.array([s] * 4, lexical.pa.int32()), "place": lexical.pa.array(range(p, p + 4), lexical.pa.int16()), "dl": lexical.pa.array([3] * 4, lexical.pa.int32()), "terms": [["a", "b", "c"]] * 4, "tfs": lexical.pa.array([[1, 1, 1]] * 4, lexical.pa.list_(lexical.pa.int32()))}) for s, p in ((0, 0), (0, 4), (0, 8), (0, 12), (1, 0), (2, 0), (2, 4))]
+    out = [r for b in lexical.in_blocks(iter(batches), 3.0) for r in b.to_pylist()]
+    assert sum(len(r["x"]) for r in out) == 3 * 3 * 4 * 7
+    assert sum(r["term"] == "a" for r in out if r["slice"] == 0) == 2 and sum(r["term"] == "a" for r in out if r["slice"] == 2) == 1
