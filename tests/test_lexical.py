@@ -128,3 +128,12 @@ def test_a_large_slice_lies_in_parts(monkeypatch):
     out = [r for b in lexical.in_blocks(iter(batches), 3.0) for r in b.to_pylist()]
     assert sum(len(r["x"]) for r in out) == 3 * 3 * 4 * 7
     assert sum(r["term"] == "a" for r in out if r["slice"] == 0) == 2 and sum(r["term"] == "a" for r in out if r["slice"] == 2) == 1
+
+
+def test_many_pairs_are_scored_where_slices_lie(spark, indexes):
+    """What is exchanged is blocks, by their slices; no sum per query and document is, and no block per query."""
+    plain, stored, _ = indexes
+    rows = [(i, [f"w{(i + j) % 40}" for j in range(10)]) for i in range(60)]
+    assert found(stored, asked(spark, rows), 5) == found(plain, asked(spark, rows), 5)
+    plan = stored.scored_in_slices(lexical._asked(asked(spark, rows)), True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in "".join(x for x in plan.splitlines() if "place" in x) and "Exchange hashpartitioning(slice" in plan
